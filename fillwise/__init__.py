@@ -1 +1,8 @@
 """Histogram analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code along, so that the executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
