@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fillwise.llm.mixing import mix
+from fillwise.llm.topk import top_k
 from fillwise.llm.quality import quality_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,11 +28,16 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20)
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_source_mix": op4_source_mix, "op8_quality_rules": op8_quality_rules}
+    return {"op7_exact_top_k": op7_exact_top_k, "op4_source_mix": op4_source_mix, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
     from fillwise.llm import sql
 
-    return {"op4_source_mix": sql.OP4, "op8_quality_rules": sql.OP8}
+    return {"op7_exact_top_k": sql.OP7, "op4_source_mix": sql.OP4, "op8_quality_rules": sql.OP8}
