@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from fillwise.llm.mixing import mix
 from fillwise.llm.topk import top_k
+from fillwise.llm.repair import token_files
+from fillwise.llm.tokens import tokenizer_path
 from fillwise.llm.quality import quality_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +35,15 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20)
 
 
+#: Ids of byte_bpe_50k end below this.
+BYTE_BPE_IDS = 50_257
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files(docs, tokenizer_path("byte_bpe_50k.json"), "bytes", end_id=2, base=BYTE_BPE_IDS)
+
+
 def queries() -> dict[str, Query]:
     return {"op7_exact_top_k": op7_exact_top_k, "op4_source_mix": op4_source_mix, "op8_quality_rules": op8_quality_rules}
 
