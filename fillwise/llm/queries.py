@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fillwise.llm import sql
 from fillwise.llm.mixing import mix
 from fillwise.llm.topk import top_k
 from fillwise.llm.repair import token_files
 from fillwise.llm.tokens import tokenizer_path
+from fillwise.llm.packing import pack
 from fillwise.llm.quality import quality_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,11 +46,15 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(docs, tokenizer_path("byte_bpe_50k.json"), "bytes", end_id=2, base=BYTE_BPE_IDS)
 
 
+def op3_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), "spaces", end_id=0, capacity=2048)
+
+
 def queries() -> dict[str, Query]:
-    return {"op7_exact_top_k": op7_exact_top_k, "op4_source_mix": op4_source_mix, "op8_quality_rules": op8_quality_rules}
+    found = [op2_token_files, op3_packed_sequences, op4_source_mix, op7_exact_top_k, op8_quality_rules]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from fillwise.llm import sql
-
-    return {"op7_exact_top_k": sql.OP7, "op4_source_mix": sql.OP4, "op8_quality_rules": sql.OP8}
+    return {"op4_source_mix": sql.OP4, "op7_exact_top_k": sql.OP7, "op8_quality_rules": sql.OP8}
