@@ -11,6 +11,7 @@ from fillwise.llm import sql
 from fillwise.llm.mixing import mix
 from fillwise.llm.topk import top_k
 from fillwise.llm.repair import token_files
+from fillwise.llm.substrings import dedup_substrings
 from fillwise.llm.tokens import tokenizer_path
 from fillwise.llm.packing import pack
 from fillwise.llm.quality import quality_cascade
@@ -51,10 +52,15 @@ def op3_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer_path("word_bpe_49k.json"), "spaces", end_id=0, capacity=2048)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs, window=50, keep_text=False).drop("text")
+
+
 def queries() -> dict[str, Query]:
-    found = [op2_token_files, op3_packed_sequences, op4_source_mix, op7_exact_top_k, op8_quality_rules]
+    found = [op2_token_files, op3_packed_sequences, op4_source_mix, op5_substring_dedup, op7_exact_top_k, op8_quality_rules]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": sql.OP4, "op7_exact_top_k": sql.OP7, "op8_quality_rules": sql.OP8}
+    return {"op4_source_mix": sql.OP4, "op5_substring_dedup": sql.OP5, "op7_exact_top_k": sql.OP7, "op8_quality_rules": sql.OP8}

@@ -49,3 +49,16 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, le
       FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+OP5 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+dup AS (SELECT rid, i FROM (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE least < doc_id),
+-- a word is covered if a duplicate window starts in the 50 places up to it
+gone AS (SELECT DISTINCT rid, i + k AS p FROM dup, range(0, 50) AS t(k)),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid),
+words AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d SEMI JOIN n USING (rid)),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)"""
