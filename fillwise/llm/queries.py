@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillwise.llm import sql
+from fillwise.llm.jaccard import similarity_join
 from fillwise.llm.mixing import mix
 from fillwise.llm.topk import top_k
 from fillwise.llm.repair import token_files
@@ -57,8 +58,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(docs, window=50, keep_text=False).drop("text")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similarity_join(docs, n=5, threshold=0.8).select("doc_id", "class_id", "n_links")
+
+
 def queries() -> dict[str, Query]:
-    found = [op2_token_files, op3_packed_sequences, op4_source_mix, op5_substring_dedup, op7_exact_top_k, op8_quality_rules]
+    found = [op2_token_files, op3_packed_sequences, op4_source_mix, op5_substring_dedup, op7_exact_top_k, op8_quality_rules, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
