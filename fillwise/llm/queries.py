@@ -11,6 +11,7 @@ from fillwise.llm import sql
 from fillwise.llm.jaccard import similarity_join
 from fillwise.llm.mixing import mix
 from fillwise.llm.topk import top_k
+from fillwise.llm.toxicity import score_toxicity
 from fillwise.llm.repair import token_files
 from fillwise.llm.substrings import dedup_substrings
 from fillwise.llm.tokens import tokenizer_path
@@ -63,8 +64,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(docs, n=5, threshold=0.8).select("doc_id", "class_id", "n_links")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op2_token_files, op3_packed_sequences, op4_source_mix, op5_substring_dedup, op7_exact_top_k, op8_quality_rules, op10_jaccard_join]
+    found = [op2_token_files, op3_packed_sequences, op4_source_mix, op5_substring_dedup, op6_toxicity, op7_exact_top_k, op8_quality_rules, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
