@@ -16,6 +16,7 @@ from fillwise.llm.repair import token_files
 from fillwise.llm.substrings import dedup_substrings
 from fillwise.llm.tokens import tokenizer_path
 from fillwise.llm.packing import pack
+from fillwise.llm.pages import extract_pages
 from fillwise.llm.quality import quality_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +70,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op2_token_files, op3_packed_sequences, op4_source_mix, op5_substring_dedup, op6_toxicity, op7_exact_top_k, op8_quality_rules, op10_jaccard_join]
+    found = [op1_page_text, op2_token_files, op3_packed_sequences, op4_source_mix, op5_substring_dedup, op6_toxicity, op7_exact_top_k, op8_quality_rules, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
