@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fillwise.llm import sql
 from fillwise.llm.jaccard import similarity_join
+from fillwise.llm.lm import cross_entropy_difference
 from fillwise.llm.mixing import mix
 from fillwise.llm.topk import top_k
 from fillwise.llm.toxicity import score_toxicity
@@ -74,10 +75,14 @@ def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_page_text, op2_token_files, op3_packed_sequences, op4_source_mix, op5_substring_dedup, op6_toxicity, op7_exact_top_k, op8_quality_rules, op10_jaccard_join]
+    found = [op1_page_text, op2_token_files, op3_packed_sequences, op4_source_mix, op5_substring_dedup, op6_toxicity, op7_exact_top_k, op8_quality_rules, op9_cross_entropy_difference, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": sql.OP4, "op5_substring_dedup": sql.OP5, "op7_exact_top_k": sql.OP7, "op8_quality_rules": sql.OP8}
+    return {"op4_source_mix": sql.OP4, "op5_substring_dedup": sql.OP5, "op7_exact_top_k": sql.OP7, "op8_quality_rules": sql.OP8, "op9_cross_entropy_difference": sql.OP9}

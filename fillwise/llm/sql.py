@@ -62,3 +62,23 @@ kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gon
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
   sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
 FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)"""
+
+OP9 = rf"""
+WITH v AS (SELECT DISTINCT unnest({_WORDS}) AS w FROM benchmark),
+size AS (SELECT count(*)::BIGINT AS s FROM v),
+dt AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+tt AS (SELECT row_number() OVER () AS rid, {_WORDS} AS w FROM benchmark),
+du AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM dt),
+tu AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM tt),
+dw AS (SELECT rid, i, coalesce(v.w, '') AS x FROM du LEFT JOIN v ON v.w = du.x),
+tw AS (SELECT rid, i, coalesce(v.w, '') AS x FROM tu LEFT JOIN v ON v.w = tu.x),
+dp AS (SELECT rid, coalesce(lag(x) OVER (PARTITION BY rid ORDER BY i), ' ') AS u, x AS v FROM dw),
+tp AS (SELECT rid, coalesce(lag(x) OVER (PARTITION BY rid ORDER BY i), ' ') AS u, x AS v FROM tw),
+b AS (SELECT u, v, count(*)::BIGINT AS n FROM dp GROUP BY u, v), t AS (SELECT u, v, count(*)::BIGINT AS n FROM tp GROUP BY u, v),
+p AS (SELECT coalesce(b.u, t.u) AS u, coalesce(b.v, t.v) AS v, coalesce(b.n, 0) AS b, coalesce(t.n, 0) AS t FROM b FULL JOIN t ON b.u = t.u AND b.v = t.v),
+q AS (SELECT *, sum(b) OVER (PARTITION BY v) AS bv, sum(t) OVER (PARTITION BY v) AS tv, sum(b) OVER (PARTITION BY u) AS bu, sum(t) OVER (PARTITION BY u) AS tu,
+        sum(b) OVER () AS bn, sum(t) OVER () AS tn FROM p),
+l AS (SELECT u, v, round((ln((b + 8.0::DOUBLE * ((bv + 1.0::DOUBLE) / (bn + s + 1)::DOUBLE)) / (bu + 8.0::DOUBLE))
+        - ln((t + 8.0::DOUBLE * ((tv + 1.0::DOUBLE) / (tn + s + 1)::DOUBLE)) / (tu + 8.0::DOUBLE))) * 1e6::DOUBLE)::BIGINT AS loss FROM q, size),
+s AS (SELECT rid, count(*)::BIGINT AS n, sum(loss)::BIGINT AS loss FROM dp JOIN l USING (u, v) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE loss::DOUBLE / (1e6::DOUBLE * n) END AS score FROM dt LEFT JOIN s USING (rid)"""
