@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -35,7 +37,27 @@ def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again.  Cuts the lineage; survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._fillwise_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote; nothing may read ``df`` any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._fillwise_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, so that the next step has the disk.
+
+    Spark's cleaner works on the JVM's weak references; this only makes it look now.  The first collection frees the
+    plans, the second what they held."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1.0)
 
 
 def trimmed(text: str | Column) -> Column:
@@ -62,17 +84,17 @@ def crc32_of_id(column: str) -> Column:
 # --- Arrow batches -----------------------------------------------------------------------------------------------
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches into pieces of at most SLICE_ROWS rows and about SLICE_BYTES of text (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches into pieces of at most ``rows`` rows and about ``size`` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(size)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillwise.llm.common import Words, grams, materialize, slices
+from fillwise.llm.common import Words, discard, grams, materialize, release, slices
 
 #: Bits of a place within a batch, in the keys from which the smallest is taken.
 PLACE_BITS = 30
@@ -146,13 +146,15 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = True,
     docs = docs.select(*(F.col(f"`{c}`") for c in own), F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_tie"))
     slim = docs.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), F.col(f"`{text}`").alias("text"))
     found = materialize(anchors(slim, window))
-    rows = found.select("doc_id", "tie", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("doc_id", "tie", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
-    # the text's tie (32 bits of it) and the place in one number
-    rows = rows.withColumn("ref", F.shiftleft("tie", 32).bitwiseOR(F.col("place").cast("long")))
-    index = rows.groupBy("anchor").agg(F.min(F.struct("doc_id", "ref")).alias("first"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("first.doc_id"))
-    index = index.select("anchor", F.col("first.doc_id").alias("ref_doc"), F.col("first.ref").alias("ref"))
-    matched = rows.drop("ref").join(index, "anchor").groupBy(F.col("doc_id").alias("_mid"), F.col("tie").alias("_mtie")).agg(F.collect_list(F.struct("place", "ref_doc", "ref")).alias("_found"))
-    joined = docs.join(matched, (F.col("_id") == F.col("_mid")) & (F.col("_tie") == F.col("_mtie")), "left").drop("_mid", "_mtie")
+    # 32 bits of the text's tie and the place in one number; it tells rows of one id apart as well
+    rows = found.select("doc_id", "tie", F.explode(F.arrays_zip("anchors", "places")).alias("a"))
+    rows = rows.select(F.col("a.anchors").alias("anchor"), "doc_id", F.shiftleft("tie", 32).bitwiseOR(F.col("a.places").cast("long")).alias("at"))
+    index = rows.groupBy("anchor").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("first.doc_id"))
+    index = index.select("anchor", F.col("first.doc_id").alias("ref_doc"), F.col("first.at").alias("ref"))
+    matched = rows.join(index, "anchor").select("doc_id", F.shiftright("at", 32).cast("int").alias("_mtie"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"), "ref_doc", "ref")
+    matched = matched.groupBy(F.col("doc_id").alias("_mid"), "_mtie").agg(F.collect_list(F.struct("place", "ref_doc", "ref")).alias("_found"))
+    low = F.shiftright(F.shiftleft("_tie", 32), 32).cast("int")
+    joined = docs.join(matched, (F.col("_id") == F.col("_mid")) & (low == F.col("_mtie")), "left").drop("_mid", "_mtie")
 
     pending = T.StructType([*docs.select(*(F.col(f"`{c}`") for c in own)).schema, T.StructField("_id", T.LongType()), T.StructField("_tie", T.LongType()), *_RESULT, *(T.StructField(f"_{n}", T.ArrayType(k)) for n, k in (("begin", T.IntegerType()), ("end", T.IntegerType()), ("start", T.IntegerType()), ("h1", T.LongType()), ("h2", T.LongType())))])
 
@@ -213,6 +215,9 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = True,
             yield pa.RecordBatch.from_arrays(columns, names)
 
     parsed = materialize(joined.mapInArrow(parse, pending))
+    del joined, matched, index, rows
+    discard(found)
+    release(parsed.sparkSession)
     open_ = parsed.where(F.col("_start").isNotNull())
     checks = open_.select("_id", "_tie", F.explode(F.arrays_zip("_start", "_h1", "_h2")).alias("c")).select("_id", "_tie", F.col("c._start").alias("start"), F.col("c._h1").alias("h1"), F.col("c._h2").alias("h2"))
     smallest = checks.groupBy("h1", "h2").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where(F.col("most") > F.col("least")).drop("most")
