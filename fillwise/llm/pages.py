@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import slices
+from fillwise.llm.common import materialize, slices
 
 #: Tokens of a passage, at least; a power of two.
 PASSAGE = 8
@@ -34,6 +34,8 @@ PASSAGE = 8
 PAGES_OUTSIDE, PAGES_INSIDE, SHARE_INSIDE = 3, 8, 0.5
 #: Pages of a host that are sorted together; pages of a bundle of small hosts, about.
 CHUNK, BUNDLE = 256, 512
+#: Hosts up to which their table is broadcast; beyond, it is joined by shuffle.
+BROADCAST_HOSTS = 50_000
 
 INSIDE, OUTSIDE = 0, 1
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -258,7 +260,10 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host string, texts array<string>, zones array<int>, articles array<int>")
     # urls alone are read again to count the pages of each host; a small table
     hosts = rows.select("url").mapInArrow(_hosts, "host string").groupBy("host").count().withColumnRenamed("host", "_host")
-    sized = parsed.join(hosts, F.col("host") == F.col("_host"))
+    hosts = materialize(hosts)
+    # broadcast while the table is known to be small, so that the blocks are shuffled once
+    few = hosts.count() <= BROADCAST_HOSTS
+    sized = parsed.join(F.broadcast(hosts) if few else hosts, F.col("host") == F.col("_host"))
     chunks = F.ceil(F.col("count") / CHUNK).cast("int")
     chunk = F.pmod(F.xxhash64("page_id", "url"), chunks)
     total = F.greatest(F.lit(1), F.lit(pages.count() // BUNDLE)).cast("int")
