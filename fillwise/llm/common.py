@@ -60,6 +60,22 @@ def release(spark: SparkSession) -> None:
         time.sleep(1.0)
 
 
+def neutral(df: DataFrame, **roles: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns renamed by place (c0, c1, ...) or, for those given as role=name, by role.
+
+    Whatever the caller's columns are called, they cannot clash with an operator's own.  Also returns the new names."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    for role, name in roles.items():
+        names[df.columns.index(name)] = role
+    return df.toDF(*names), names
+
+
+def restored(df: DataFrame, names: list[str], original: list[str], results: list[str] = ()) -> DataFrame:
+    """The columns ``names`` under their original names and then ``results``, which replace columns of the same name."""
+    taken = {r.lower() for r in results}
+    return df.select(*(F.col(n).alias(o) for n, o in zip(names, original) if o.lower() not in taken), *results)
+
+
 def trimmed(text: str | Column) -> Column:
     """The text without white space at its ends; a null text is empty."""
     text = F.col(text) if isinstance(text, str) else text

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import Words, grams, materialize, mix64, slices
+from fillwise.llm.common import Words, grams, materialize, mix64, neutral, restored, slices
 from fillwise.llm.components import components
 
 #: Nodes of a block; of a bundle of small components, about.
@@ -242,8 +242,10 @@ def _verified(docs: DataFrame, nodes: DataFrame, parts: DataFrame, n: int, thres
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class of near copies: that of the smallest id."""
-    found = similarity_join(docs, doc_id=doc_id, text=text, **options)
+    original = docs.columns
+    docs, own = neutral(docs, doc_id=doc_id, text=text)
+    found = similarity_join(docs, **options)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tie") == F.col("class_tie"))).select(F.col("doc_id").alias("_kid"), F.col("tie").alias("_ktie")).distinct()
-    mine = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_tie"))
+    mine = docs.select(*own, F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tie"))
     left = mine.join(kept, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_tie") == F.col("_ktie")), "left_semi")
-    return left.dropDuplicates(["_id", "_tie"]).drop("_id", "_tie")
+    return restored(left.dropDuplicates(["_id", "_tie"]), own, original)

@@ -10,8 +10,8 @@ The prefix sums never gather a source in one task: words are first summed by (so
 crosses the line is found on these sums, and only its documents (a 1/``ranges`` share) are sorted.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order;
-equal keys are ordered by id and text; equal rows are interchangeable; an empty table gives an empty result; columns
-of the input are kept, clashing names are refused.
+equal keys are ordered by id and text; equal rows are interchangeable; an empty table gives an empty result; further
+columns are ignored by ``mix`` and kept by ``apply_mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fillwise.llm.common import SPACES, materialize, n_words_column
+from fillwise.llm.common import SPACE_RUN, SPACES, materialize, n_words_column, neutral, restored
 
 #: Sources up to which the table of sources is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -97,24 +97,22 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, max
     return rest.unionByName(edge).select("doc_id", "source", "text_md5", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mixed documents themselves: each row as often as it was taken, the last copy cut to the words it gives.
 
     Returns the columns of ``docs``.  Rows that the mix does not take are left out.
     """
-    plan = mix(docs, text=text, **options).groupBy("doc_id", "text_md5").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    fp = F.md5(F.coalesce(F.col(f"d.`{text}`"), F.lit("")))
-    joined = docs.alias("d").join(plan.alias("p"), F.col(f"d.`{options.get('doc_id', 'doc_id')}`").eqNullSafe(F.col("p.doc_id")) & (fp == F.col("p.text_md5"))).where(F.col("_taken") > 0)
+    original = docs.columns
+    docs, own = neutral(docs, text=text, source=source, doc_id=doc_id)
+    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
+    fingerprint = F.md5(F.coalesce("text", F.lit("")))
+    joined = docs.join(plan.where(F.col("_taken") > 0), F.col("doc_id").eqNullSafe(F.col("_id")) & (fingerprint == F.col("_md5")))
     # equal rows share what they were given: the first ones take the odd words
-    same = Window.partitionBy(F.col("p.doc_id"), F.col("p.text_md5")).orderBy(F.lit(1))
-    joined = joined.select(*own, F.col("_size").alias("_size"), F.col("_taken"), F.col("_rows"), (F.row_number().over(same) - 1).alias("_k"))
+    same = Window.partitionBy("_id", "_md5").orderBy(F.lit(1))
+    joined = joined.withColumn("_k", F.row_number().over(same) - 1)
     mine = F.floor(F.col("_taken") / F.col("_rows")) + F.when(F.col("_k") < F.col("_taken") % F.col("_rows"), 1).otherwise(0)
     joined = joined.withColumn("_mine", mine).where(F.col("_mine") > 0)
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_mine") / F.col("_size")) - 1))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    joined = joined.select(*names, "_size", "_mine", copies.alias("_copy"))
+    joined = joined.select(*own, "_size", "_mine", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_mine") / F.col("_size")) - 1)).alias("_copy"))
     words = F.least(F.col("_size"), F.col("_mine") - F.col("_copy") * F.col("_size"))
-    # the leading words as they stand in the text: everything up to the white space after the last of them
-    cut = F.concat_ws(" ", F.slice(F.split(F.btrim(F.col(f"`{text}`"), F.lit(SPACES)), r"[\x20\x09-\x0D]+"), 1, words.cast("int")))
-    return joined.select(*(F.when(words >= F.col("_size"), c).otherwise(cut).alias(text) if name == text else c for name, c in zip(docs.columns, names)))
+    cut = F.concat_ws(" ", F.slice(F.split(F.btrim("text", F.lit(SPACES)), SPACE_RUN), 1, words.cast("int")))
+    return restored(joined.withColumn("text", F.when(words >= F.col("_size"), F.col("text")).otherwise(cut)), own, original)

@@ -17,7 +17,7 @@ passage that a third of all documents share is no hot group.
 
 Defined results: a null text has no words; a null id is never a reference and loses nothing; rows with one id do not
 count against each other; equal rows give equal results; an empty table gives an empty result; columns of the input
-are kept, and clashing names refused.
+are kept, whatever their names (a result's name is taken over).
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fillwise.llm.common import Words, discard, grams, materialize, release, slices
+from fillwise.llm.common import Words, discard, grams, materialize, neutral, release, restored, slices
 
 #: Bits of a place within a batch, in the keys from which the smallest is taken.
 PLACE_BITS = 30
@@ -136,14 +136,13 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = True,
     """``docs`` with n_words, n_removed, kept_sha256; the text is what is left of it (or null unless ``keep_text``).
 
     A text that loses nothing stays as it is; of others the kept words are joined by one space."""
-    clash = {"n_words", "n_removed", "kept_sha256", "_id", "_tie", "_found"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns would be overwritten: {sorted(clash)}")
     if window < 4:
         raise ValueError("a window has 4 words at least")
-    own = docs.columns
+    original = docs.columns
+    docs, own = neutral(docs, doc_id=doc_id, text=text)
+    text = "text"
     text_at = own.index(text)
-    docs = docs.select(*(F.col(f"`{c}`") for c in own), F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_tie"))
+    docs = docs.select(*own, F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tie"))
     slim = docs.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), F.col(f"`{text}`").alias("text"))
     found = materialize(anchors(slim, window))
     # 32 bits of the text's tie and the place in one number; it tells rows of one id apart as well
@@ -240,4 +239,4 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = True,
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = T.StructType([*docs.select(*(F.col(f"`{c}`") for c in own)).schema, *_RESULT])
-    return finished.unionByName(rest.mapInArrow(finish, schema))
+    return restored(finished.unionByName(rest.mapInArrow(finish, schema)), own, original, [f.name for f in _RESULT])

@@ -7,7 +7,7 @@ of all blocks are merged by query.
 
 Queries are broadcast in chunks of at most ``chunk`` rows (their number is checked, each further chunk is one more
 pass over the candidates); candidates are never moved.  Scores are exact: single precision while every partial sum
-fits 24 bits, double while it fits 53, Python integers beyond.
+fits 24 bits, double while it fits 53, Python integers beyond (a score that no 64-bit integer holds is an error).
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; shorter vectors count as
 padded with zeros; a query does not meet rows that bear its own id; rows with equal id are candidates each, a query
