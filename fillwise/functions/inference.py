@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def onnx_columns(df: DataFrame, model: str | bytes, inputs: Sequence[str], outputs: dict[str, str], shapes: dict[str, Sequence[int]] | None = None) -> DataFrame:
@@ -50,9 +51,7 @@ def onnx_columns(df: DataFrame, model: str | bytes, inputs: Sequence[str], outpu
                 arrays.append(pa.ListArray.from_arrays(offsets, pa.array(y.reshape(-1))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*names, *outputs])
 
-    schema = df.schema
-    for name in outputs:
-        schema = schema.add(name, "array<double>")
+    schema = T.StructType([*df.schema, *(T.StructField(name, T.ArrayType(T.DoubleType())) for name in outputs)])
     return df.mapInArrow(run, schema)
 
 
