@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fillwise.operators.histogram import Histogram, sum_and_count
 from fillwise.operators.lookup import filter_intervals, lookup
+from fillwise.plans.fusion import Book, fuse, split
 from fillwise.sources.readers import read_events, read_intervals, read_luminosity
 
 
@@ -58,7 +59,7 @@ def build_and_run(spark: SparkSession, datasets: Sequence[Dataset], build: Build
     """{dataset: {meta..., weight_sum, event_count, [lumi], output}}.
 
     ``build`` gets the certified events and the dataset and returns (results, ``sum_and_count`` of the weight).  Results
-    are histograms or DataFrames.  If the count that it returns is not that of the certified events, the user has
+    are histograms, DataFrames or a ``Book`` of fills that share one pass.  If the count that it returns is not that of the certified events, the user has
     filtered before summing, and a ValueError is raised; so it is for two results of one name."""
     began = time.monotonic()
     names = [d.name for d in datasets]
@@ -70,9 +71,10 @@ def build_and_run(spark: SparkSession, datasets: Sequence[Dataset], build: Build
         results, totals = build(events, d)
         named: dict = {}
         for r in results:
-            if (name := result_name(r)) in named:
-                raise ValueError(f"{d.name}: two results named {name}")
-            named[name] = r
+            for name in [f.name for f in r.fills] if isinstance(r, Book) else [result_name(r)]:
+                if name in named:
+                    raise ValueError(f"{d.name}: two results named {name}")
+                named[name] = r
         lumi = luminosity(spark, d, run_col, lumi_col) if d.is_data and d.lumi_csv else None
         plans.append((d, events, named, totals, lumi))
     tell = report or (lambda _: None)
@@ -87,7 +89,13 @@ def build_and_run(spark: SparkSession, datasets: Sequence[Dataset], build: Build
         out = {"name": d.name, "is_data": d.is_data, "xsec": d.xsec, "group": d.group, "weight_sum": total["sum"], "event_count": count, "output": {}}
         if lumi is not None:
             out["lumi"] = lumi.first()[0]
+        for book in {id(r): r for r in named.values() if isinstance(r, Book)}.values():
+            fused = fuse(book.df, book.fills).persist()  # one pass for all of them
+            fused.count()
+            out["output"] |= {h.name: h for h in split(fused, book.fills)}
         for name, r in named.items():
+            if isinstance(r, Book):
+                continue
             frame = r.data if isinstance(r, Histogram) else r
             held = frame.persist()
             held.count()

@@ -30,6 +30,14 @@ class Fill:
     storage: str = "weight"
 
 
+@dataclass(frozen=True)
+class Book:
+    """Fills of one table that are to share one pass; a result for the dataset runner."""
+
+    df: DataFrame
+    fills: Sequence[Fill]
+
+
 def fuse(df: DataFrame, fills: Sequence[Fill]) -> DataFrame:
     """(hist, flat, value, variance) of all fills; ``flat`` is the C-order bin number with flow bins."""
     if not fills:

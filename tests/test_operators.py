@@ -15,6 +15,7 @@ from fillwise.operators import shift as S
 from fillwise.operators.histogram import histogram, sum_and_count
 from fillwise.operators.runner import Dataset, build_and_run
 from fillwise.plans.axes import Integer, Regular, StrCategory, Variable
+from fillwise.plans.fusion import Book, Fill
 from fillwise.sources import readers
 from fillwise.sources.readers import generate
 from fillwise.streaming.histogram import streaming_histogram, to_memory
@@ -206,6 +207,15 @@ def test_runner(spark, tmp_path):
     assert out["data"]["event_count"] == expected and out["data"]["lumi"] == 3.5 and out["sim"]["event_count"] == 100
     assert out["sim"]["output"]["h"].to_numpy()["value"].sum() == 100
 
+    def booked(df, d):
+        df = df.withColumn("w", F.lit(1.0))
+        fills = [Fill("a", [Regular("x", bins=7, lo=0.0, hi=7.0)], ["x", "w"]), Fill("b", [Integer("run", lo=0, hi=3)], ["run"], "int64")]
+        return [Book(df, fills), histogram(df, "c", [Integer("run", lo=0, hi=3)], ["run"])], sum_and_count(df, "w")
+
+    shared = build_and_run(spark, [simulated], booked)["sim"]["output"]
+    assert shared["a"].equals(out["sim"]["output"]["h"]) and set(shared) == {"a", "b", "c"}
+    assert shared["b"].to_numpy()["value"].tolist() == [0, 34, 33, 33, 0]
+
     def filtered(df, d):
         df = df.withColumn("w", F.lit(1.0)).where("x > 3")
         return [], sum_and_count(df, "w")
