@@ -6,7 +6,7 @@ rule rejects is not looked at by the next (nested CASE, so a later rule is not e
 cost only: a document is kept exactly if no rule rejects it.
 
 Defined results: a null or empty text has no words and fails the base rule; equal rows give equal results; an empty
-table gives an empty result; further columns are passed on untouched (clashing names are refused).
+table gives an empty result; further columns are passed on, whatever their names (a result's name is taken over).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import SPACE_RUN, SPACES, trimmed
+from fillwise.llm.common import SPACE_RUN, SPACES, neutral, restored, trimmed
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -35,16 +35,23 @@ def _n_words() -> Column:
     return F.when(F.col("_t") == "", 0).otherwise(F.size("_w")).cast("long")
 
 
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_same_words"]
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_same_words; internal columns are dropped again.
+    """Add MEASURES; columns of the input with these names are replaced."""
+    df, names = neutral(docs, text=text)
+    return restored(_measured(df, names), names, docs.columns, MEASURES)
+
+
+def _measured(docs: DataFrame, names: list[str]) -> DataFrame:
+    """MEASURES of the column ``text``, behind the columns ``names``.
 
     The chain of projections keeps every array that is used twice a column of its own, so that none is computed
     again for each element of another.
     """
-    clash = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_same_words"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns would be overwritten: {sorted(clash)}")
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [F.col(c) for c in names]
+    text = "text"
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     df = docs.select(*own, trimmed(F.col(f"`{text}`")).alias("_t"))
     df = df.select(*own, "_t", F.split("_t", SPACE_RUN).alias("_w"))
@@ -87,10 +94,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def default_rules(text: str = "text") -> list[Rule]:
-    """Rules over the measures and the text.  The bounds are lenient: they turn down junk, not unusual prose."""
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    squeezed = F.translate(whole, SPACES, "")
+def default_rules() -> list[Rule]:
+    """Rules over MEASURES and the column ``text``.  The bounds are lenient: they turn down junk, not unusual prose."""
+    squeezed = F.translate(F.coalesce("text", F.lit("")), SPACES, "")
     return [
         Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words")),
         Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),
@@ -142,11 +148,17 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def quality_cascade(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, estimates: list[dict] | None = None, sample_rows: int = 1000) -> DataFrame:
-    """``docs`` with the measures, ``base_failed`` and ``kept``.
+    """``docs`` with MEASURES, ``base_failed`` and ``kept``; columns of the input with these names are replaced.
 
-    ``rules`` default to ``default_rules``; ``estimates`` (of ``estimate``) can be given, else a sample is taken.
+    ``rules`` default to ``default_rules`` and read MEASURES and ``text``; ``estimates`` (of ``estimate``) can be given,
+    else a sample is taken.
     """
-    rules = default_rules(text) if rules is None else rules
-    measured = measures(docs, text)
-    found = estimate(measured, rules, sample_rows) if estimates is None else estimates
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(ordered_rules(rules, found)).isNull()))
+    rules = default_rules() if rules is None else rules
+    df, names = neutral(docs, text=text)
+    measured = _measured(df, names)
+    found = estimate(measured.select("text", *MEASURES), rules, sample_rows) if estimates is None else estimates
+    # always true; being nondeterministic to the optimizer, it keeps a filter on ``kept`` above the measures, which
+    # would else be put into the filter in full for each mention
+    once = F.monotonically_increasing_id() >= 0
+    judged = measured.withColumn("base_failed", base_failed()).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(once & verdict(ordered_rules(rules, found)).isNull()))
+    return restored(judged, names, docs.columns, [*MEASURES, "base_failed", "kept"])
