@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillwise.functions import arrays as A
+from fillwise.functions.inference import onnx_columns
+from fillwise.functions.onnx_models import sum_model
 from fillwise.operators import histogram as H
 from fillwise.operators import lookup as L
 from fillwise.operators import matrix as M
 from fillwise.operators import quantiles as Q
 from fillwise.operators import runner as R
 from fillwise.operators import shift as S
+from fillwise.operators.custom import custom_aggregate
 from fillwise.plans.axes import Boolean, IntCategory, Integer, Regular, StrCategory, Variable
 from fillwise.plans.fusion import Fill, fuse
-from fillwise.sources import readers
+from fillwise.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -460,3 +463,73 @@ UNION ALL SELECT 1, ({_reg('l_extendedprice', 50, 900, 105000)} + 1)::BIGINT, su
 UNION ALL SELECT 2, (({_int('l_linenumber', 2, 6)} + 1) * 6 + {_reg('l_tax', 4, 0, 0.1)} + 1)::BIGINT, count(*)::DOUBLE, count(*)::DOUBLE FROM lineitem GROUP BY 2""")
 def fused_histograms(spark, d):
     return fuse(table(spark, d, "lineitem"), _FUSED)
+
+
+@query("SELECT round(sum((event_id % 7) * 10 + event_id % 5), 4)::DOUBLE AS lumi FROM events WHERE event_id % 7 = 1 OR (event_id % 7 = 3 AND event_id % 5 BETWEEN 1 AND 2)")
+def luminosity_sum(spark, d):
+    # one row per block is simulated by the events themselves
+    path = shared_folder(spark)
+    lines = ["#tag", "#run:fill,ls,recorded(/fb)"] + [f"{r}:1,{b}:{b},{r * 10 + b}.0" for r in range(7) for b in range(5)]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    blocks = table(spark, d, "events").select((F.col("event_id") % 7).alias("run"), (F.col("event_id") % 5).alias("lumi"))
+    certified = readers.intervals_from_json(spark.range(1).select(F.lit('{"1": [[0, 0]], "3": [[1, 2]]}').alias("value")))
+    kept = L.filter_intervals(blocks, certified, "run", "lumi")
+    out = L.lookup(kept, readers.read_luminosity(spark, path), {"run": "run", "lumi": "lumi"}, "value", "v", order="line", missing="lumi not found")
+    return out.agg(F.round(F.sum("v"), 4).alias("lumi"))
+
+
+@query("SELECT * FROM (VALUES (5::BIGINT, 1::BIGINT, 1454234400.0::DOUBLE), (5::BIGINT, 2::BIGINT, 1454234423.0::DOUBLE)) t(run, lumi, value)")
+def csv_times(spark, d):
+    path = shared_folder(spark)
+    lines = ["#tag", "#run:fill,ls,time", "5:77,1:1,01/31/16 10:00:00", "5:77,2:2,01/31/16 10:00:23", "#end"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return readers.read_times(spark, path).select("run", "lumi", "value")
+
+
+@query(_SPARSE3)
+def histogram_sink(spark, d):
+    """Written with its manifest and read back."""
+    path = shared_folder(spark)
+    sinks.write_histograms(spark, path, [H.histogram(table(spark, d, "lineitem"), "h", _AXES3, ["l_quantity", "l_discount", "l_returnflag", "l_tax"], "sparse")])
+    return rounded(sinks.read_histograms(spark, path)[0]["h"].data)
+
+
+@query(f"SELECT {_reg('l_quantity', 20, 0, 60)} AS qty_idx, {_int('l_linenumber', 2, 6)} AS line_idx, count(*)::DOUBLE AS value, count(*)::DOUBLE AS variance FROM lineitem GROUP BY 1, 2")
+def histogram_conversion(spark, d):
+    """To arrays with flow bins and back."""
+    h = H.histogram(table(spark, d, "lineitem"), "h", [_QTY, Integer("line", lo=2, hi=6)], ["l_quantity", "l_linenumber"])
+    return sinks.from_arrays(spark, sinks.to_arrays(h)).data
+
+
+@query("SELECT l_returnflag, sum(l_linenumber)::BIGINT AS total, max(l_quantity) AS most FROM lineitem GROUP BY 1")
+def user_aggregate(spark, d):
+    def partial(frames):
+        import pandas as pd
+
+        parts = [f.groupby("l_returnflag", as_index=False).agg(s=("l_linenumber", "sum"), m=("l_quantity", "max")) for f in frames if len(f)]
+        return pd.concat(parts) if parts else pd.DataFrame({"l_returnflag": [], "s": [], "m": []})
+
+    df = table(spark, d, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity")
+    return custom_aggregate(df, partial, "l_returnflag string, s long, m double", ["l_returnflag"], [F.sum("s").alias("total"), F.max("m").alias("most")])
+
+
+@query("SELECT vec_id, round((embedding[1]::DOUBLE + embedding[3]::DOUBLE) * 2, 3) AS y FROM embeddings")
+def onnx_inference(spark, d):
+    df = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("a"), F.slice("embedding", 3, 2).alias("b"))
+    return onnx_columns(df, sum_model(2), ["a", "b"], {"out": "twice"}).select("vec_id", F.round(F.col("out")[0], 3).alias("y"))
+
+
+@query("SELECT range::BIGINT AS entry, (range % 20 + 0.5)::DOUBLE AS x FROM range(100)")
+def generated_rows(spark, d):
+    return readers.generate(spark, 100, x="double(entry % 20) + 0.5D")
+
+
+@query("SELECT count(*)::BIGINT AS n FROM (SELECT event_id FROM events UNION ALL SELECT event_id FROM events)")
+def multi_file_scan(spark, d):
+    return readers.read_events(spark, [f"{d}/events.parquet", f"{d}/events.parquet"]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT i AS j, coalesce((SELECT sum(l_partkey) FROM lineitem WHERE (l_linenumber = 2 AND l_quantity::INT % 7 = i AND i >= 2) OR (l_quantity::INT % 7 = 2 AND l_linenumber = i AND i > 2)), 0)::DOUBLE AS value FROM range(8) r(i)")
+def sym_matrix_row(spark, d):
+    df = table(spark, d, "lineitem").select("l_linenumber", (F.col("l_quantity").cast("int") % 7).alias("k"), F.col("l_partkey").cast("double").alias("v"))
+    return M.symmetric_row(M.symmetric(df, "l_linenumber", "k", "v"), 2, 8)

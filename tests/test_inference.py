@@ -1,56 +1,28 @@
-"""Batched ONNX inference on a model that the test writes itself."""
+"""Batched ONNX inference on a model written field by field."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from fillwise.functions.inference import onnx_columns, tflite_columns
+from fillwise.functions.onnx_models import sum_model
 
 pytest.importorskip("onnxruntime")
 
 
-def varint(n: int) -> bytes:
-    out = b""
-    while n > 127:
-        out, n = out + bytes([n & 127 | 128]), n >> 7
-    return out + bytes([n])
-
-
-def number(field: int, n: int) -> bytes:
-    return varint(field << 3) + varint(n)
-
-
-def chunk(field: int, data: bytes | str) -> bytes:
-    data = data.encode() if isinstance(data, str) else data
-    return varint(field << 3 | 2) + varint(len(data)) + data
-
-
-def tensor(name: str, width: int) -> bytes:
-    shape = chunk(1, chunk(2, "batch")) + chunk(1, number(1, width))
-    return chunk(1, name) + chunk(2, chunk(1, number(1, 1) + chunk(2, shape)))
-
-
-def model(width: int) -> bytes:
-    """total = a + b, twice = total + total; all of float[batch, width]."""
-    nodes = [(("a", "b"), "total"), (("total", "total"), "twice")]
-    graph = b"".join(chunk(1, b"".join(chunk(1, i) for i in inputs) + chunk(2, out) + chunk(4, "Add")) for inputs, out in nodes)
-    graph += chunk(2, "g") + b"".join(chunk(11, tensor(n, width)) for n in ("a", "b")) + b"".join(chunk(12, tensor(n, width)) for n in ("total", "twice"))
-    return number(1, 8) + chunk(7, graph) + chunk(8, number(2, 13))
-
-
 def test_onnx(spark, tmp_path):
-    (tmp_path / "m.onnx").write_bytes(model(3))
+    (tmp_path / "m.onnx").write_bytes(sum_model(3))
     df = spark.range(100).select("id", F.array(*(F.col("id").cast("double") + k for k in range(3))).alias("x"), F.array(*(F.lit(1.0) * k for k in range(3))).alias("y")).repartition(3)
     out = onnx_columns(df, str(tmp_path / "m.onnx"), ["x", "y"], {"t": "total", "tt": "twice"}, {"x": (3,)})
     for r in out.collect():
         assert r.t == [r.id, r.id + 2.0, r.id + 4.0] and r.tt == [2 * v for v in r.t]
-    assert onnx_columns(df.limit(0), model(3), ["x", "y"], {"t": "total"}).count() == 0
+    assert onnx_columns(df.limit(0), sum_model(3), ["x", "y"], {"t": "total"}).count() == 0
     with pytest.raises(ValueError):
-        onnx_columns(df, model(3), ["x", "y"], {"x": "total"})
+        onnx_columns(df, sum_model(3), ["x", "y"], {"x": "total"})
 
 
 def test_scalars(spark):
     df = spark.range(5).select("id", F.col("id").cast("double").alias("x"))
-    assert [r.t for r in onnx_columns(df, model(1), ["x", "x"], {"t": "total"}).orderBy("id").collect()] == [[2.0 * i] for i in range(5)]
+    assert [r.t for r in onnx_columns(df, sum_model(1), ["x", "x"], {"t": "total"}).orderBy("id").collect()] == [[2.0 * i] for i in range(5)]
 
 
 def test_tflite_is_refused():
