@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -102,17 +104,20 @@ def crc32_of_id(column: str) -> Column:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces of at most ``rows`` rows and about ``size`` bytes of text (one row at least)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(sizes)
-        at = 0
-        while at < batch.num_rows:
-            before = ends[at - 1] if at else 0
-            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
-            yield batch.slice(at, to - at)
-            at = to
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            at = 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -126,6 +131,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Return freed memory to the system: an idle Python worker stays alive and would hold it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Words:
     """Words of a batch of texts: ``codes`` index ``vocabulary`` (unique words), ``starts`` bounds each text's words."""
 

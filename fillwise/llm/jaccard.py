@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import Words, grams, materialize, mix64, neutral, restored, slices
+from fillwise.llm.common import Words, give_back, grams, materialize, mix64, neutral, restored, slices
 from fillwise.llm.components import components
 
 #: Nodes of a block; of a bundle of small components, about.
@@ -160,8 +160,7 @@ def verify(groups: DataFrame, n: int, threshold: Fraction, depth: int, trees: in
     ``groups`` has (group, component, side, whole, node, copies, text): side 0 or 1 in a pair of blocks, -1 within one."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        h, bounds, _, _ = shingles(table.column("text").combine_chunks() if isinstance(table.column("text"), pa.ChunkedArray) else table.column("text"), n)
+        h, bounds, _, _ = shingles(pa.concat_arrays(table.column("text").chunks), n)
         nodes = table.column("node").to_pylist()
         copies = table.column("copies").to_numpy()
         side = table.column("side").to_numpy()
@@ -185,6 +184,7 @@ def verify(groups: DataFrame, n: int, threshold: Fraction, depth: int, trees: in
             standing[at] = np.where(linked, 1.0 / found_at(np.where(linked, similarity, 1.0), depth, trees), 0.0).sum(1)
             for i, r in zip(members, roots(linked)):
                 root[i] = nodes[members[r]]
+        give_back()
         return pa.table({"node": pa.array(nodes, pa.binary()), "root": pa.array(root, pa.binary()), "links": links, "found": found, "standing_for": standing, "whole": table.column("whole")})
 
     return groups.groupBy("group").applyInArrow(run, "node binary, root binary, links long, found double, standing_for double, whole boolean")

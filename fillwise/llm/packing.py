@@ -167,7 +167,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, pieces: str, end_id: int, capa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, pieces).encode
-        for batch in slices(batches):
+        for batch in slices(batches, rows=8192, size=12_000_000):
             ids, bounds = append(*encode(batch.column(1)), end_id)
             n = np.diff(bounds)
             parts = -(-n // capacity)

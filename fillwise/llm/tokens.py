@@ -12,15 +12,14 @@ from __future__ import annotations
 
 import sys
 import types
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from fillwise.llm.common import Words, ranges
-
 #: Distinct pieces remembered by a Python worker (about 150 bytes each); those that come later are encoded each time.
-CACHE = 1_200_000
+CACHE = 400_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,19 +28,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str, pieces: str) -> Encoder:
+def encoder(path: str, pieces: str, cache: int = CACHE) -> Encoder:
     """The encoder of this Python worker, which keeps it from task to task."""
     held = sys.modules.setdefault("fillwise_worker", types.ModuleType("fillwise_worker"))
-    key = (path, pieces)
+    key = (path, pieces, cache)
     if getattr(held, "key", None) != key:
-        held.encoder, held.key = Encoder(path, pieces), key
+        held.encoder = None  # the old one goes first
+        held.encoder, held.key = Encoder(path, pieces, cache), key
     return held.encoder
 
 
 class Encoder:
     """Encodes Arrow arrays of texts and remembers the ids of their pieces."""
 
-    def __init__(self, path: str, pieces: str):
+    def __init__(self, path: str, pieces: str, cache: int = CACHE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,101 +51,115 @@ class Encoder:
             raise ValueError(f"unknown kind of pieces: {pieces}")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.pieces = pieces
-        self.small = self.tokenizer.get_vocab_size() <= 65536
-        self._forget()
+        self.pieces, self.most = pieces, cache
+        # a piece's number by its string; the first piece of a text, without its space, is a table of its own
+        self.tables = {" ": _Table(), "": _Table()}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _table(self, vocabulary: list[str], prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces, bounds): those not seen before are encoded in one call."""
-        places = self.places
-        keys = [prefix + w for w in vocabulary] if prefix else vocabulary
-        new = [k for k in keys if k not in places]
+    def _numbers(self, words: list[str], prefix: str) -> tuple[np.ndarray, _Table]:
+        """Each word's number in a table that holds them all; the lasting table, unless that is full."""
+        table = self.tables[prefix]
+        numbers = np.fromiter(map(table.numbers.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(numbers < 0)
+        if not len(missing):
+            return numbers, table
+        new = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
+        if len(table.numbers) > self.most:
+            table = table.copy()
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, np.uint16 if self.small else np.uint32)
+            e = self.tokenizer.encode([prefix + w for w in part] if prefix else part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
             bounds = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))
-            places.update(zip(part, range(self.n_pieces, self.n_pieces + len(part))))
-            self.known.append((ids, np.diff(bounds)))
-            self.n_pieces += len(part)
-        if new:
-            ids, lengths = (np.concatenate(x) for x in zip(*self.known))
-            self.known = [(ids, lengths)]
-            self.bounds = np.concatenate(([0], np.cumsum(lengths)))
-        order = np.fromiter(map(places.__getitem__, keys), np.int64, len(keys))
-        out = _gather(self.known[0][0], self.bounds, order, np.arange(len(order) + 1))
-        if self.n_pieces > CACHE and new:  # full: what this batch brought is not kept
-            for k in new:
-                del places[k]
-            self.n_pieces -= len(new)
-            self.bounds = self.bounds[: self.n_pieces + 1]
-            self.known = [(self.known[0][0][: self.bounds[-1]], self.known[0][1][: self.n_pieces])]
-        return out
-
-    def _forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.known = [(np.zeros(0, np.uint16 if self.small else np.uint32), np.zeros(0, np.int64))]
-        self.bounds = np.zeros(1, np.int64)
-        self.n_pieces = 0
+            table.add(part, ids, np.diff(bounds))
+        numbers[missing] = np.fromiter((table.find(words[i]) for i in missing.tolist()), np.int64, len(missing))
+        return numbers, table.settled()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each text's ids); a null text is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.pieces == "none":
             return _joined(self._whole(texts.to_pylist()))
-        if self.pieces == "spaces":
-            words = Words(texts)
-            ids, bounds = self._table(words.vocabulary.to_pylist())
-            return _gather(ids, bounds, words.codes, words.starts)
-        return self._encode_bytes(texts)
-
-    def _encode_bytes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.split_pattern(texts, " ")
+        lists = pc.ascii_split_whitespace(texts) if self.pieces == "spaces" else pc.split_pattern(texts, " ")
         starts = lists.offsets.to_numpy().astype(np.int64)
-        starts = starts - starts[0]
-        encoded = lists.flatten().dictionary_encode()
-        codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        vocabulary = encoded.dictionary.to_pylist()
+        starts -= starts[0]
+        distinct = lists.flatten().dictionary_encode()
+        codes = distinct.indices.to_numpy(zero_copy_only=False)
+        vocabulary = distinct.dictionary.to_pylist()
+        del lists, distinct
+        if self.pieces == "spaces":
+            numbers, table = self._numbers(vocabulary, "")
+            return _gather(table.ids, table.bounds, numbers[codes] if len(codes) else numbers, starts)
+        first = starts[:-1]
+        heads, head_table = self._numbers([vocabulary[c] for c in codes[first].tolist()], "")
+        numbers, table = self._numbers(vocabulary, " ")
         # a piece can be followed by a cut if its last character isn't white space
-        firm = np.fromiter((bool(w) and not w[-1].isspace() for w in vocabulary), bool, len(vocabulary))
-        loose = ~firm[codes]
-        last = starts[1:] - 1
-        loose[last] = False
-        before = np.concatenate(([0], np.cumsum(loose)))
-        odd = before[starts[1:]] > before[starts[:-1]]
-        # later pieces bear the space, first ones don't
-        first = np.zeros(len(codes), bool)
-        first[starts[:-1]] = True
-        used = np.zeros(len(vocabulary), bool)
-        used[codes[~first & ~np.repeat(odd, np.diff(starts))]] = True
-        spaced = np.flatnonzero(used)
-        heads = np.unique(codes[first])
-        ids, bounds = self._table([vocabulary[i] for i in spaced], " ")
-        head_ids, head_bounds = self._table([vocabulary[i] for i in heads])
-        table = np.concatenate((ids, head_ids))
-        bounds = np.concatenate((bounds, head_bounds[1:] + len(ids)))
-        place = np.zeros(len(vocabulary), np.int64)
-        place[spaced] = np.arange(len(spaced))
-        head_place = np.zeros(len(vocabulary), np.int64)
-        head_place[heads] = len(spaced) + np.arange(len(heads))
-        codes = np.where(first, head_place[codes], place[codes])
+        firm = table.firm[numbers]
+        if firm.all():
+            odd = np.zeros(len(first), bool)
+        else:
+            loose = ~firm[codes]
+            loose[starts[1:] - 1] = False
+            before = np.concatenate(([0], np.cumsum(loose)))
+            odd = before[starts[1:]] > before[starts[:-1]]
+        # first pieces come without a space: their ids stand behind those of the others
+        numbers = numbers[codes]
+        numbers[first] = heads + len(table.lengths)
+        table = _Table.joined(table, head_table)
+        ids, ends = _gather(table.ids, table.bounds, numbers, starts)
         if not odd.any():
-            return _gather(table, bounds, codes, starts)
-        plain_rows = np.flatnonzero(~odd)
-        keep = np.repeat(~odd, np.diff(starts))
-        ids, ends = _gather(table, bounds, codes[keep], np.concatenate(([0], np.cumsum(np.diff(starts)[plain_rows]))))
-        out: list[np.ndarray] = [None] * len(odd)
-        for row, a, b in zip(plain_rows, ends[:-1], ends[1:]):
-            out[row] = ids[a:b]
-        odd_rows = np.flatnonzero(odd)
-        for row, whole in zip(odd_rows, self._whole(texts.take(pa.array(odd_rows)).to_pylist())):
-            out[row] = whole
+            return ids, ends
+        out = np.split(ids, ends[1:-1]) if len(ends) > 2 else [ids]
+        rows = np.flatnonzero(odd)
+        for row, exact in zip(rows.tolist(), self._whole(texts.take(pa.array(rows)).to_pylist())):
+            out[row] = exact
         return _joined(out)
 
 
+class _Table:
+    """Pieces' numbers, ids and whether they end in a character other than white space."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.extra: dict[str, int] = {}
+        self.lasting = True
+        self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.firm, self.bounds = np.zeros(0, bool), np.zeros(1, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def copy(self) -> _Table:
+        """A table for one batch that shares the numbers known so far."""
+        out = _Table()
+        out.__dict__ |= self.__dict__ | {"extra": {}, "lasting": False, "parts": []}
+        return out
+
+    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at = len(self.lengths) + sum(len(p[1]) for p in self.parts)
+        (self.numbers if self.lasting else self.extra).update(zip(words, range(at, at + len(words))))
+        self.parts.append((ids, lengths, np.fromiter((bool(w) and not w[-1].isspace() for w in words), bool, len(words))))
+
+    def find(self, word: str) -> int:
+        n = self.numbers.get(word)
+        return self.extra[word] if n is None else n
+
+    def settled(self) -> _Table:
+        if self.parts:
+            ids, lengths, firm = zip(*self.parts)
+            self.ids, self.lengths, self.firm = np.concatenate((self.ids, *ids)), np.concatenate((self.lengths, *lengths)), np.concatenate((self.firm, *firm))
+            self.bounds = np.concatenate(([0], np.cumsum(self.lengths)))
+            self.parts = []
+        return self
+
+    @staticmethod
+    def joined(a: _Table, b: _Table) -> _Table:
+        out = _Table()
+        out.ids, out.lengths = np.concatenate((a.ids, b.ids)), np.concatenate((a.lengths, b.lengths))
+        out.bounds = np.concatenate((a.bounds, b.bounds[1:] + a.bounds[-1]))
+        return out
+
+
 def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     return (np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)), np.concatenate(([0], np.cumsum(lengths)))
@@ -154,9 +168,13 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _gather(ids: np.ndarray, bounds: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the pieces ``codes`` in order, and where each text's ids start; ``starts`` bounds its pieces."""
     lengths = np.diff(bounds)[codes] if len(codes) else np.zeros(0, np.int64)
-    at = np.repeat(bounds[:-1][codes] if len(codes) else lengths, lengths) + ranges(lengths)
     ends = np.concatenate(([0], np.cumsum(lengths)))
-    return ids[at].astype(np.uint32, copy=False), ends[starts]
+    # a piece's first id in the table, less its place in the result
+    kind = np.int32 if max(len(ids), int(ends[-1])) < 1 << 31 else np.int64
+    shift = (bounds[:-1][codes] - ends[:-1]).astype(kind) if len(codes) else np.zeros(0, kind)
+    at = np.repeat(shift, lengths)
+    at += np.arange(len(at), dtype=kind)
+    return ids[at], ends[starts]
 
 
 def append(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
