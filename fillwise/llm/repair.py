@@ -38,69 +38,96 @@ MAGIC = b"RPG1"
 HEAD = "<4sIIQQBI"
 #: Ids of a shard, at least, before it is closed.
 SHARD_IDS = 1_000_000
+#: Pieces that a Python worker remembers.
+CACHE = 1_250_000
 #: A pair is replaced if it occurs so often in its shard; a round must save this share of the symbols for another.
-LEAST, WORTH = 4, 0.004
+LEAST, WORTH = 4, 0.06
+SLOT_BITS = 19
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        if pairs.dtype == np.uint32:
+            return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+        return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST, worth: float = WORTH, most_rules: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, bounds of the documents' symbols, rules).  ``most_rules`` holds symbols within 16 bits by default."""
-    most_rules = max(0, 65536 - base) if most_rules is None and base <= 65536 else most_rules if most_rules is not None else 1 << 20
-    s = ids.astype(np.int64)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    if most_rules is None:
+        most_rules = 65535 - base if base < 65535 else 1 << 20
+    # a pair in one number; half the width if all symbols fit 16 bits
+    kind, bits = (np.uint32, 16) if base + most_rules < 65536 else (np.uint64, 32)
+    shift, mask, none = kind(bits), kind((1 << bits) - 1), kind((1 << 2 * bits) - 1)  # none: the pair over the end of a document
+    s = ids.astype(kind)
+    full = np.diff(bounds) > 0
+    ends = bounds[1:][full] - 1  # the last symbol of each document
     rules: list[np.ndarray] = []
     n_rules = 0
     while len(s) > 1 and n_rules < most_rules:
-        code = (s[:-1] << 32) | s[1:]
-        inner = doc[:-1] == doc[1:]
-        ordered = np.sort(code[inner])
+        code = (s[:-1] << shift) | s[1:]
+        code[ends[:-1]] = none
+        ordered = np.sort(code)
+        ordered = ordered[: np.searchsorted(ordered, none)]
         if not len(ordered):
             break
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count = np.diff(np.concatenate((edge, [len(ordered)])))
+        edge = np.flatnonzero(ordered[1:] != ordered[:-1])
+        edge = np.concatenate(([0], edge + 1))
+        count = np.diff(edge, append=len(ordered)).astype(np.int32)
         often = np.flatnonzero(count >= least)
         if not len(often):
             break
-        room = min(most_rules - n_rules, max(64, most_rules // 4))
+        room = min(most_rules - n_rules, max(64, most_rules * 2 // 3))
         if len(often) > room:
             often = often[np.argsort(-count[often], kind="stable")[:room]]
-        pairs, count = ordered[edge[often]], count[often]
-        order = np.argsort(pairs)
-        pairs, count = pairs[order], count[order]
-        at = np.searchsorted(pairs, code)
-        at[at == len(pairs)] = 0
-        hit = inner & (pairs[at] == code)
-        where = np.flatnonzero(hit)
-        rank = at[where]
+        # a pair is found by a hash into a table; of two pairs in one slot the more frequent one is replaced now
+        order = np.argsort(count[often], kind="stable")
+        pairs, count = ordered[edge[often]][order], count[often][order]
+        table = np.full(1 << SLOT_BITS, -1, np.int32)
+        table[_slots(pairs)] = np.arange(len(pairs), dtype=np.int32)
+        rank = table[_slots(code)]
+        where = np.flatnonzero(rank >= 0)
+        rank = rank[where]
+        same = pairs[rank] == code[where]
+        where, rank = where[same], rank[same]
         # of two pairs that overlap, the more frequent one stays; equal ones alternate along their run
+        touch = np.diff(where) == 1
         weight = count[rank]
-        touch_before = np.concatenate(([False], where[1:] == where[:-1] + 1))
-        touch_after = np.concatenate((touch_before[1:], [False]))
-        w_before = np.where(touch_before, np.concatenate(([0], weight[:-1])), 0)
-        w_after = np.where(touch_after, np.concatenate((weight[1:], [0])), 0)
-        strong = (weight >= w_before) & (weight >= w_after)
+        lighter, heavier = weight[1:] < weight[:-1], weight[1:] > weight[:-1]
+        strong = np.ones(len(where), bool)
+        strong[1:] &= ~(touch & lighter)
+        strong[:-1] &= ~(touch & heavier)
         where, rank = where[strong], rank[strong]
-        fresh = np.concatenate(([True], where[1:] != where[:-1] + 1))
-        starts = np.flatnonzero(fresh)
-        place = np.arange(len(where)) - starts[np.cumsum(fresh) - 1]
-        keep = place % 2 == 0
-        where, rank = where[keep], rank[keep]
-        got = np.bincount(rank, minlength=len(pairs))
-        good = got >= 2
+        touch = where[1:] == where[:-1] + 1
+        if touch.any():
+            second = np.flatnonzero(touch) + 1
+            fresh = np.concatenate(([True], second[1:] != second[:-1] + 1))
+            starts = np.flatnonzero(fresh)
+            odd = (np.arange(len(second)) - np.repeat(starts, np.diff(starts, append=len(second)))) % 2 == 0
+            keep = np.ones(len(where), bool)
+            keep[second[odd]] = False
+            where, rank = where[keep], rank[keep]
+        good = np.bincount(rank, minlength=len(pairs)) >= 2
         if not good.any():
             break
-        where, rank = where[good[rank]], rank[good[rank]]
-        number = np.cumsum(good) - 1
-        rules.append(np.stack((pairs[good] >> 32, pairs[good] & 0xFFFFFFFF), 1))
-        s[where] = base + n_rules + number[rank]
+        if not good.all():
+            use = good[rank]
+            where, rank = where[use], rank[use]
+        number = (np.cumsum(good) - 1).astype(kind)
+        rules.append(np.stack((pairs[good] >> shift, pairs[good] & mask), 1).astype(np.uint32))
+        s[where] = number[rank] + kind(base + n_rules)
         n_rules += int(good.sum())
+        where += 1
         left = np.ones(len(s), bool)
-        left[where + 1] = False
+        left[where] = False
         saved = len(where) / len(s)
-        s, doc = s[left], doc[left]
+        s = s[left]
+        ends = ends - np.searchsorted(where, ends, "right")
         if saved < worth:
             break
-    table = np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
-    return s.astype(np.uint32), np.searchsorted(doc, np.arange(len(bounds))), table
+    counts = np.zeros(len(bounds) - 1, np.int64)
+    counts[full] = np.diff(ends, prepend=-1)
+    return s.astype(np.uint32), np.concatenate(([0], np.cumsum(counts))), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -170,21 +197,20 @@ class Shard:
         self.doc_ids = [None if null else int(i) for i, null in zip(docs["id"], docs["null"])]
         self.starts = np.concatenate(([0], np.cumsum(docs["ids"].astype(np.int64))))
         self.symbol_starts = np.concatenate(([0], np.cumsum(docs["symbols"].astype(np.int64))))
-        self._expanded: tuple[np.ndarray, np.ndarray] | None = None
+        self._expanded: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         if self._expanded is None:
-            self._expanded = expansions(self.rules, self.base, self.lengths)
-        flat, bounds = self._expanded
-        symbols = symbols.astype(np.int64)
-        inner = symbols >= self.base
-        rule = np.where(inner, symbols - self.base, 0)
-        n = np.where(inner, self.lengths[rule], 1) if len(self.lengths) else np.ones(len(symbols), np.int64)
-        out = np.repeat(symbols, n).astype(np.uint32)
-        if inner.any():
-            step = ranges(n[inner])
-            out[np.repeat(inner, n)] = flat[np.repeat(bounds[rule[inner]], n[inner]) + step]
-        return out
+            # one table for all symbols: an id stands for itself, a nonterminal for its expansion
+            flat, bounds = expansions(self.rules, self.base, self.lengths)
+            self._expanded = np.concatenate((np.arange(self.base, dtype=np.uint32), flat)), np.concatenate((np.arange(self.base), self.base + bounds[:-1])).astype(np.int32), np.concatenate((np.ones(self.base, np.int32), self.lengths.astype(np.int32)))
+        flat, first, lengths = self._expanded
+        n = lengths[symbols]
+        ends = np.cumsum(n, dtype=np.int64)
+        kind = np.int32 if not len(ends) or ends[-1] < 1 << 31 else np.int64
+        at = np.repeat(first[symbols] - (ends - n).astype(kind), n)
+        at += np.arange(len(at), dtype=kind)
+        return flat[at]
 
     def ids(self) -> np.ndarray:
         return self._expand(self.symbols)
@@ -217,7 +243,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pieces: str, e
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encode = encoder(tokenizer, pieces).encode
+        encode = encoder(tokenizer, pieces, CACHE).encode
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
@@ -227,7 +253,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pieces: str, e
             data = pack(doc_ids, ids, np.concatenate(([0], np.cumsum(np.concatenate(lengths)))), base)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_ids", "data"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, rows=8192, size=12_000_000):
             ids, bounds = append(*encode(batch.column(1)), end_id)
             doc_ids += batch.column(0).to_pylist()
             held.append(ids)

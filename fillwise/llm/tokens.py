@@ -4,8 +4,9 @@ A text is cut where the tokenizer's own pre-tokenization always cuts, so that th
 pieces, one after the other; a batch then encodes its distinct pieces only.  Two cuts are known:
 
 * ``spaces``: the tokenizer drops white space (a word-end BPE): pieces are the words.
-* ``bytes``: a byte-level BPE that glues one space to the word behind it: a piece starts at a space that follows a
-  character other than white space.  Texts with other spaces, such as two in a row, are encoded as a whole.
+* ``bytes``: a byte-level BPE that glues one space to the word behind it: a piece starts at a space or
+  line feed that follows a character other than white space.  Texts with other white space, such as two spaces in a
+  row, are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -59,22 +60,25 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _numbers(self, words: list[str], prefix: str) -> tuple[np.ndarray, _Table]:
-        """Each word's number in a table that holds them all; the lasting table, unless that is full."""
+        """Each word's number in a table that holds them all (words are distinct); the lasting table, unless that is full."""
         table = self.tables[prefix]
         numbers = np.fromiter(map(table.numbers.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(numbers < 0)
         if not len(missing):
             return numbers, table
-        new = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
+        new = [words[i] for i in missing.tolist()]
         if len(table.numbers) > self.most:
             table = table.copy()
+        first = len(table.lengths)
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
-            e = self.tokenizer.encode([prefix + w for w in part] if prefix else part, is_pretokenized=True, add_special_tokens=False)
+            e = self.tokenizer.encode([w if w.startswith("\n") else prefix + w for w in part] if prefix else part, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, np.uint32)
             bounds = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))
-            table.add(part, ids, np.diff(bounds))
-        numbers[missing] = np.fromiter((table.find(words[i]) for i in missing.tolist()), np.int64, len(missing))
+            table.parts.append((ids, np.diff(bounds)))
+        if table.lasting:
+            table.numbers.update(zip(new, range(first, first + len(new))))
+        numbers[missing] = np.arange(first, first + len(new))
         return numbers, table.settled()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,21 +86,26 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.pieces == "none":
             return _joined(self._whole(texts.to_pylist()))
-        lists = pc.ascii_split_whitespace(texts) if self.pieces == "spaces" else pc.split_pattern(texts, " ")
+        if self.pieces == "spaces":
+            lists = pc.ascii_split_whitespace(texts)
+        else:  # a line feed starts a piece as a space does; such a piece keeps it and gets no space
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         starts = lists.offsets.to_numpy().astype(np.int64)
         starts -= starts[0]
         distinct = lists.flatten().dictionary_encode()
         codes = distinct.indices.to_numpy(zero_copy_only=False)
-        vocabulary = distinct.dictionary.to_pylist()
+        pieces = distinct.dictionary
+        vocabulary = pieces.to_pylist()
         del lists, distinct
         if self.pieces == "spaces":
             numbers, table = self._numbers(vocabulary, "")
             return _gather(table.ids, table.bounds, numbers[codes] if len(codes) else numbers, starts)
         first = starts[:-1]
-        heads, head_table = self._numbers([vocabulary[c] for c in codes[first].tolist()], "")
+        head_codes, which = np.unique(codes[first], return_inverse=True)
+        heads, head_table = self._numbers([vocabulary[c] for c in head_codes.tolist()], "")
         numbers, table = self._numbers(vocabulary, " ")
         # a piece can be followed by a cut if its last character isn't white space
-        firm = table.firm[numbers]
+        firm = ~pc.match_substring_regex(pieces, _ENDS_IN_SPACE).to_numpy(zero_copy_only=False).astype(bool)
         if firm.all():
             odd = np.zeros(len(first), bool)
         else:
@@ -106,7 +115,7 @@ class Encoder:
             odd = before[starts[1:]] > before[starts[:-1]]
         # first pieces come without a space: their ids stand behind those of the others
         numbers = numbers[codes]
-        numbers[first] = heads + len(table.lengths)
+        numbers[first] = heads[which] + len(table.lengths)
         table = _Table.joined(table, head_table)
         ids, ends = _gather(table.ids, table.bounds, numbers, starts)
         if not odd.any():
@@ -118,36 +127,30 @@ class Encoder:
         return _joined(out)
 
 
+#: Empty, or a last character that is white space to any tokenizer (RE2 syntax).
+_ENDS_IN_SPACE = r"(^|[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])\z"
+
+
 class _Table:
-    """Pieces' numbers, ids and whether they end in a character other than white space."""
+    """Pieces' numbers and ids."""
 
     def __init__(self):
         self.numbers: dict[str, int] = {}
-        self.extra: dict[str, int] = {}
         self.lasting = True
         self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self.firm, self.bounds = np.zeros(0, bool), np.zeros(1, np.int64)
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.bounds = np.zeros(1, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def copy(self) -> _Table:
-        """A table for one batch that shares the numbers known so far."""
+        """A table for one batch that starts from the pieces known so far."""
         out = _Table()
-        out.__dict__ |= self.__dict__ | {"extra": {}, "lasting": False, "parts": []}
+        out.__dict__ |= self.__dict__ | {"lasting": False, "parts": []}
         return out
 
-    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        at = len(self.lengths) + sum(len(p[1]) for p in self.parts)
-        (self.numbers if self.lasting else self.extra).update(zip(words, range(at, at + len(words))))
-        self.parts.append((ids, lengths, np.fromiter((bool(w) and not w[-1].isspace() for w in words), bool, len(words))))
-
-    def find(self, word: str) -> int:
-        n = self.numbers.get(word)
-        return self.extra[word] if n is None else n
-
     def settled(self) -> _Table:
         if self.parts:
-            ids, lengths, firm = zip(*self.parts)
-            self.ids, self.lengths, self.firm = np.concatenate((self.ids, *ids)), np.concatenate((self.lengths, *lengths)), np.concatenate((self.firm, *firm))
+            ids, lengths = zip(*self.parts)
+            self.ids, self.lengths = np.concatenate((self.ids, *ids)), np.concatenate((self.lengths, *lengths))
             self.bounds = np.concatenate(([0], np.cumsum(self.lengths)))
             self.parts = []
         return self

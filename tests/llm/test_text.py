@@ -25,7 +25,7 @@ from fillwise.llm.tokens import Encoder, tokenizer_path
 from fillwise.llm.topk import score_type, top_k
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = [None, "", " ", "a  b", " lead", "trail ", "x \n y", "it's  we'll <|endoftext|> b", "tab\tx y\n\nz  ", "é́ ́x a\xa0b\x85c", "ΑΣ ΒΣ", "12 34.5 $$$", "\x1c a \x1cb", "日本 語", "w" * 3000, "go " * 3000]
+ODD = [None, "", " ", "a  b", " lead", "trail ", "x \n y", "it's  we'll <|endoftext|> b", "tab\tx y\n\nz  ", "line\nline two\n", "\nfirst\nsecond", "a \nb\n c", "it's\n'll", "é́ ́x a\xa0b\x85c", "ΑΣ ΒΣ", "12 34.5 $$$", "\x1c a \x1cb", "日本 語", "w" * 3000, "go " * 3000]
 
 
 def prose(rng, n, vocabulary=400):
