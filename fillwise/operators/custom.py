@@ -13,7 +13,10 @@ def custom_aggregate(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]],
     each key.  Only states are shuffled, so a task's memory is bounded by its own keys."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield partial(frames)
+        out = partial(frames)
+        # strings put together from several frames may be held in chunks, which Arrow batches do not take
+        held = {c: object for c in out.columns if pd.api.types.is_extension_array_dtype(out[c].dtype)}
+        yield out.astype(held).reset_index(drop=True)
 
     states = df.mapInPandas(run, schema)
     return (states.groupBy(*keys) if keys else states.groupBy()).agg(*combine)

@@ -12,6 +12,7 @@ from fillwise.operators import lookup as L
 from fillwise.operators import matrix as M
 from fillwise.operators import quantiles as Q
 from fillwise.operators import shift as S
+from fillwise.operators.custom import custom_aggregate
 from fillwise.operators.histogram import histogram, sum_and_count
 from fillwise.operators.runner import Dataset, build_and_run
 from fillwise.plans.axes import Integer, Regular, StrCategory, Variable
@@ -245,3 +246,18 @@ def test_streaming(spark, tmp_path):
     q = to_memory(streaming_histogram(stream, "h", axis, ["x", "w"], time="ts", window="10 minutes"), "windowed")
     q.awaitTermination(60)
     assert spark.table("windowed").agg(F.sum("value")).first()[0] == 120.0
+
+
+def test_custom_aggregate_over_several_batches(spark):
+    def partial(frames):
+        parts = [f.groupby("k", as_index=False).agg(s=("v", "sum")) for f in frames if len(f)]
+        return pd.concat(parts) if parts else pd.DataFrame({"k": [], "s": []})
+
+    df = spark.range(1000).select(F.concat(F.lit("k"), F.col("id") % 3).alias("k"), F.col("id").alias("v")).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = custom_aggregate(df, partial, "k string, s long", ["k"], [F.sum("s").alias("s")])
+        assert {r.k: r.s for r in got.collect()} == {f"k{i}": sum(range(i, 1000, 3)) for i in range(3)}
+        assert custom_aggregate(df.limit(0), partial, "k string, s long", ["k"], [F.sum("s").alias("s")]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
