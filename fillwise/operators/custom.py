@@ -14,6 +14,8 @@ def custom_aggregate(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]],
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = partial(frames)
+        if not len(out):
+            return  # a task without rows has no state
         # strings put together from several frames may be held in chunks, which Arrow batches do not take
         held = {c: object for c in out.columns if pd.api.types.is_extension_array_dtype(out[c].dtype)}
         yield out.astype(held).reset_index(drop=True)

@@ -513,7 +513,7 @@ def user_aggregate(spark, d):
     return custom_aggregate(df, partial, "l_returnflag string, s long, m double", ["l_returnflag"], [F.sum("s").alias("total"), F.max("m").alias("most")])
 
 
-@query("SELECT vec_id, round((embedding[1]::DOUBLE + embedding[3]::DOUBLE) * 2, 3) AS y FROM embeddings")
+@query("SELECT vec_id, round((embedding[1]::DOUBLE + embedding[3]::DOUBLE) * 2, 3) + 0.0 AS y FROM embeddings")
 def onnx_inference(spark, d):
     df = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("a"), F.slice("embedding", 3, 2).alias("b"))
     return onnx_columns(df, sum_model(2), ["a", "b"], {"out": "twice"}).select("vec_id", F.round(F.col("out")[0], 3).alias("y"))

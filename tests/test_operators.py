@@ -258,6 +258,8 @@ def test_custom_aggregate_over_several_batches(spark):
     try:
         got = custom_aggregate(df, partial, "k string, s long", ["k"], [F.sum("s").alias("s")])
         assert {r.k: r.s for r in got.collect()} == {f"k{i}": sum(range(i, 1000, 3)) for i in range(3)}
+        some = custom_aggregate(df.repartition(3).where("v < 0 or v = 5"), partial, "k string, s long", ["k"], [F.sum("s").alias("s")])
+        assert [tuple(r) for r in some.collect()] == [("k2", 5)]  # most tasks have no rows
         assert custom_aggregate(df.limit(0), partial, "k string, s long", ["k"], [F.sum("s").alias("s")]).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
