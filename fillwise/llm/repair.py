@@ -4,16 +4,18 @@ The documents are dealt out by ranges of ``doc_id`` and written shard by shard,
 equal ids by text).  A shard is a self-contained block of bytes, kept as one row of a Parquet folder, so that Spark's
 commit protocol covers it.  Layout, little-endian:
 
-    "RPG1" | u32 docs | u32 rules | u64 symbols | u64 ids | u8 symbol width (2 or 4) | u32 base
+    "RPG2" | u32 docs | u32 rules | u64 symbols | u64 ids | u8 bits of a symbol (16 or more) | u32 base
     docs x (i64 doc_id, u8 null, u32 ids of the document, u32 its symbols)
-    rules x (u32 left, u32 right)          nonterminal r is symbol base + r; its parts are smaller symbols
-    rules x u32 expansion length
+    rules x left, rules x right            nonterminal r is symbol base + r; its parts are smaller symbols
     symbols x symbol
 
+A run of symbols is their low 16 bits one after the other, then each higher bit as a plane of n bits, padded to a byte.
+
 Re-Pair replaces the most frequent pair of neighbours by a new nonterminal, again and again, until no pair is
 frequent.  Here a round replaces all frequent pairs at once (most frequent first where they overlap): the counts come
 from one sort of the shard's pairs, and the number of rounds is logarithmic.  No pair reaches over the end of a
-document, so a document is a run of symbols; the expansion lengths lead to any id within it without decoding the rest.
+document, so a document is a run of symbols; the expansion lengths, summed from the rules, lead to any id within it without decoding
+the rest.
 
 Defined results: a null or empty text is its end id alone; rows with equal ids are all written; an empty table gives
 no shard and an empty result; further columns are ignored.
@@ -34,14 +36,16 @@ from pyspark.sql.window import Window
 from fillwise.llm.common import ranges, shared_dir, slices
 from fillwise.llm.tokens import append, encoder
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 HEAD = "<4sIIQQBI"
 #: Ids of a shard, at least, before it is closed.
 SHARD_IDS = 1_000_000
 #: Pieces that a Python worker remembers.
 CACHE = 1_250_000
 #: A pair is replaced if it occurs so often in its shard; a round must save this share of the symbols for another.
-LEAST, WORTH = 4, 0.06
+LEAST, WORTH = 4, 0.0
+#: Rules of a round, at most; the most frequent pairs come first.
+ROUND = 4096
 SLOT_BITS = 19
 
 
@@ -52,13 +56,18 @@ def _slots(pairs: np.ndarray) -> np.ndarray:
         return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
 
+def _codes(bits: int) -> tuple[type, np.unsignedinteger, np.unsignedinteger, np.unsignedinteger]:
+    """(type of a pair, its shift and mask, the pair over the end of a document) for symbols of ``bits``."""
+    kind = np.uint32 if bits == 16 else np.uint64
+    return kind, kind(bits), kind((1 << bits) - 1), kind((1 << 2 * bits) - 1)
+
+
 def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST, worth: float = WORTH, most_rules: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, bounds of the documents' symbols, rules).  ``most_rules`` holds symbols within 16 bits by default."""
+    """(symbols, bounds of the documents' symbols, rules).  By default it ends when no pair is frequent."""
     if most_rules is None:
-        most_rules = 65535 - base if base < 65535 else 1 << 20
-    # a pair in one number; half the width if all symbols fit 16 bits
-    kind, bits = (np.uint32, 16) if base + most_rules < 65536 else (np.uint64, 32)
-    shift, mask, none = kind(bits), kind((1 << bits) - 1), kind((1 << 2 * bits) - 1)  # none: the pair over the end of a document
+        most_rules = len(ids)
+    # a pair in one number; half the width as long as all symbols fit 16 bits
+    kind, shift, mask, none = _codes(16 if base < 65536 else 32)
     s = ids.astype(kind)
     full = np.diff(bounds) > 0
     ends = bounds[1:][full] - 1  # the last symbol of each document
@@ -77,7 +86,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST,
         often = np.flatnonzero(count >= least)
         if not len(often):
             break
-        room = min(most_rules - n_rules, max(64, most_rules * 2 // 3))
+        room = min(most_rules - n_rules, ROUND)
         if len(often) > room:
             often = often[np.argsort(-count[often], kind="stable")[:room]]
         # a pair is found by a hash into a table; of two pairs in one slot the more frequent one is replaced now
@@ -113,8 +122,11 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST,
         if not good.all():
             use = good[rank]
             where, rank = where[use], rank[use]
-        number = (np.cumsum(good) - 1).astype(kind)
         rules.append(np.stack((pairs[good] >> shift, pairs[good] & mask), 1).astype(np.uint32))
+        if kind is np.uint32 and base + n_rules + len(rules[-1]) > 65535:
+            kind, shift, mask, none = _codes(32)
+            s = s.astype(kind)
+        number = (np.cumsum(good) - 1).astype(kind)
         s[where] = number[rank] + kind(base + n_rules)
         n_rules += int(good.sum())
         where += 1
@@ -167,33 +179,49 @@ def expansions(rules: np.ndarray, base: int, lengths: np.ndarray) -> tuple[np.nd
     return flat, bounds
 
 
+def narrow(x: np.ndarray, bits: int) -> bytes:
+    """Symbols in ``bits`` bits each."""
+    return b"".join((x.astype("<u2").tobytes(), *(np.packbits((x >> np.uint32(b) & np.uint32(1)).astype(np.uint8)).tobytes() for b in range(16, bits))))
+
+
+def widen(data: bytes, at: int, n: int, bits: int) -> tuple[np.ndarray, int]:
+    """(n symbols that narrow() wrote at ``at``, where they end)."""
+    out = np.frombuffer(data, "<u2", n, at).astype(np.uint32)
+    at += 2 * n
+    for b in range(16, bits):
+        size = -(-n // 8)
+        out |= np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n).astype(np.uint32) << np.uint32(b)
+        at += size
+    return out, at
+
+
 def pack(doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray, base: int) -> bytes:
     """One shard as bytes."""
     symbols, symbol_bounds, rules = compress(ids, bounds, base)
-    width = 2 if base + len(rules) <= 65536 else 4
+    bits = max(16, (base + len(rules) - 1).bit_length())
     docs = np.zeros(len(doc_ids), np.dtype([("id", "<i8"), ("null", "u1"), ("ids", "<u4"), ("symbols", "<u4")]))
     docs["id"] = [0 if d is None else d for d in doc_ids]
     docs["null"] = [d is None for d in doc_ids]
     docs["ids"], docs["symbols"] = np.diff(bounds), np.diff(symbol_bounds)
-    head = struct.pack(HEAD, MAGIC, len(docs), len(rules), len(symbols), len(ids), width, base)
-    return b"".join((head, docs.tobytes(), rules.astype("<u4").tobytes(), expansion_lengths(rules, base).astype("<u4").tobytes(), symbols.astype(f"<u{width}").tobytes()))
+    head = struct.pack(HEAD, MAGIC, len(docs), len(rules), len(symbols), len(ids), bits, base)
+    return b"".join((head, docs.tobytes(), *(narrow(x, bits) for x in (rules[:, 0], rules[:, 1], symbols))))
 
 
 class Shard:
     """A reader of one shard."""
 
     def __init__(self, data: bytes):
-        magic, n_docs, n_rules, n_symbols, self.n_ids, width, self.base = struct.unpack_from(HEAD, data)
+        magic, n_docs, n_rules, n_symbols, self.n_ids, bits, self.base = struct.unpack_from(HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a shard")
         at = struct.calcsize(HEAD)
         docs = np.frombuffer(data, np.dtype([("id", "<i8"), ("null", "u1"), ("ids", "<u4"), ("symbols", "<u4")]), n_docs, at)
         at += docs.nbytes
-        self.rules = np.frombuffer(data, "<u4", 2 * n_rules, at).reshape(n_rules, 2)
-        at += 8 * n_rules
-        self.lengths = np.frombuffer(data, "<u4", n_rules, at).astype(np.int64)
-        at += 4 * n_rules
-        self.symbols = np.frombuffer(data, f"<u{width}", n_symbols, at)
+        left, at = widen(data, at, n_rules, bits)
+        right, at = widen(data, at, n_rules, bits)
+        self.rules = np.stack((left, right), 1)
+        self.lengths = expansion_lengths(self.rules, self.base)
+        self.symbols, at = widen(data, at, n_symbols, bits)
         self.doc_ids = [None if null else int(i) for i, null in zip(docs["id"], docs["null"])]
         self.starts = np.concatenate(([0], np.cumsum(docs["ids"].astype(np.int64))))
         self.symbol_starts = np.concatenate(([0], np.cumsum(docs["symbols"].astype(np.int64))))

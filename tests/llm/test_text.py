@@ -103,6 +103,22 @@ def test_repair_round_trip(base):
         assert shard.window(k, a, b).tolist() == d[a:b]
 
 
+def test_repair_ends_when_no_pair_is_frequent():
+    """Over more rules than 16 bits hold, with rounds that save little each."""
+    rng = np.random.default_rng(7)
+    ids = rng.integers(0, 50_000, (6000, 8))[rng.integers(0, 6000, 50_000)].ravel().astype(np.uint32)
+    bounds = np.arange(0, len(ids) + 1, 400)
+    base = 50_257
+    symbols, ends, rules = P.compress(ids, bounds, base)
+    pairs = Counter()
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        pairs.update(zip(symbols[a : b - 1].tolist(), symbols[a + 1 : b].tolist()))
+    assert len(rules) > 65536 - base and max(pairs.values()) < P.LEAST
+    shard = P.Shard(P.pack(list(range(len(bounds) - 1)), ids, bounds, base))
+    assert np.array_equal(shard.ids(), ids) and np.array_equal(shard.symbols, symbols) and np.array_equal(shard.rules, rules)
+    assert shard.window(5, 17, 230).tolist() == ids[2017:2230].tolist()
+
+
 def _expand(shard, base):
     out = []
     for left, right in shard.rules.tolist():
