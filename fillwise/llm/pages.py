@@ -7,7 +7,10 @@ The pages of a host are then put one after the other as streams of tokens, and t
 of the shortest passage that counts, shows which passages stand on several distinct pages.  Outside an article, what
 such passages cover is boilerplate, and the unique runs are kept (if the page has no article at all).  Inside an
 article, markup outranks repetition: copies and quotations are text; only a passage that most of the host's distinct
-articles hold is boilerplate.  A host with many pages is cut into chunks of bounded size; boilerplate shows in each.
+articles hold is boilerplate.  A host with many pages is cut into chunks of bounded size.  Equal pages are in one chunk,
+so that the chunks' counts of a passage (a 64-bit hash of its tokens) add up to the host's; the sums decide in each chunk.
+If all pages of a host have an article, only a passage over the share in some chunk can be over it in the host, and only
+such passages are summed.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own; equal pages count once as
 evidence and each get their text; a null page_id is kept; an empty table gives an empty result; further columns are
@@ -23,10 +26,11 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import materialize, slices
+from fillwise.llm.common import grams, materialize, slices
 
 #: Tokens of a passage, at least; a power of two.
 PASSAGE = 8
@@ -180,10 +184,8 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def repeated(streams: list[list[str]], pages: list[int], depth: int = PASSAGE) -> list[np.ndarray]:
-    """For each token of each stream: on how many distinct pages the most common passage over it stands.
-
-    ``pages`` numbers the streams' pages; streams of one page count once."""
+def counted(streams: list[list[str]], pages: list[int], depth: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens' numbers, bounds of the streams, on how many distinct pages the passage from each token on stands)."""
     number: dict[str, int] = {}
     tokens: list[int] = []
     owner: list[int] = []
@@ -195,7 +197,7 @@ def repeated(streams: list[list[str]], pages: list[int], depth: int = PASSAGE) -
         starts.append(len(tokens))
     ids, own = np.array(tokens, np.int64), np.array(owner, np.int64)
     n = len(ids)
-    spread = np.zeros(n, np.int64)
+    count = np.zeros(n, np.int64)
     if n >= depth:
         rank = suffix_ranks(ids, depth)
         # passages that run over a mark belong to one stream and stand once
@@ -206,13 +208,44 @@ def repeated(streams: list[list[str]], pages: list[int], depth: int = PASSAGE) -
         reach = np.convolve(mark, np.ones(depth, np.int64))[depth - 1 : n]
         count[: n - depth + 1][reach > 0] = 0
         count[n - depth + 1 :] = 0
-        for k in range(depth):
-            np.maximum(spread[k:], count[: n - k], out=spread[k:])
-    return [spread[a : b - 1] for a, b in zip(starts[:-1], starts[1:])]
+    return ids, np.array(starts), count
+
+
+def spread_over(count: np.ndarray, depth: int = PASSAGE) -> np.ndarray:
+    """For each token the largest count of a passage over it."""
+    spread, n = np.zeros(len(count), np.int64), len(count)
+    for k in range(min(depth, n)):
+        np.maximum(spread[k:], count[: n - k], out=spread[k:])
+    return spread
+
+
+def passages(stream: list[str]) -> np.ndarray:
+    """The hash of the passage from each token on, as far as passages go."""
+    if len(stream) < PASSAGE:
+        return np.zeros(0, np.int64)
+    return grams(np.fromiter((xxhash.xxh3_64_intdigest(t) for t in stream), np.uint64, len(stream)), PASSAGE).view(np.int64)
+
+
+def body_of(page: list[tuple[str, int, int]]) -> tuple[int, bool]:
+    """(hash of what makes a page distinct: its articles, or all of it if it has none; whether it has an article)."""
+    inside = [t for t, zone, _ in page if zone == INSIDE]
+    return xxhash.xxh3_64_intdigest(repr((bool(inside), inside or [t for t, _, _ in page]))) - (1 << 63), bool(inside)
+
+
+def repeated(streams: list[list[str]], pages: list[int], depth: int = PASSAGE) -> list[np.ndarray]:
+    """For each token of each stream: on how many distinct pages the most common passage over it stands.
+
+    ``pages`` numbers the streams' pages; streams of one page count once."""
+    _, starts, count = counted(streams, pages, depth)
+    spread = spread_over(count, depth)
+    return [spread[a : b - 1] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
-def main_texts(pages: list[list[tuple[str, int, int]]]) -> list[str]:
-    """The texts of pages of one host, given their blocks."""
+def main_texts(pages: list[list[tuple[str, int, int]]], sums: tuple[np.ndarray, np.ndarray, int] | None = None) -> list[str]:
+    """The texts of pages of one host, given their blocks.
+
+    ``sums`` has the host's counts if these are not all of its pages: sorted hashes of passages, on how many distinct
+    pages each stands, and the host's distinct articles."""
     bodies = [tuple(t for t, zone, _ in p if zone == INSIDE) for p in pages]
     number: dict[tuple, int] = {}
     distinct = [number.setdefault((b, tuple(t for t, zone, _ in p if zone == OUTSIDE)) if not b else b, len(number)) for b, p in zip(bodies, pages)]
@@ -220,9 +253,13 @@ def main_texts(pages: list[list[tuple[str, int, int]]]) -> list[str]:
     owners = [distinct[k] for k, p in enumerate(pages) for _ in p]
     if not streams:
         return ["" for _ in pages]
-    spread = iter(repeated(streams, owners))
     words = iter(streams)
-    with_article = len({distinct[k] for k, b in enumerate(bodies) if b})
+    if sums is None:
+        spread = iter(repeated(streams, owners))
+        with_article = len({distinct[k] for k, b in enumerate(bodies) if b})
+    else:
+        keys, totals, with_article = sums
+        spread = (spread_over(_looked_up(keys, totals, t)) for t in streams)
     limit = max(PAGES_INSIDE, SHARE_INSIDE * with_article)
     out = []
     for p, body in zip(pages, bodies):
@@ -244,6 +281,116 @@ def main_texts(pages: list[list[tuple[str, int, int]]]) -> list[str]:
     return out
 
 
+def _looked_up(keys: np.ndarray, totals: np.ndarray, stream: list[str]) -> np.ndarray:
+    out = np.zeros(len(stream), np.int64)
+    found = passages(stream) if len(keys) else keys
+    if len(found):
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        out[: len(found)] = np.where(keys[at] == found, totals[at], 0)
+    return out
+
+
+_CENSUS = "host string, chunk int, hash long, n long, articles long, pages long"
+
+
+def census(table: pa.Table) -> pa.Table:
+    """Of one chunk: a row with its pages and distinct articles, and the counts of its passages (see ``host_counts``)."""
+    host, chunk, bare = (table.column(c)[0].as_py() for c in ("host", "chunk", "bare"))
+    first: dict[int, int] = {}
+    for i, (body, texts) in enumerate(zip(table.column("body").to_pylist(), table.column("texts"))):
+        if texts.is_valid:
+            first.setdefault(body, i)
+    at = pa.array(list(first.values()), pa.int64())
+    one = table.take(at)
+    articles = sum(one.column("article").to_pylist())
+    streams, owners = [], []
+    for k, texts in enumerate(one.column("texts").to_pylist()):
+        streams += [t.split(" ") for t in texts]
+        owners += [k] * len(texts)
+    hashes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if streams:
+        _, starts, count = counted(streams, owners)
+        use = count >= 1 if bare else count > SHARE_INSIDE * articles
+        code, n = [], []
+        for t, a, b in zip(streams, starts[:-1].tolist(), starts[1:].tolist()):
+            where = np.flatnonzero(use[a:b])
+            if len(where):
+                code.append(passages(t)[where])
+                n.append(count[a:b][where])
+        if code:
+            hashes, which = np.unique(np.concatenate(code), return_index=True)
+            counts = np.concatenate(n)[which]
+    m = len(hashes) + 1
+    columns = ([host] * m, [chunk] * m, [None, *hashes.tolist()], [0, *counts.tolist()], [articles] + [0] * (m - 1), [sum(table.column("copies").to_pylist())] + [0] * (m - 1))
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), *[pa.int64()] * 4))], ["host", "chunk", "hash", "n", "articles", "pages"])
+
+
+def _distinct_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's first page of each body; of further ones only how many there are."""
+    more: dict[tuple, int] = {}
+    seen: set[tuple] = set()
+
+    def rest() -> pa.RecordBatch:
+        keys = list(more)
+        kinds = (pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in keys], t) for j, t in enumerate(kinds)), pa.array(list(more.values()), pa.int64()), pa.nulls(len(keys), pa.list_(pa.string()))], names)
+
+    names = ["host", "chunk", "bare", "body", "article", "copies", "texts"]
+    for batch in batches:
+        keep = []
+        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in names[:5]))):
+            if key in seen:
+                more[key] = more.get(key, 0) + 1
+            else:
+                seen.add(key)
+                keep.append(i)
+        if len(seen) > 200_000:
+            seen.clear()
+        if len(more) > 200_000:
+            yield rest()
+            more.clear()
+        part = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:5]), pa.array([1] * len(keep), pa.int64()), part.column("texts")], names)
+    yield rest()
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, hash, body) of the candidates that each page holds."""
+    for batch in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        for host, body, texts, wanted in zip(*(batch.column(c).to_pylist() for c in ("host", "body", "texts", "wanted"))):
+            own = np.unique(np.concatenate([np.zeros(0, np.int64), *(passages(t.split(" ")) for t in texts)]))
+            own = np.intersect1d(own, np.array(wanted, np.int64), assume_unique=True)
+            out[0].extend([host] * len(own))
+            out[1].extend(own.tolist())
+            out[2].extend([body] * len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64()))], ["host", "hash", "body"])
+
+
+def host_counts(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the pages of hosts with several chunks: (host, chunk, salts) where copies need several groups, and
+    (host, chunk, hash, n, articles) with the host's sums.
+
+    A host with a page without article (``bare``) has all its passages summed, others those that can be over the share."""
+    told = large.select("host", "chunk", "bare", "body", "article", "texts").mapInArrow(_distinct_pages, "host string, chunk int, bare boolean, body long, article boolean, copies long, texts array<string>")
+    found = materialize(told.groupBy("host", "chunk").applyInArrow(census, _CENSUS))
+    heads = found.where("hash is null").select("host", "chunk", "pages", "articles")
+    of_host = heads.groupBy("host").agg(F.sum("articles").alias("articles"))
+    salts = heads.where(F.col("pages") > 2 * CHUNK).select("host", "chunk", F.ceil(F.col("pages") / CHUNK).cast("int").alias("salts"))
+    flags = large.select("host", "bare", "chunks").distinct()
+    known = found.where("hash is not null").join(flags, "host")
+    full = known.where("bare")
+    sums = full.groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES_OUTSIDE)
+    near = full.select("host", "chunk", "hash").join(sums, ["host", "hash"]).join(of_host, "host").select("host", "chunk", "hash", "n", "articles")
+    wanted = materialize(known.where("not bare").groupBy("host", "chunks").agg(F.collect_set("hash").alias("wanted")))
+    if wanted.isEmpty():
+        return salts, materialize(near)
+    hits = large.select("host", "body", "texts").join(wanted.select("host", "wanted"), "host").select("host", "body", "texts", "wanted").mapInArrow(_hits, "host string, hash long, body long")
+    over = hits.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).join(of_host, "host").where(F.col("n") > F.greatest(F.lit(PAGES_INSIDE), SHARE_INSIDE * F.col("articles")))
+    over = over.join(wanted.select("host", "chunks"), "host").select("host", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "hash", "n", "articles")
+    return salts, materialize(near.unionByName(over))
+
+
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     kind = pages.schema[page_id].dataType.simpleString()
@@ -252,38 +399,55 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [blocks(h or "") for h in batch.column(2).to_pylist()]
+            body, article = zip(*map(body_of, found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string()), *(pa.array([[b[k] for b in p] for p in found], pa.list_(t)) for k, t in ((0, pa.string()), (1, pa.int32()), (2, pa.int32())))],
-                ["page_id", "url", "host", "texts", "zones", "articles"],
+                [batch.column(0), batch.column(1), pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string()), pa.array(body, pa.int64()), pa.array(article, pa.bool_()), *(pa.array([[b[k] for b in p] for p in found], pa.list_(t)) for k, t in ((0, pa.string()), (1, pa.int32()), (2, pa.int32())))],
+                ["page_id", "url", "host", "body", "article", "texts", "zones", "articles"],
             )
 
-    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host string, texts array<string>, zones array<int>, articles array<int>")
-    # urls alone are read again to count the pages of each host; a small table
-    hosts = rows.select("url").mapInArrow(_hosts, "host string").groupBy("host").count().withColumnRenamed("host", "_host")
+    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host string, body long, article boolean, texts array<string>, zones array<int>, articles array<int>")
+    # the pages of each host, and whether one has no article; a small table
+    hosts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("count"), F.max(~F.col("article")).alias("bare")).withColumnRenamed("host", "_host")
     hosts = materialize(hosts)
     # broadcast while the table is known to be small, so that the blocks are shuffled once
     few = hosts.count() <= BROADCAST_HOSTS
     sized = parsed.join(F.broadcast(hosts) if few else hosts, F.col("host") == F.col("_host"))
     chunks = F.ceil(F.col("count") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("page_id", "url"), chunks)
+    chunk = F.pmod(F.col("body"), chunks).cast("int")
+    large = F.col("count") > CHUNK
+    sized = sized.select("page_id", "url", "host", "body", "article", "bare", "count", "texts", "zones", "articles", chunks.alias("chunks"), chunk.alias("chunk"))
     total = F.greatest(F.lit(1), F.lit(pages.count() // BUNDLE)).cast("int")
-    group = F.when(F.col("count") > CHUNK, F.concat_ws("|", F.lit("c"), "host", chunk)).otherwise(F.concat(F.lit("b"), F.pmod(F.xxhash64("host"), total)))
-
-    def work(table: pa.Table) -> pa.Table:
+    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("host"), total))
+    sums = None
+    if not hosts.where(large).isEmpty():
+        salts, sums = host_counts(sized.where(large))
+        # copies of one page are dealt out further
+        many = salts.select(F.col("host").alias("_host"), F.col("chunk").alias("_chunk"), "salts")
+        sized = sized.join(F.broadcast(many) if few else many, (F.col("host") == F.col("_host")) & (F.col("chunk") == F.col("_chunk")) & large, "left")
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1)))
+        group = F.when(large, F.concat_ws("|", F.lit("c"), "host", "chunk", salt)).otherwise(bundle)
+        sums = sums.join(salts, ["host", "chunk"], "left").select("host", "chunk", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "hash", "n", "articles")
+        sums = sums.select(F.concat_ws("|", F.lit("c"), "host", "chunk", "salt").alias("group"), "hash", "n", F.col("articles").alias("with_article"))
+
+    def work(table: pa.Table, known: pa.Table | None = None) -> pa.Table:
         hosts_ = table.column("host").to_pylist()
         found = [list(zip(*x)) for x in zip(*(table.column(c).to_pylist() for c in ("texts", "zones", "articles")))]
+        given = None
+        if table.num_rows and table.column("count")[0].as_py() > CHUNK:
+            keys, n = (known.column(c).to_numpy() for c in ("hash", "n"))
+            order = np.argsort(keys)
+            given = keys[order], n[order], known.column("with_article")[0].as_py() if len(keys) else 0
         by_host: dict[str, list[int]] = {}
         for i, h in enumerate(hosts_):
             by_host.setdefault(h, []).append(i)
         texts = [""] * len(found)
         for members in by_host.values():
-            for i, t in zip(members, main_texts([found[i] for i in members])):
+            for i, t in zip(members, main_texts([found[i] for i in members], given)):
                 texts[i] = t
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return sized.select(group.alias("group"), "page_id", "url", "host", "texts", "zones", "articles").groupBy("group").applyInArrow(work, f"page_id {kind}, url string, text string, n_chars long")
-
-
-def _hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([host_of(u) for u in batch.column(0).to_pylist()], pa.string())], ["host"])
+    result = f"page_id {kind}, url string, text string, n_chars long"
+    if sums is None:
+        return sized.select(bundle.alias("group"), "page_id", "url", "host", "count", "texts", "zones", "articles").groupBy("group").applyInArrow(lambda table: work(table), result)
+    dealt = sized.select(group.alias("group"), "page_id", "url", "host", "count", "texts", "zones", "articles")
+    return dealt.groupBy("group").cogroup(sums.groupBy("group")).applyInArrow(work, result)

@@ -471,6 +471,22 @@ def test_boilerplate_without_markup():
         assert blocks[0] == body and notice not in text and blocks[1:] in ([f"{i}"], [f"page {i}"], [])
 
 
+def test_large_hosts_count_over_all_chunks(spark):
+    """As if the host were one chunk: passages on few pages of many, with and without articles, and many copies."""
+    rng = random.Random(11)
+    few, half, rare = (prose(rng, 12, 10**6) for _ in range(3))
+    rows = [(i, "http://bare.example/", f"<div>{prose(rng, 15, 10**6)}</div><div>{few if i % 150 == 0 else 'x'}</div><div>{rare if i < 2 else 'y'}</div>") for i in range(700)]
+    rows += [(1000 + i, "http://full.example/", f"<article><p>{prose(rng, 15, 10**6)}</p><p>{half if i % 9 < 5 else rare}</p></article>") for i in range(600)]
+    rows += [(3000 + i, "http://bare.example/", rows[0][2]) for i in range(900)]
+    got = {r.page_id: r.text for r in G.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for host in ("bare", "full"):
+        mine = [r for r in rows if host in r[1]]
+        want = G.main_texts([G.blocks(r[2]) for r in mine])
+        assert [got[r[0]] for r in mine] == want
+    assert not any(few in t or half in t for t in got.values()) and rare in got[0] and rare in got[1005]
+    assert len(got) == len(rows)
+
+
 def test_repeated_is_exact():
     rng = random.Random(5)
     streams = [[rng.choice("abc") for _ in range(rng.randrange(60))] for _ in range(12)]
