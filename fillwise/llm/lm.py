@@ -29,17 +29,15 @@ from pyspark.sql import functions as F
 
 from fillwise.llm.common import Words, materialize, slices
 
-#: Words of the vocabulary, at most (the most frequent of the target); it is broadcast.
-MOST_WORDS = 200_000
 #: Pairs up to which the table of losses is broadcast (16 bytes each).
 BROADCAST_PAIRS = 2_000_000
 UNKNOWN = 0
 
 
-def vocabulary(target: DataFrame, text: str, least: int, most: int) -> list[str]:
-    """The target's words by frequency; word i of the list has the number i + 1."""
+def vocabulary(target: DataFrame, text: str, least: int) -> list[str]:
+    """All words of the target by frequency, which are broadcast; word i of the list has the number i + 1."""
     words = target.select(F.explode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\x20\x09-\x0D]+")).alias("w")).where(F.col("w") != "")
-    rows = words.groupBy("w").count().where(F.col("count") >= least).orderBy(F.col("count").desc(), "w").limit(most).collect()
+    rows = words.groupBy("w").count().where(F.col("count") >= least).orderBy(F.col("count").desc(), "w").collect()
     return [r[0] for r in rows]
 
 
@@ -85,10 +83,10 @@ def with_loss(pairs: DataFrame, target_pairs: DataFrame, size: int, strength: fl
     return both.where("b > 0").join(word, "v").join(context, "u").select("pair", F.round(loss * 1e6).cast("long").alias("loss"))
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", least: int = 1, strength: float = 8.0, most_words: int = MOST_WORDS, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", least: int = 1, strength: float = 8.0, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """(doc_id, n_words, score) of every document."""
     spark = docs.sparkSession
-    words = vocabulary(target, target_text, least, most_words)
+    words = vocabulary(target, target_text, least)
     sent = spark.sparkContext.broadcast(words)
     size = len(words)
     losses = materialize(with_loss(pair_counts(docs, text, sent), pair_counts(target, target_text, sent), size, strength))

@@ -333,6 +333,13 @@ def test_score_types():
 # --- language model and toxicity -------------------------------------------------------------------------------------
 
 
+def test_every_word_of_a_large_target_counts(spark):
+    wanted = spark.createDataFrame([(" ".join(f"w{i:06}" for i in range(200_100)),)], "text string")
+    docs = spark.createDataFrame([(1, "w200099"), (2, "w000001"), (3, "unknown")], "doc_id bigint, text string")
+    score = {r.doc_id: r.score for r in cross_entropy_difference(docs, wanted).collect()}
+    assert score[1] == score[2] != score[3]
+
+
 def test_cross_entropy_difference(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randrange(1, 80), 60)) for i in range(40)] + [(3, "v1 v2"), (3, "v1 v2"), (50, None), (51, ""), (None, "v1 v9"), (None, None)]
