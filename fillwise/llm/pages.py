@@ -263,14 +263,10 @@ def main_texts(pages: list[list[tuple[str, int, int]]], sums: tuple[np.ndarray,
     limit = max(PAGES_INSIDE, SHARE_INSIDE * with_article)
     out = []
     for p, body in zip(pages, bodies):
-        sizes: dict[int, int] = {}
-        for t, _, a in p:
-            sizes[a] = sizes.get(a, 0) + len(t)
-        largest = max((s for a, s in sizes.items() if a >= 0), default=0)
         kept = []
-        for t, zone, a in p:
+        for t, zone, _ in p:
             tokens, count = next(words), next(spread)
-            if body and (zone == OUTSIDE or 4 * sizes[a] < largest):
+            if body and zone == OUTSIDE:
                 continue
             common = count > limit if zone == INSIDE else count >= PAGES_OUTSIDE
             if not common.any():

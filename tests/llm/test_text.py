@@ -494,6 +494,12 @@ def test_large_hosts_count_over_all_chunks(spark):
     assert len(got) == len(rows)
 
 
+def test_short_articles_stay():
+    long = prose(random.Random(2), 200)
+    page = G.blocks(f"<article><p>{long}</p></article><article><p>Update at noon</p></article><article class='teaser'><p>Read on</p></article><p>beside</p>")
+    assert G.main_texts([page]) == [f"{long}\n\nUpdate at noon"]
+
+
 def test_repeated_is_exact():
     rng = random.Random(5)
     streams = [[rng.choice("abc") for _ in range(rng.randrange(60))] for _ in range(12)]
