@@ -36,7 +36,6 @@ TOXIC_SAMPLE, CLEAN_SAMPLE, FIT_SAMPLE = 3_000, 9_000, 40_000
 SUPPORT, PRECISION = 4, 0.98
 #: Chance that any term of the lexicon is there by accident.
 CHANCE = 0.02
-MOST_TERMS = 400
 FUZZY_LENGTH, PREFIX_LENGTHS = 5, (4, 5, 6)
 WINDOW = 6
 QUOTES = "\"“”„«»‘’‹›"
@@ -77,7 +76,7 @@ def unlike(texts: list[list[str]], most: float = 0.5, rare: int = 25) -> list[li
     return kept
 
 
-def learn_terms(toxic: list[list[str]], clean: list[list[str]], support: int = SUPPORT, precision: float = PRECISION, chance: float = CHANCE, most: int = MOST_TERMS) -> Lexicon:
+def learn_terms(toxic: list[list[str]], clean: list[list[str]], support: int = SUPPORT, precision: float = PRECISION, chance: float = CHANCE) -> Lexicon:
     """Terms that toxic texts (lists of distinct words) hold and clean ones lack, more often than chance explains.
 
     Near copies count once.  A word's evidence is the number of its texts, a beginning's also that of its words; with a
@@ -115,8 +114,7 @@ def learn_terms(toxic: list[list[str]], clean: list[list[str]], support: int = S
     found -= {b for b in found if any(b != shorter and b.startswith(shorter) for shorter in found)}
     words = {w for w, n in for_.items() if n >= support and len(w) > 2 and pure(n, against[w]) and significant(n, tried)}
     words -= {w for w in words if any(len(w) > len(b) and w.startswith(b) for b in found)}
-    ranked = sorted(words, key=lambda w: (-for_[w], w))[:most]
-    return Lexicon(tuple(sorted(ranked)), tuple(sorted(sorted(found, key=lambda b: (-begin_texts[b], b))[:most])))
+    return Lexicon(tuple(sorted(words)), tuple(sorted(found)))
 
 
 # --- automaton ---------------------------------------------------------------------------------------------------

@@ -458,6 +458,14 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <div id="sidebar">Side</div><footer>Foot</footer></body></html>"""
 
 
+def test_lexicon_has_every_significant_term():
+    rng = random.Random(4)
+    terms = [f"{a}{b}{c}" for a in "bcdfghjk" for b in "aeiouyxw" for c in "lmnpqrst"]
+    toxic = [sorted({*rng.sample(terms, 12), *(f"n{rng.randrange(300)}" for _ in range(20))}) for _ in range(1000)]
+    clean = [sorted({f"n{rng.randrange(300)}" for _ in range(20)}) for _ in range(3000)]
+    assert set(X.learn_terms(toxic, clean).words) == set(terms)
+
+
 def test_page(spark):
     want = "Head&line\n\nOne bold word next\n\nTwo <tag> é\n\na b"
     rows = [(1, "http://a.example/1", PAGE), (2, None, None), (3, "not a url", ""), (4, "http://[bad", "<p>plain</p>"), (None, "http://a.example/1", PAGE), (5, "http://b.example", "just text & more"), (6, "http://b.example", "<div><p>unclosed <b>x")]
