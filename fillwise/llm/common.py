@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import time
@@ -26,12 +27,20 @@ SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 SLICE_ROWS, SLICE_BYTES = 2048, 8_000_000
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="fillwise-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; a local one only if that is unset."""
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``.
+
+    Only a session that runs in one process may leave that unset: it gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="fillwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _local_dir()
     return f"{base.rstrip('/')}/fillwise-{uuid.uuid4().hex}"
 
 

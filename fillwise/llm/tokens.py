@@ -7,6 +7,9 @@ pieces, one after the other; a batch then encodes its distinct pieces only.  Two
 * ``bytes``: a byte-level BPE that glues one space to the word behind it: a piece starts at a space or
   line feed that follows a character other than white space.  Texts with other white space, such as two spaces in a
   row, are encoded as a whole.
+
+A special token's string in a text becomes that token, as in the library's ``encode`` as it comes; such texts are
+encoded as a whole.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ class Encoder:
         if pieces not in ("spaces", "bytes", "none"):
             raise ValueError(f"unknown kind of pieces: {pieces}")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces, self.most = pieces, cache
         # a piece's number by its string; the first piece of a text, without its space, is a table of its own
         self.tables = {" ": _Table(), "": _Table()}
@@ -86,6 +89,23 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.pieces == "none":
             return _joined(self._whole(texts.to_pylist()))
+        named = np.zeros(len(texts), bool)
+        for token in self.special:
+            named |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False).astype(bool)
+        if not named.any():
+            ids, ends, odd = self._by_pieces(texts)
+        else:
+            ids, ends, odd = self._by_pieces(pc.if_else(pa.array(named), "", texts))
+        rows = np.flatnonzero(named | odd)
+        if not len(rows):
+            return ids, ends
+        out = np.split(ids, ends[1:-1]) if len(ends) > 2 else [ids]
+        for row, exact in zip(rows.tolist(), self._whole(texts.take(pa.array(rows)).to_pylist())):
+            out[row] = exact
+        return _joined(out)
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, bounds, which texts have to be encoded as a whole)."""
         if self.pieces == "spaces":
             lists = pc.ascii_split_whitespace(texts)
         else:  # a line feed starts a piece as a space does; such a piece keeps it and gets no space
@@ -99,7 +119,7 @@ class Encoder:
         del lists, distinct
         if self.pieces == "spaces":
             numbers, table = self._numbers(vocabulary, "")
-            return _gather(table.ids, table.bounds, numbers[codes] if len(codes) else numbers, starts)
+            return *_gather(table.ids, table.bounds, numbers[codes] if len(codes) else numbers, starts), np.zeros(len(texts), bool)
         first = starts[:-1]
         head_codes, which = np.unique(codes[first], return_inverse=True)
         heads, head_table = self._numbers([vocabulary[c] for c in head_codes.tolist()], "")
@@ -117,14 +137,7 @@ class Encoder:
         numbers = numbers[codes]
         numbers[first] = heads[which] + len(table.lengths)
         table = _Table.joined(table, head_table)
-        ids, ends = _gather(table.ids, table.bounds, numbers, starts)
-        if not odd.any():
-            return ids, ends
-        out = np.split(ids, ends[1:-1]) if len(ends) > 2 else [ids]
-        rows = np.flatnonzero(odd)
-        for row, exact in zip(rows.tolist(), self._whole(texts.take(pa.array(rows)).to_pylist())):
-            out[row] = exact
-        return _joined(out)
+        return *_gather(table.ids, table.bounds, numbers, starts), odd
 
 
 #: Empty, or a last character that is white space to any tokenizer (RE2 syntax).

@@ -9,10 +9,12 @@ Queries are broadcast in chunks of at most ``chunk`` rows (their number is check
 pass over the candidates); candidates are never moved.  Scores are exact: single precision while every partial sum
 fits 24 bits, double while it fits 53, Python integers beyond (a score that no 64-bit integer holds is an error).
 
+A query's own row is a candidate like any other until the merge, which asks for one more and takes the own row out.
+
 Defined results: vectors that are null or hold a null or non-finite component take no part; shorter vectors count as
-padded with zeros; a query does not meet rows that bear its own id; rows with equal id are candidates each, a query
-id that occurs more than once is answered for its first vector in order; a null id takes no part; ties go to the smaller id; an
-empty table gives an empty result; further columns are ignored.
+padded with zeros; queries and candidates are rows, so each of several rows with one id is answered (under that id) and is
+a candidate for the others; a null id takes no part; ties go to the smaller id; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,24 +77,13 @@ def accumulate(queries: np.ndarray, postings: np.ndarray, scores: np.ndarray, wo
             scores[rows] += weights[rows, None] * postings[term][None, :]
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, id, score) of each row's k best columns, ties to the smaller id; columns with id == own are left out.
-
-    ``ids`` ascend, so a smaller column is a smaller id."""
-    low = np.searchsorted(ids, own, "left")
-    high = np.searchsorted(ids, own, "right")
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of each row's k best columns, ties to the smaller id; ``ids`` ascend."""
     n = scores.shape[1]
     rows_out, ids_out, score_out = [], [], []
-    floor = None
-    if n > k and scores.dtype != object:
-        for r in np.flatnonzero(high > low):
-            scores[r, low[r] : high[r]] = -np.inf
-        floor = np.partition(scores, n - k, axis=1)[:, n - k]
-    for r in range(len(scores)):
-        row = scores[r]
+    floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k and scores.dtype != object else None
+    for r, row in enumerate(scores):
         at = np.flatnonzero(row >= floor[r]) if floor is not None else np.arange(n)
-        if high[r] > low[r]:
-            at = at[(at < low[r]) | (at >= high[r])]
         at = at[np.argsort(-row[at], kind="stable")[:k]]
         rows_out.append(np.full(len(at), r))
         ids_out.append(ids[at])
@@ -100,53 +91,56 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[
     return np.concatenate(rows_out), np.concatenate(ids_out), np.concatenate(score_out)
 
 
-def search(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, query_matrix: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Each query block's best k among the candidates given: (query_id, vec_id, score)."""
+def search(ids: np.ndarray, matrix: np.ndarray, query_matrix: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each query block's best k among the candidates given: (row of ``query_matrix``, vec_id, score)."""
     order = np.argsort(ids, kind="stable")
     ids, matrix = ids[order], matrix[order]
     kind = score_type(query_matrix, matrix)
     postings = np.ascontiguousarray(matrix.T.astype(kind))
-    for at in range(0, len(query_ids), QUERY_BLOCK):
+    for at in range(0, len(query_matrix), QUERY_BLOCK):
         q = query_matrix[at : at + QUERY_BLOCK].astype(kind)
-        own = query_ids[at : at + QUERY_BLOCK]
         found: list[tuple] = []
         for b in range(0, len(ids), BLOCK):
             scores = np.zeros((len(q), len(ids[b : b + BLOCK])), kind)
             accumulate(q, postings[:, b : b + BLOCK], scores, np.empty_like(scores))
-            found.append(best(scores, ids[b : b + BLOCK], own, k))
+            found.append(best(scores, ids[b : b + BLOCK], k))
         rows, vec, score = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((vec, -score.astype(np.int64) if score.dtype != object else -score, rows))
         rows, vec, score = rows[order], vec[order], score[order]
         keep = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < k
-        yield own[rows[keep]], vec[keep], score[keep]
+        yield rows[keep] + at, vec[keep], score[keep]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", factor: int = 64, chunk: int = CHUNK) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k highest integer inner products."""
+    """(query_id, rank, vec_id, score): each query row's k highest integer inner products."""
     spark = vectors.sparkSession
     good = vectors.where(usable(embedding) & F.col(f"`{vec_id}`").isNotNull())
     rows = good.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), quantized(embedding, factor).alias("v"))
-    asked = good.where(is_query).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), quantized(embedding, factor).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = asked.count()
-    chunks = max(1, -(-n // chunk))
-    schema = "query_id long, vec_id long, score long"
+    # equal query rows are asked once and answered each
+    asked = good.where(is_query).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), quantized(embedding, factor).alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
+    chunks = max(1, -(-asked.count() // chunk))
+    schema = "query int, query_id long, copies long, vec_id long, score long, own boolean"
     parts = []
     for c in range(chunks):
-        some = asked if chunks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c)
-        got = some.orderBy("vec_id").toArrow()  # bounded by the size of a chunk
+        some = asked if chunks == 1 else asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(chunks)) == c)
+        got = some.orderBy("vec_id", "v").toArrow()  # bounded by the size of a chunk
         lists = got.column("v").combine_chunks()
         lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if got.num_rows else pa.array([], pa.list_(pa.int64()))
-        held = spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), dense(lists)))
+        held = spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), got.column("copies").to_numpy(), dense(lists)))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            query_ids, query_matrix = held.value
+            query_ids, copies, query_matrix = held.value
+            wide = query_matrix.astype(object) if np.abs(query_matrix).max(initial=0) >= 1 << 28 else query_matrix
+            own_score = (wide * wide).sum(1)
             group: list[pa.RecordBatch] = []
 
             def flush() -> Iterator[pa.RecordBatch]:
                 t = pa.Table.from_batches(group)
                 lists = t.column("v").combine_chunks()
-                for q, v, s in search(t.column("vec_id").to_numpy(), dense(lists), query_ids, query_matrix, k):
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array([int(x) for x in s] if s.dtype == object else s, pa.int64())], ["query_id", "vec_id", "score"])
+                for q, v, s in search(t.column("vec_id").to_numpy(), dense(lists), query_matrix, k + 1):
+                    score = pa.array([int(x) for x in s] if s.dtype == object else s, pa.int64())
+                    own = pa.array((v == query_ids[q]) & (s == own_score[q]), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(query_ids[q], pa.int64()), pa.array(copies[q], pa.int64()), pa.array(v, pa.int64()), score, own], ["query", "query_id", "copies", "vec_id", "score", "own"])
 
             for batch in batches:
                 if not batch.num_rows or not len(query_ids):
@@ -158,15 +152,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
             if group:
                 yield from flush()
 
-        part = rows.mapInArrow(run, schema)
-        parts.append(part if chunks == 1 else materialize(_merge(part, k)))
+        part = _merge(rows.mapInArrow(run, schema), k)
+        parts.append(part if chunks == 1 else materialize(part))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return _merge(out, k) if chunks == 1 else out
+    return out
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    picked = found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score") if "rank" not in found.columns else found
-    return picked.where(F.col("rank") <= k)
+    """The best k of each query without its own row.
+
+    The own row is one with the query's id and its score with itself; it can't be told from others like it, nor need it."""
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+    best_ = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    best_ = best_.withColumn("owns", F.sum(F.col("own").cast("int")).over(upto))
+    rank = F.col("place") - F.least(F.col("owns"), F.lit(1))
+    best_ = best_.withColumn("rank", rank.cast("int")).where(~(F.col("own") & (F.col("owns") == 1)) & (F.col("rank") <= k))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")
+    return best_.select("query_id", "rank", "vec_id", "score", again).drop("_copy")
