@@ -61,6 +61,27 @@ def test_estimates_order_by_rejection_per_cost(spark):
     assert [r.name for r in ordered_rules(rules, found)] == ["often", "never"]
 
 
+def test_a_rejected_document_is_not_looked_at_again(spark):
+    """A later rule, and what it alone needs, is evaluated only where all rules before it (and the base) pass."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(10 if i % 7 == 0 else 30 + i % 2))) for i in range(200)], "doc_id bigint, text string")
+    seen = F.raise_error(F.concat(F.lit("looked at "), F.col("n_words").cast("string"))).cast("boolean")
+    rules = [Rule("odd", F.col("n_words") == 31), Rule("strict", F.when(F.col("n_words") != 30, seen).otherwise(F.size("words") < 0))]
+    estimates = [{"rule": "odd", "cost": 1.0, "rejects": 0.5}, {"rule": "strict", "cost": 9.0, "rejects": 0.5}]
+    got = {r.doc_id: r.kept for r in quality_cascade(docs, rules=rules, estimates=estimates).collect()}
+    assert got == {i: i % 7 != 0 and i % 2 == 0 for i in range(200)}
+    with pytest.raises(Exception, match="looked at"):
+        quality_cascade(docs, rules=rules, estimates=[{**e, "rejects": 1 - 0.9 * (e["rule"] == "odd")} | {"cost": 1.0} for e in estimates]).collect()
+
+
+def test_sample_comes_from_all_partitions(spark):
+    docs = spark.createDataFrame([(i, f"p{i // 500} " + "word " * 30) for i in range(4000)], "doc_id bigint, text string").repartition(8, "doc_id").sortWithinPartitions("doc_id")
+    rules = [Rule(f"p{k}", F.element_at("words", 1) == f"p{k}") for k in range(8)]
+    from fillwise.llm.quality import _measured
+
+    found = {e["rule"]: e["rejects"] for e in estimate(_measured(docs.select("text"), ["text"]), rules, rows=400)}
+    assert all(0.04 < v < 0.25 for v in found.values()) and 0.99 < sum(found.values()) < 1.01
+
+
 def test_empty_tables(spark):
     assert quality_cascade(frame(spark, [])).count() == 0
     docs = spark.createDataFrame([], "doc_id bigint, source string, text string")
