@@ -2,9 +2,11 @@
 
 A configuration is a set of piece lengths that fits one sequence.  The linear program over the length histogram asks
 for the fewest configurations that hold every piece.  It is solved by multiplicative weights: each length has a
-price; a knapsack over the prices (dynamic programming) gives the best configuration; the prices of the lengths that
-it uses fall.  The fractional solution is rounded down, the program is solved again for what is left, and the last
-pieces go by best fit, longest first.
+price; a knapsack over the prices (dynamic programming) gives, for every length, the best configuration that holds it;
+those that are worth about as much as the best of all enter the solution, and the prices of the lengths that they use
+fall.  The fractional solution is rounded: whole parts first, then the largest fractions, as far as the pieces go and the
+sequences' empty room stays within what the program's value allows.  The program is solved again for what is left, a few
+times; the last pieces go by best fit, longest first.
 
 Tokens are counted in parallel; only the histogram (one number per length) reaches the driver, so the program's cost
 does not depend on the number of documents.  The plan is a table of slots; each piece finds its slot from its rank
@@ -18,6 +20,7 @@ ordered by chunk, id, text, piece; an empty table gives an empty result; further
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,52 +34,79 @@ from fillwise.llm.tokens import append, encoder
 
 #: Rows of a (length, chunk) group, about.
 CHUNK_ROWS = 8_192
+#: Settings of the program: up to so many distinct lengths, small steps; else large ones, since a round costs more.
+FEW_LENGTHS = 128
+FINE = ({"step": 0.05, "rate": 10.0, "slack": 0.01, "rounds": 400}, {"step": 0.25, "slack": 0.02})
+COARSE = ({"step": 1.0}, {"step": 0.5})
 
 
-def knapsack(prices: np.ndarray, capacity: int, counts: np.ndarray) -> np.ndarray:
-    """How many of each length (index) the dearest configuration holds; lengths with a count of 0 are left out."""
-    prices = np.where(counts > 0, prices, 0.0)
-    best = np.zeros(capacity + 1)
-    choice = np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        # an item of length l behind the best filling of c - l; index 0 of the price is "nothing, one token less"
-        value = best[c - 1 :: -1][:c] + prices[1 : c + 1]
-        k = int(np.argmax(value))
-        if value[k] > best[c - 1] + 1e-15:
-            best[c], choice[c] = value[k], k + 1
-        else:
-            best[c] = best[c - 1]
-    used = np.zeros(capacity + 1, np.int64)
-    c = capacity
-    while c > 0:
-        if choice[c]:
-            used[choice[c]] += 1
-            c -= choice[c]
-        else:
-            c -= 1
-    return used
-
-
-def solve(counts: np.ndarray, capacity: int, rounds: int = 300, step: float = 0.1, rate: float = 10.0) -> list[tuple[np.ndarray, float]]:
-    """Configurations with fractions: multiplicative weights over the lengths that ``counts`` holds.
-
-    A length starts at the price of its size and loses a factor e**-rate until it is covered; a covered one is free.
-    """
-    present = counts > 0
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """(worth of the dearest filling of each room, the length that it ends with or 0); lengths (indices) of price 0 are out.
+
+    Of fillings of one worth that with the longest piece is taken, which leaves short pieces for later."""
+    items = np.flatnonzero(prices > 0)[::-1]
+    price = prices[items]
+    first = len(items) - np.searchsorted(items[::-1], np.arange(capacity + 1), "right")
+    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    for room in range(1, capacity + 1):
+        best[room] = best[room - 1]
+        k = first[room]
+        if k < len(items):
+            worth = best[room - items[k:]] + price[k:]
+            j = int(worth.argmax())
+            if worth[j] > best[room] + 1e-12:
+                best[room], choice[room] = worth[j], items[k + j]
+    return best, choice.tolist()
+
+
+def filling(choice: list[int], room: int) -> list[int]:
+    """The lengths of the dearest filling of ``room``."""
+    out = []
+    while room > 0:
+        if choice[room]:
+            out.append(choice[room])
+        room -= choice[room] or 1
+    return out
+
+
+Configuration = tuple[int, ...]
+
+
+def solve(counts: np.ndarray, capacity: int, step: float = 1.0, rate: float = 1.0, slack: float = 0.05, rounds: int = 160) -> tuple[dict[Configuration, float], np.ndarray]:
+    """(configurations with fractions, the covered share of each length): multiplicative weights.
+
+    A length starts at the price of its size and loses a factor e**-rate until it is covered; a covered one is free.  In a
+    round a length is covered by a share ``step`` at most, and only configurations worth (1 - slack) of the best enter."""
     size = np.arange(capacity + 1) / capacity
-    columns: dict[bytes, tuple[np.ndarray, float]] = {}
-    covered = np.zeros(capacity + 1)
-    for _ in range(min(rounds, 60 + 4 * int(present.sum()))):
-        used = knapsack(np.where(present & (covered < 1), size * np.exp(-rate * covered), 0.0), capacity, counts)
-        at = np.flatnonzero(used)
-        if not len(at):
+    covered = np.where(counts > 0, 0.0, 1.0)
+    columns: dict[Configuration, float] = {}
+    n = counts.tolist()
+    for _ in range(rounds):
+        open_ = np.flatnonzero(covered < 1 - 1e-9)
+        if not len(open_):
             break
-        # a share of what the scarcest of its lengths allows
-        share = step * float((counts[at] / used[at]).min())
-        key = used.tobytes()
-        columns[key] = (used, columns.get(key, (used, 0.0))[1] + share)
-        covered[at] += used[at] * share / counts[at]
-    return list(columns.values())
+        prices = np.zeros(capacity + 1)
+        prices[open_] = size[open_] * np.exp(-rate * covered[open_])
+        best, choice = knapsack(prices, capacity)
+        good = open_[prices[open_] + best[capacity - open_] >= (1 - slack) * best[capacity]]
+        most, share = np.minimum(1.0, covered + step).tolist(), covered.tolist()
+        for length in good[::-1].tolist():
+            if share[length] >= most[length] - 1e-9:
+                continue
+            items = (length, *filling(choice, capacity - length))
+            used = Counter(items)
+            x = min((most[i] - share[i]) * n[i] / k for i, k in used.items())
+            if x > 1e-9:
+                columns[items] = columns.get(items, 0.0) + x
+                for i, k in used.items():
+                    share[i] += k * x / n[i]
+        covered = np.array(share)
+    return columns, covered
+
+
+def value(columns: dict[Configuration, float], covered: np.ndarray, counts: np.ndarray, capacity: int) -> float:
+    """Sequences that the fractional solution takes; what it leaves uncovered counts by its size."""
+    return sum(columns.values()) + float((counts * (1 - np.minimum(covered, 1)) * np.arange(capacity + 1)).sum()) / capacity
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -107,41 +137,60 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     return [g for held in groups.values() for g in held]
 
 
-def rounded(counts: np.ndarray, capacity: int, least: int = 64, most_rounds: int = 4) -> tuple[list[tuple[list[int], int]], np.ndarray]:
-    """(whole configurations, pieces left): solve, round down, solve again for what is left."""
-    left = counts.astype(np.int64).copy()
-    out: list[tuple[list[int], int]] = []
+Plan = list[tuple[list[int], int]]
+
+
+def rounded(counts: np.ndarray, capacity: int, most_rounds: int = 8, **options) -> list[Plan]:
+    """The whole configurations of each round: solve, round, solve again for what is left."""
+    left, size = counts.astype(np.int64), np.arange(capacity + 1)
+    out: list[Plan] = []
     for _ in range(most_rounds):
         before = int(left.sum())
-        if before < least:
+        if not before:
             break
-        for used, x in sorted(solve(left, capacity), key=lambda c: -c[1]):
-            at = np.flatnonzero(used)
-            n = min(int(x + 1e-9), int((left[at] // used[at]).min()))
-            if n > 0:
-                left[at] -= used[at] * n
-                out.append((np.repeat(at, used[at])[::-1].tolist(), n))
+        columns, covered = solve(left, capacity, **options)
+        room = max(0.0, np.ceil(value(columns, covered, left, capacity) - 1e-6) * capacity - float((left * size).sum()))
+        have = left.tolist()
+        found: Counter[Configuration] = Counter()
+        # full configurations first, the largest fractions first
+        order = sorted(columns.items(), key=lambda c: (capacity - sum(c[0]), -(c[1] % 1), c[0]))
+        for part in (lambda x: int(x + 1e-9), lambda x: int(x % 1 > 1e-9)):
+            for items, x in order:
+                used, waste = Counter(items), capacity - sum(items)
+                n = min(part(x), *(have[i] // k for i, k in used.items()))
+                n = min(n, int(room // waste)) if waste else n
+                if n > 0:
+                    room -= waste * n
+                    found[items] += n
+                    for i, k in used.items():
+                        have[i] -= k * n
+        out.append([(list(items), n) for items, n in found.items()])
+        left = np.array(have)
         if before - int(left.sum()) < 0.02 * before:
             break
-    return out, left
+    return out
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+def plan(counts: np.ndarray, capacity: int) -> Plan:
     """(lengths, how many sequences) that use every piece of the histogram ``counts`` (index = length) exactly once.
 
-    Rounding keeps the configurations at all, half or none of their counts, best fit takes the rest; the fewest
-    sequences win, equal ones with the most of the program's solution."""
-    whole, _ = rounded(counts, capacity)
-    tries = []
-    for share in (1.0, 0.5, 0.0):
-        kept = [(items, int(n * share)) for items, n in whole if int(n * share)]
-        left = counts.astype(np.int64).copy()
-        for items, n in kept:
-            np.subtract.at(left, items, n)
-        tries.append(kept + best_fit(left, capacity))
-        if sum(n for _, n in tries[-1]) == -(-int((counts * np.arange(capacity + 1)).sum()) // capacity):
-            break  # nothing can be fewer
-    return min(tries, key=lambda t: sum(n for _, n in t))
+    The program is solved in coarse or, where lengths are few, fine steps, and one or more of its rounds are kept, or of
+    these the full configurations; the fewest sequences win, equal ones with the most of the program's configurations."""
+    counts = counts.astype(np.int64)
+    least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)  # nothing can be fewer
+    few = int((counts > 0).sum()) <= FEW_LENGTHS
+    tries: list[Plan] = []
+    for options in FINE if few else COARSE:
+        found = rounded(counts, capacity, **options)
+        kinds = [[c for part in found[:k] for c in part] for k in (len(found), 2, 1) if k <= len(found)]
+        for kept in [*kinds, [c for c in kinds[0] if sum(c[0]) == capacity] if kinds else []]:
+            left = counts.copy()
+            for items, n in kept:
+                np.subtract.at(left, items, n)
+            tries.append(kept + best_fit(left, capacity))
+            if sum(n for _, n in tries[-1]) == least:
+                return tries[-1]
+    return min(tries, key=lambda t: sum(n for _, n in t), default=[])
 
 
 def slots(found: list[tuple[list[int], int]], capacity: int) -> dict[str, np.ndarray]:

@@ -169,6 +169,18 @@ def test_plan_beats_best_fit():
     assert K.plan(np.zeros(9, int), 8) == []
 
 
+def test_most_pieces_lie_in_the_program_s_configurations():
+    """Thousands of lengths of few pieces each: rounding must not leave the work to best fit."""
+    rng = np.random.default_rng(3)
+    counts = np.bincount(np.clip(rng.lognormal(6, 1.1, 9000).astype(int), 1, 2048), minlength=2049)
+    columns, covered = K.solve(counts, 2048)
+    bound = float((counts * np.arange(2049)).sum()) / 2048
+    assert K.value(columns, covered, counts, 2048) < 1.005 * bound
+    parts = K.rounded(counts, 2048)
+    assert sum(len(items) * n for part in parts for items, n in part) > 0.75 * counts.sum()
+    assert plans_fill(counts, K.plan(counts, 2048), 2048) <= min(-(-bound // 1) + 1, plans_fill(counts, K.best_fit(counts, 2048), 2048) + 1)
+
+
 def test_packing(spark):
     rows = [(i, prose(random.Random(i), 5 + i * 13 % 120), 1) for i in range(150)] + [(7, "same", 1)] * 4 + [(500 + i, t, 1) for i, t in enumerate(ODD)] + [(None, "a b", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, length int")
