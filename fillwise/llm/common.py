@@ -7,7 +7,6 @@ import ctypes
 import functools
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -44,31 +43,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/fillwise-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.  Cuts the lineage; survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._fillwise_path = path
-    return out
+#: Whether Spark deletes a query's shuffle files when it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote; nothing may read ``df`` any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._fillwise_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and read it again.  Cuts the lineage; survives lost executors.
 
+    The shuffle files behind it are deleted with the write, so that the next step has the disk."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fillwise_path = path
+    return out
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, so that the next step has the disk.
 
-    Spark's cleaner works on the JVM's weak references; this only makes it look now.  The first collection frees the
-    plans, the second what they held."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1.0)
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote; nothing may read ``frames`` any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._fillwise_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def neutral(df: DataFrame, **roles: str) -> tuple[DataFrame, list[str]]:

@@ -4,16 +4,19 @@ A passage of ``window`` words is a duplicate if the same words also start in a d
 
 The reference is indexed by anchors: of the n-grams of ``window // 2 + 1`` words inside every window, the one with
 the smallest hash.  A window that occurs twice has the same anchor both times, so the anchors (about one word in
-thirteen) are enough to find every reference.  The index holds, for each anchor, its first document and place.
+thirteen) are enough to find every reference.  For each occurrence of an anchor the index gives two reference blocks: the
+first document that holds it and the last one before its own.
 
-Every document is then factored greedily against the indexed reference: a factor is a longest run of anchors that
+Every document is then factored greedily against the indexed references: a factor is the longest run of anchors that
 stand in one earlier document at one distance.  Neighbouring anchors overlap, so the words of a factor are equal
 throughout, and every window inside is a duplicate.  Windows that reach over a factor's boundary, and those of an
 anchor's first document, are checked by their own 128-bit hash: a window is a duplicate if its hash has a smaller
-document.  The smallest document of a window never finds it inside a factor, so the check is exact.
+document.  The smallest document of a window never finds it inside a factor, so the check is exact, whatever references
+the index gave.
 
-Shuffled are anchors, boundary windows and, once, the texts; sums by hash are combined before the shuffle, so that a
-passage that a third of all documents share is no hot group.
+Shuffled are anchors, boundary windows and the texts.  No key is hot: those with more than 1 / HOT_KEYS of all rows (there
+can't be more than HOT_KEYS of them) are found by sums that are combined before the shuffle, and matched by a broadcast
+table; only the rows of the others are dealt out by key.
 
 Defined results: a null text has no words; a null id is never a reference and loses nothing; rows with one id do not
 count against each other; equal rows give equal results; an empty table gives an empty result; columns of the input
@@ -31,11 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from fillwise.llm.common import Words, discard, grams, materialize, neutral, release, restored, slices
+from fillwise.llm.common import Words, discard, grams, materialize, neutral, restored, slices
 
 #: Bits of a place within a batch, in the keys from which the smallest is taken.
 PLACE_BITS = 30
+#: Keys of a broadcast table, at most (40 bytes each); a key with fewer rows than HOT_ROWS is never in it.
+HOT_KEYS, HOT_ROWS = 20_000, 1_000
 SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -88,21 +94,25 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "tie", "text").mapInArrow(run, "doc_id long, tie long, anchors array<long>, places array<int>")
 
 
-def factors(place: np.ndarray, ref_doc: np.ndarray, ref: np.ndarray, doc_id: int, span: int) -> list[tuple[int, int]]:
-    """(first word, end) of the runs of anchors that stand in one earlier document at one distance."""
-    order = np.argsort(place, kind="stable")
-    place, ref_doc, ref = place[order], ref_doc[order], ref[order]
-    earlier = ref_doc < doc_id
-    # ref holds the reference text's tie in its upper half and the place in its lower half
-    line = (ref & 0xFFFFFFFF) - place
-    joined = earlier[1:] & earlier[:-1] & (ref_doc[1:] == ref_doc[:-1]) & ((ref[1:] >> 32) == (ref[:-1] >> 32)) & (line[1:] == line[:-1]) & (np.diff(place) <= span)
+def factors(place: np.ndarray, references: list[tuple[np.ndarray, np.ndarray]], doc_id: int, span: int) -> list[tuple[int, int]]:
+    """(first word, end) of the runs of anchors that stand in one earlier document at one distance.
+
+    ``references`` has (document, text's tie and place in one number) of each place; a run goes on while one of its
+    documents does.  Places ascend."""
+    found: list[set] = [set() for _ in place]
+    for docs, refs in references:
+        for k in np.flatnonzero(docs < doc_id).tolist():
+            ref = int(refs[k])
+            found[k].add((int(docs[k]), ref >> 32, (ref & 0xFFFFFFFF) - int(place[k])))
+    at_words = place.tolist()
     out, at = [], 0
-    while at < len(place):
-        to = at
-        while to + 1 < len(place) and joined[to]:
+    while at < len(at_words):
+        active, to = found[at], at
+        while active and to + 1 < len(at_words) and at_words[to + 1] - at_words[to] <= span and active & found[to + 1]:
             to += 1
-        if earlier[at]:
-            out.append((int(place[at]), int(place[to]) + span))
+            active = active & found[to]
+        if active:
+            out.append((at_words[at], at_words[to] + span))
         at = to + 1
     return out
 
@@ -145,13 +155,22 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = True,
     docs = docs.select(*own, F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tie"))
     slim = docs.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), F.col(f"`{text}`").alias("text"))
     found = materialize(anchors(slim, window))
-    # 32 bits of the text's tie and the place in one number; it tells rows of one id apart as well
     rows = found.select("doc_id", "tie", F.explode(F.arrays_zip("anchors", "places")).alias("a"))
+    # 32 bits of the text's tie and the place in one number; it tells rows of one id apart as well
     rows = rows.select(F.col("a.anchors").alias("anchor"), "doc_id", F.shiftleft("tie", 32).bitwiseOR(F.col("a.places").cast("long")).alias("at"))
-    index = rows.groupBy("anchor").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("first.doc_id"))
-    index = index.select("anchor", F.col("first.doc_id").alias("ref_doc"), F.col("first.at").alias("ref"))
-    matched = rows.join(index, "anchor").select("doc_id", F.shiftright("at", 32).cast("int").alias("_mtie"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"), "ref_doc", "ref")
-    matched = matched.groupBy(F.col("doc_id").alias("_mid"), "_mtie").agg(F.collect_list(F.struct("place", "ref_doc", "ref")).alias("_found"))
+    one = F.struct("doc_id", "at")
+    total = found.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    sums = rows.groupBy("anchor").agg(F.min(one).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    hot = materialize(sums.where((F.col("n") >= max(HOT_ROWS, total // HOT_KEYS)) & (F.col("last") > F.col("first.doc_id"))).select("anchor", "first"))
+    earlier = Window.partitionBy("anchor").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("anchor")
+    cold = rows.join(F.broadcast(hot), "anchor", "left_anti")
+    cold = cold.select("doc_id", "at", F.first(one).over(earlier).alias("first"), F.last(one).over(earlier).alias("before"), (F.min("doc_id").over(same) < F.max("doc_id").over(same)).alias("again")).where("again")
+    matched = cold.drop("again").unionByName(rows.join(F.broadcast(hot), "anchor").select("doc_id", "at", "first", F.lit(None).cast("struct<doc_id:bigint,at:bigint>").alias("before")))
+    fields = [F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place")]
+    for k in ("first", "before"):
+        fields += [F.coalesce(F.col(f"{k}.doc_id"), "doc_id").alias(f"{k}_doc"), F.coalesce(F.col(f"{k}.at"), F.lit(0)).alias(f"{k}_at")]
+    matched = matched.groupBy(F.col("doc_id").alias("_mid"), F.shiftright("at", 32).cast("int").alias("_mtie")).agg(F.collect_list(F.struct(*fields)).alias("_found"))
     low = F.shiftright(F.shiftleft("_tie", 32), 32).cast("int")
     joined = docs.join(matched, (F.col("_id") == F.col("_mid")) & (low == F.col("_mtie")), "left").drop("_mid", "_mtie")
 
@@ -177,11 +196,12 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = True,
                 window_bounds = np.searchsorted(w.text, np.arange(len(some) + 1))
                 lists = part.column(len(own) + 2)
                 offsets, flat = lists.offsets.to_numpy(), lists.values
-                place, ref_doc, ref = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                place, *references = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
                 for j, row in enumerate(some.tolist()):
                     a, b = offsets[j], offsets[j + 1]
                     one, at = np.unique(place[a:b], return_index=True)
-                    runs = factors(one, ref_doc[a:b][at], ref[a:b][at], ids[row], w.span)
+                    held = [x[a:b][at] for x in references]
+                    runs = factors(one, [(held[0], held[1]), (held[2], held[3])], ids[row], w.span)
                     spans[row] = [r for r in runs if r[1] - r[0] >= window]
                     own_at = w.at[window_bounds[j] : window_bounds[j + 1]]
                     own_anchor = w.anchor[window_bounds[j] : window_bounds[j + 1]] - bounds[j]
@@ -214,13 +234,15 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = True,
             yield pa.RecordBatch.from_arrays(columns, names)
 
     parsed = materialize(joined.mapInArrow(parse, pending))
-    del joined, matched, index, rows
-    discard(found)
-    release(parsed.sparkSession)
+    discard(found, hot)
     open_ = parsed.where(F.col("_start").isNotNull())
     checks = open_.select("_id", "_tie", F.explode(F.arrays_zip("_start", "_h1", "_h2")).alias("c")).select("_id", "_tie", F.col("c._start").alias("start"), F.col("c._h1").alias("h1"), F.col("c._h2").alias("h2"))
-    smallest = checks.groupBy("h1", "h2").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where(F.col("most") > F.col("least")).drop("most")
-    again = checks.join(smallest, ["h1", "h2"]).where(F.col("least") < F.col("_id")).groupBy(F.col("_id").alias("_aid"), F.col("_tie").alias("_atie")).agg(F.collect_set("start").alias("_again"))
+    total = parsed.agg(F.sum(F.when(F.col("_start").isNotNull(), F.size("_start")))).first()[0] or 0
+    sums = checks.groupBy("h1", "h2").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    often = materialize(sums.where((F.col("n") >= max(HOT_ROWS, total // HOT_KEYS)) & (F.col("most") > F.col("least"))).select("h1", "h2", "least"))
+    seldom = checks.join(F.broadcast(often), ["h1", "h2"], "left_anti").withColumn("least", F.min("_id").over(Window.partitionBy("h1", "h2")))
+    repeats = seldom.unionByName(checks.join(F.broadcast(often), ["h1", "h2"])).where(F.col("least") < F.col("_id"))
+    again = repeats.groupBy(F.col("_id").alias("_aid"), F.col("_tie").alias("_atie")).agg(F.collect_set("start").alias("_again"))
     finished = parsed.where(F.col("_start").isNull()).select(*(F.col(f"`{c}`") for c in own), "n_words", "n_removed", "kept_sha256")
     rest = open_.drop("n_words", "n_removed", "kept_sha256", "_start", "_h1", "_h2").join(again, (F.col("_id") == F.col("_aid")) & (F.col("_tie") == F.col("_atie")), "left").drop("_id", "_tie", "_aid", "_atie")
 

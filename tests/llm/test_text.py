@@ -17,6 +17,7 @@ from fillwise.llm import jaccard as J
 from fillwise.llm import packing as K
 from fillwise.llm import pages as G
 from fillwise.llm import repair as P
+from fillwise.llm import substrings as S
 from fillwise.llm import toxicity as X
 from fillwise.llm.common import Words, grams
 from fillwise.llm.components import components
@@ -224,8 +225,20 @@ def brute_substrings(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window", [4, 7, 50])
-def test_substrings(spark, window):
+def test_factors_follow_any_of_their_references():
+    place = np.array([0, 5, 9, 14, 40])
+    ref = lambda places, tie=1: np.array([tie << 32 | p for p in places])
+    first = (np.array([1, 1, 2, 2, 9]), ref([100, 105, 50, 55, 0]))
+    before = (np.array([3, 9, 1, 1, 4]), ref([7, 0, 109, 114, 3]))
+    # document 1 holds the first four anchors at one distance, partly as the first, partly as the last reference
+    assert S.factors(place, [first, before], 9, 26) == [(0, 40), (40, 66)]
+    assert S.factors(place, [first], 9, 26) == [(0, 31), (9, 40)]
+    assert S.factors(place, [first, before], 1, 26) == []
+
+
+@pytest.mark.parametrize(("window", "hot"), [(4, 1), (7, 1000), (50, 2), (50, 1000)])
+def test_substrings(spark, window, hot, monkeypatch):
+    monkeypatch.setattr(S, "HOT_ROWS", hot)
     rng = random.Random(window)
     passages = [prose(rng, rng.randrange(window - 1, 3 * window)) for _ in range(12)]
     rows = []
