@@ -72,6 +72,23 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A table of frequent keys has so many rows at most; a key with fewer rows than HOT_ROWS is never in it.
+HOT_KEYS, HOT_ROWS = 20_000, 1_000
+
+
+def join_sums(rows: DataFrame, sums: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``sums``, which has one row per key and the number ``n`` of the key's rows (dropped).
+
+    A key of more than 1 / HOT_KEYS of the ``total`` rows is frequent; there can't be more than HOT_KEYS of them.  Their
+    sums are broadcast and their rows stay where they are; the rows of the other keys are dealt out by key."""
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    if total < least:  # no key can be frequent
+        return rows.join(sums.drop("n"), keys, how)
+    hot = materialize(sums.where(F.col("n") >= least).drop("n"))
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(sums.where(F.col("n") < least).drop("n"), keys, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def neutral(df: DataFrame, **roles: str) -> tuple[DataFrame, list[str]]:
     """``df`` with its columns renamed by place (c0, c1, ...) or, for those given as role=name, by role.
 

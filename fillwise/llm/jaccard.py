@@ -1,14 +1,19 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Texts with the same words are one node; a node's signature is laid out as ``trees`` sorted prefix tries of ``depth``
-minima each.  Nodes that share a trie node (a tree and a prefix) are candidates.  Matching starts at the full depth;
-every candidate is verified on its shingle sets, and from the similarities found the recall at that depth is
-estimated (each link stands for 1 / P(found) links).  While it is below the target, the prefix is shortened by one
-and the larger candidate set is verified.  At the least depth even links at the threshold itself meet the target.
-
-Candidates that hang together are verified together: a component small enough goes whole into a bundle; a larger one
-is cut into blocks, and each pair of blocks is one group.  A group returns one row per node (its number of links and
-the smallest node it is linked with), never pairs.
+Texts with the same words are one node; a node's signature is laid out as ``trees`` prefix tries of ``depth`` minima
+each.  Nodes that share a trie node (a tree and a prefix) are candidates.  Matching starts at the full depth, and every
+candidate is verified on its shingle sets.  A node is open while a link like the least similar one it has so far (like one
+at the threshold, if it has none) would be found with a smaller chance than the target recall; then the prefixes of open
+nodes are shortened by one, and the components of candidates that grew by that are verified again.  This ends at the depth
+at which even links at the threshold meet the target, so no node is left open.  If no depth does, the join refuses and
+says how many trees would.
+
+Candidates that hang together are verified together.  A component small enough goes whole into a bundle.  In a larger
+one the sets' distances to a centre (the shingles that most of a sample hold) decide what they can: by the triangle
+inequality, nodes whose distances add up to no more than 1 - threshold are linked, and are counted by sums.  The other
+pairs are compared in blocks, of the component or of its trie nodes, whichever copies fewer texts; in the latter, a pair
+is compared in the first tree only in which it shares a prefix.  A group of blocks returns one row per node (its number of
+links and the smallest node it is linked with), never pairs.
 
 Defined results: a text without words (or null) has no shingles, is its own class and has no links; a text of fewer
 words than a shingle is one shingle; copies count as links of each other; a null id takes part and never names a
@@ -25,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import Words, give_back, grams, materialize, mix64, neutral, restored, slices
+from fillwise.llm.common import Words, discard, give_back, grams, join_sums, materialize, mix64, neutral, restored, slices
 from fillwise.llm.components import components
 
 #: Nodes of a block; of a bundle of small components, about.
 BLOCK, BUNDLE = 384, 1024
 #: Shingles (columns) of a dense comparison at a time.
 COLUMNS = 8192
+#: Steps in which distances to a centre are told apart; nodes from which a centre is made, about; of a slice, about.
+LEVELS, SAMPLE, SLICE = 64, 256, 1024
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,22 +104,29 @@ def signatures(docs: DataFrame, n: int, count: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tie long, node binary, minima binary")
 
 
+def labels(minima_: list[bytes], trees: int, most: int, depth: int) -> np.ndarray:
+    """The trie node at ``depth`` of each tree that each signature falls into."""
+    values = np.frombuffer(b"".join(minima_), np.uint32).reshape(len(minima_), trees, most)
+    out = np.broadcast_to(mix64(np.arange(trees, dtype=np.uint64) + np.uint64(77)), (len(minima_), trees)).copy()
+    with np.errstate(over="ignore"):
+        for k in range(depth):
+            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + values[:, :, k])
+    return out
+
+
 def prefixes(nodes: DataFrame, trees: int, most: int, depth: int) -> DataFrame:
-    """(prefix, node): the trie node at ``depth`` of each tree that each node falls into."""
+    """(prefix, tree, node, open): the trie node at ``depth`` of each tree that each node falls into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, trees, most)
-            label = np.broadcast_to(mix64(np.arange(trees, dtype=np.uint64) + np.uint64(77)), (batch.num_rows, trees)).copy()
-            with np.errstate(over="ignore"):
-                for k in range(depth):
-                    label = mix64(label * np.uint64(0x9E3779B97F4A7C15) + values[:, :, k])
+            label = labels(batch.column(1).to_pylist(), trees, most, depth)
             take = pa.array(np.repeat(np.arange(batch.num_rows), trees))
-            yield pa.RecordBatch.from_arrays([pa.array(label.reshape(-1).view(np.int64)), batch.column(0).take(take)], ["prefix", "node"])
+            tree = np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(label.reshape(-1).view(np.int64)), pa.array(tree), batch.column(0).take(take), batch.column(2).take(take)], ["prefix", "tree", "node", "open"])
 
-    return nodes.select("node", "minima").mapInArrow(run, "prefix long, node binary")
+    return nodes.select("node", "minima", "open").mapInArrow(run, "prefix long, tree int, node binary, open boolean")
 
 
 def compare(sets: list[np.ndarray], inner: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -154,23 +168,23 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verify(groups: DataFrame, n: int, threshold: Fraction, depth: int, trees: int) -> DataFrame:
-    """(node, root, links, found, standing_for, whole) for each node of each group.
+def verify(groups: DataFrame, n: int, threshold: Fraction, depth: int, trees: int, most: int) -> DataFrame:
+    """(node, root, links, low) for each node of each group: its links, their smallest node and least similarity.
 
-    ``groups`` has (group, component, side, whole, node, copies, text): side 0 or 1 in a pair of blocks, -1 within one."""
+    ``groups`` has (group, cell, tree, side, node, copies, level, minima, text).  Pairs are within a cell, and between
+    sides if it has two (0 and 1; else -1).  In a cell of a tree only pairs that share no prefix of an earlier tree
+    count.  Pairs whose levels add up to LEVELS or less are known to be linked, and left out."""
 
     def run(table: pa.Table) -> pa.Table:
         h, bounds, _, _ = shingles(pa.concat_arrays(table.column("text").chunks), n)
-        nodes = table.column("node").to_pylist()
-        copies = table.column("copies").to_numpy()
-        side = table.column("side").to_numpy()
+        nodes, minima_ = table.column("node").to_pylist(), table.column("minima").to_pylist()
+        copies, side, tree = (table.column(c).to_numpy() for c in ("copies", "side", "tree"))
+        level = table.column("level").fill_null(LEVELS + 1).to_numpy()
         parts: dict[bytes, list[int]] = {}
-        for i, c in enumerate(table.column("component").to_pylist()):
+        for i, c in enumerate(table.column("cell").to_pylist()):
             parts.setdefault(c, []).append(i)
         root: list[bytes] = list(nodes)
-        links = np.zeros(len(nodes), np.int64)
-        found = np.zeros(len(nodes))
-        standing = np.zeros(len(nodes))
+        links, low = np.zeros(len(nodes), np.int64), np.full(len(nodes), np.nan)
         for members in parts.values():
             members.sort(key=nodes.__getitem__)
             at = np.array(members)
@@ -178,66 +192,188 @@ def verify(groups: DataFrame, n: int, threshold: Fraction, depth: int, trees: in
                 continue
             s = side[at]
             inner = s[:, None] != s[None, :] if (s >= 0).any() else ~np.eye(len(at), dtype=bool)
+            inner &= level[at][:, None] + level[at][None, :] > LEVELS
+            j = int(tree[at[0]])
+            if j > 0:
+                own = labels([minima_[i] for i in members], trees, most, depth)
+                for t in range(j):
+                    inner &= own[:, t][:, None] != own[:, t][None, :]
+            if not inner.any():
+                continue
             linked, similarity = compare([np.unique(h[bounds[i] : bounds[i + 1]]) for i in members], inner, threshold)
             links[at] = linked @ copies[at]
-            found[at] = linked.sum(1)
-            standing[at] = np.where(linked, 1.0 / found_at(np.where(linked, similarity, 1.0), depth, trees), 0.0).sum(1)
+            low[at] = np.where(linked, similarity, np.inf).min(1)
             for i, r in zip(members, roots(linked)):
                 root[i] = nodes[members[r]]
         give_back()
-        return pa.table({"node": pa.array(nodes, pa.binary()), "root": pa.array(root, pa.binary()), "links": links, "found": found, "standing_for": standing, "whole": table.column("whole")})
+        return pa.table({"node": pa.array(nodes, pa.binary()), "root": pa.array(root, pa.binary()), "links": links, "low": pa.array(low, mask=~(low <= 1))})
 
-    return groups.groupBy("group").applyInArrow(run, "node binary, root binary, links long, found double, standing_for double, whole boolean")
+    return groups.groupBy("group").applyInArrow(run, "node binary, root binary, links long, low double")
 
 
-def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 6, least_depth: int = 4, recall: float = 0.999, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 6, least_depth: int | None = None, recall: float = 0.999, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, tie, class_id, class_tie, n_links.
 
     A link is a pair of documents whose sets of ``n``-word shingles have a Jaccard similarity of ``threshold`` or more;
     a class is what links hold together, named by its smallest id; ``tie`` (a hash of the text) tells rows of one id
-    apart, ``class_tie`` is that of the row that names the class."""
+    apart, ``class_tie`` is that of the row that names the class.  ``least_depth`` ends the shortening before the target
+    is met, for callers who accept that."""
     exact = Fraction(str(threshold))
+    last = least_depth or next((k for k in range(depth, 0, -1) if float(found_at(threshold, k, trees)) >= recall), None)
+    if last is None:
+        needed = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold))) if 0 < threshold < 1 and recall < 1 else "more"
+        raise ValueError(f"{trees} trees don't find links of {threshold} with a recall of {recall}; take {needed}")
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.col(f"`{text}`").alias("text"))
     signed = materialize(signatures(docs, n, trees * depth))
     named = signed.where(F.col("node").isNotNull())
     # a node is named by its smallest (id, tie); null ids come last
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     nodes = materialize(named.groupBy("node").agg(F.min(key).alias("name"), F.count(F.lit(1)).alias("copies"), F.first("minima").alias("minima")))
-    for k in range(depth, least_depth - 1, -1):
-        tries = prefixes(nodes, trees, depth, k)
-        shared = tries.groupBy("prefix").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where(F.col("centre") < F.col("last")).select("prefix", "centre")
-        candidates = tries.join(shared, "prefix").where(F.col("node") != F.col("centre")).select("node", "centre").distinct()
-        parts = materialize(components(candidates, "node", "centre").withColumnRenamed("label", "component"))
-        checked = _verified(docs, nodes, parts, n, exact, k, trees, block)
-        found, standing = checked.agg(F.sum("found"), F.sum("standing_for")).first()
-        if not found or found >= recall * standing or k == least_depth or float(found_at(threshold, k, trees)) >= recall:
+    total = nodes.count()
+    # candidates verified so far: their component, links, least similarity, and whether a shorter prefix may add pairs
+    state: DataFrame | None = None
+    edges: list[DataFrame] = []
+    for k in range(depth, last - 1, -1):
+        if state is None:
+            current = nodes.withColumn("open", F.lit(True))
+        else:
+            chance = 1 - F.pow(1 - F.pow("low", F.lit(k + 1)), F.lit(trees))  # at the depth matched so far
+            current = nodes.join(state.select("node", "low"), "node", "left").withColumn("open", F.col("low").isNull() | (chance < recall))
+        tries = prefixes(current, trees, depth, k)
+        shared = tries.groupBy("prefix").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.max("open").alias("any"), F.count(F.lit(1)).alias("n"))
+        shared = shared.where((F.col("centre") < F.col("last")) & F.col("any")).select("prefix", "centre", "n")
+        candidates = join_sums(tries.select("prefix", "node"), shared, ["prefix"], total * trees).where(F.col("node") != F.col("centre")).select("node", "centre").distinct()
+        if state is not None:
+            candidates = candidates.unionAll(state.select("node", F.col("component").alias("centre")))
+        found = components(candidates, "node", "centre").withColumnRenamed("label", "component")
+        if state is not None:
+            before = state.select("node", F.col("component").alias("was"), "again")
+            found = found.join(before, "node", "left").select("node", "component", F.coalesce("was", "node").alias("was"), F.coalesce("again", F.lit(False)).alias("again"))
+        else:
+            found = found.select("node", "component", F.col("node").alias("was"), F.lit(True).alias("again"))
+        found = materialize(found)
+        sums = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("was").alias("a"), F.max("was").alias("b"), F.max("again").alias("again"))
+        sums = sums.where((F.col("a") < F.col("b")) | F.col("again")).select("component", "n", F.col("n").alias("size"))
+        parts = join_sums(found.select("node", "component"), sums, ["component"], found.count())
+        parts = materialize(parts.join(nodes, "node"))
+        if k < depth and parts.isEmpty():
             break
-    degree = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.when(F.col("whole"), F.col("root"))).alias("root"))
-    across = checked.where(~F.col("whole") & (F.col("node") != F.col("root"))).select("node", "root")
-    joined = components(across, "node", "root")
-    labelled = nodes.select("node", "name", "copies").join(degree, "node", "left").join(joined.select("node", "label"), "node", "left")
-    labelled = labelled.select("node", "name", F.coalesce("root", "label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    names = labelled.groupBy("label").agg(F.min("name").alias("class"))
-    labelled = labelled.join(names, "label").select("node", "n_links", F.col("class.doc_id").alias("class_id"), F.col("class.tie").alias("class_tie"))
+        checked, in_tries = _verified(docs, parts, n, exact, k, trees, depth, block)
+        edges.append(checked.where(F.col("node") != F.col("root")).select("node", "root"))
+        done = parts.select("node", "component").join(checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("low").alias("low")), "node", "left")
+        done = done.select("node", "component", F.coalesce("links", F.lit(0)).alias("links"), "low")
+        done = done.join(in_tries.withColumn("again", F.lit(True)), "component", "left").withColumn("again", F.coalesce("again", F.lit(False))) if in_tries is not None else done.withColumn("again", F.lit(False))
+        if state is not None:
+            done = done.unionByName(state.join(parts.select("node"), "node", "left_anti"))
+        state = materialize(done)
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionAll(e)
+    joined = components(every, "node", "root")
+    labelled = nodes.select("node", "name", "copies").join(state.select("node", "links"), "node", "left").join(joined, "node", "left")
+    labelled = materialize(labelled.select("node", "name", "copies", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    names = labelled.groupBy("label").agg(F.min("name").alias("class"), F.count(F.lit(1)).alias("n"))
+    labelled = join_sums(labelled, names, ["label"], total).select("node", F.col("copies").alias("n"), "n_links", F.col("class.doc_id").alias("class_id"), F.col("class.tie").alias("class_tie"))
     alone = signed.where(F.col("node").isNull()).select("doc_id", "tie", F.col("doc_id").alias("class_id"), F.col("tie").alias("class_tie"), F.lit(0).cast("long").alias("n_links"))
-    return named.join(labelled, "node").select("doc_id", "tie", "class_id", "class_tie", "n_links").unionByName(alone)
-
-
-def _verified(docs: DataFrame, nodes: DataFrame, parts: DataFrame, n: int, threshold: Fraction, depth: int, trees: int, block: int) -> DataFrame:
-    """The candidates' components, dealt into groups and verified; written, for it is used three times."""
-    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    total = parts.count()
-    bundles = max(1, total // BUNDLE)
-    member = parts.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    member = member.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(nodes.select("node", "copies", "name"), "node")
-    pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    texts = docs.join(member.select(F.col("name.doc_id").alias("mid"), F.col("name.tie").alias("mtie"), "node", "component", "copies", "blocks", "mine"), F.col("doc_id").eqNullSafe(F.col("mid")) & (F.col("tie") == F.col("mtie"))).dropDuplicates(["node"])
-    dealt = texts.select("node", "component", "copies", "blocks", "mine", "text", F.explode(pairs).alias("other"))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    whole = F.col("blocks") == 1
-    group = F.when(whole, F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(bundles)))).otherwise(F.concat_ws("-", F.hex("component"), low, high))
-    side = F.when(whole | (F.col("mine") == F.col("other")), -1).when(F.col("mine") == low, 0).otherwise(1)
-    return materialize(verify(dealt.select(group.alias("group"), "component", side.cast("int").alias("side"), whole.alias("whole"), "node", "copies", "text"), n, threshold, depth, trees))
+    whole = join_sums(named.select("node", "doc_id", "tie"), labelled, ["node"], signed.count())
+    return whole.select("doc_id", "tie", "class_id", "class_tie", "n_links").unionByName(alone)
+
+
+_GROUPS = ["group", "cell", "tree", "side", "node", "copies", "level", "minima", "text"]
+
+
+def _verified(docs: DataFrame, parts: DataFrame, n: int, threshold: Fraction, depth: int, trees: int, most: int, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """(what ``verify`` finds in the components ``parts``, written; the components of which only trie nodes were verified)."""
+    names = parts.select("node", "component", "size", "copies", "minima", F.col("name.doc_id").alias("mid"), F.col("name.tie").alias("mtie"))
+    texts = docs.join(names, F.col("doc_id").eqNullSafe(F.col("mid")) & (F.col("tie") == F.col("mtie"))).dropDuplicates(["node"]).drop("doc_id", "tie", "mid", "mtie")
+    bundles = max(1, parts.count() // BUNDLE)
+    none = F.lit(None)
+    few = texts.where(F.col("size") <= block).select(
+        F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(bundles))).alias("group"), F.col("component").alias("cell"), F.lit(-1).alias("tree"), F.lit(-1).alias("side"),
+        "node", "copies", none.cast("int").alias("level"), none.cast("binary").alias("minima"), "text",
+    )
+    if parts.where(F.col("size") > block).isEmpty():
+        return materialize(verify(few, n, threshold, depth, trees, most)), None
+    many = materialize(texts.where(F.col("size") > block))
+    dealt, certain, in_tries = _large(many, n, threshold, depth, trees, most, block)
+    checked = materialize(verify(few.unionByName(dealt), n, threshold, depth, trees, most).unionByName(certain))
+    return checked, in_tries
+
+
+def _levels(many: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """(node, level): in LEVELS-ths of 1 - threshold, rounded up, a set's distance to its component's centre."""
+
+    def centre(table: pa.Table) -> pa.Table:
+        h, bounds, _, _ = shingles(pa.concat_arrays(table.column("text").chunks), n)
+        sets = [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+        one, count = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.table({"component": table.column("component").slice(0, 1), "centre": pa.array([one[2 * count > len(sets)].tobytes()], pa.binary())})
+
+    def distance(key, table: pa.Table, centres: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"node": pa.array([], pa.binary()), "level": pa.array([], pa.int32())})
+        c = np.frombuffer(centres.column("centre")[0].as_py(), np.uint64) if centres.num_rows else np.zeros(0, np.uint64)
+        h, bounds, _, _ = shingles(pa.concat_arrays(table.column("text").chunks), n)
+        level = np.empty(table.num_rows, np.int32)
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            own = np.unique(h[a:b])
+            common = len(np.intersect1d(own, c, assume_unique=True))
+            apart = 1 - common / (len(own) + len(c) - common)
+            level[i] = min(LEVELS + 1, int(LEVELS * apart / float(1 - threshold)) + 1) if threshold < 1 else LEVELS + 1
+        return pa.table({"node": table.column("node"), "level": pa.array(level)})
+
+    sampled = many.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SAMPLE)) == 0)
+    slices_ = F.ceil(F.col("size") / SLICE).cast("int")
+    centres = sampled.select("component", "text").groupBy("component").applyInArrow(centre, "component binary, centre binary")
+    sizes = many.groupBy("component").agg(F.first(slices_).alias("slices"))
+    centres = centres.join(sizes, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "centre")
+    mine = many.select("component", F.pmod(F.xxhash64("node"), slices_).cast("int").alias("slice"), "node", "text")
+    return mine.groupBy("component", "slice").cogroup(centres.groupBy("component", "slice")).applyInArrow(distance, "node binary, level int")
+
+
+def _large(many: DataFrame, n: int, threshold: Fraction, depth: int, trees: int, most: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups to verify, links that are certain, the components of which only trie nodes are verified)."""
+    held = materialize(many.drop("text").join(_levels(many, n, threshold), "node"))
+    rows = held.count()
+    # links by the triangle inequality: sums by component and level
+    by_level = held.groupBy("component", "level").agg(F.sum("copies").alias("weight"), F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
+    upto = by_level.alias("u").join(by_level.alias("v"), (F.col("u.component") == F.col("v.component")) & (F.col("u.level") + F.col("v.level") <= LEVELS))
+    upto = upto.groupBy(F.col("u.component").alias("component"), F.col("u.level").alias("level")).agg(F.sum("v.weight").alias("weight"), F.min(F.struct("v.level", "v.least")).alias("nearest"), F.first("u.n").alias("n"))
+    certain = join_sums(held.select("component", "level", "node", "copies"), upto, ["component", "level"], rows)
+    own = F.when(2 * F.col("level") <= LEVELS, F.col("copies")).otherwise(0)
+    certain = certain.select("node", F.col("nearest.least").alias("root"), (F.col("weight") - own).cast("long").alias("links"), F.lit(None).cast("double").alias("low"))
+    # cells: the component, or its trie nodes; loose nodes are compared with all others, tight ones are linked among themselves
+    tight = 2 * F.col("level") <= LEVELS
+    whole = held.select(F.col("component").alias("cell"), F.lit(-1).alias("tree"), "component", "node", tight.alias("tight"))
+    tries = prefixes(held.withColumn("open", F.lit(True)), trees, most, depth).drop("open").join(held.select("node", "component", tight.alias("tight")), "node")
+    tries = tries.select(F.concat("component", F.unhex(F.lpad(F.hex("prefix"), 16, "0"))).alias("cell"), "tree", "component", "node", "tight")
+    cells = materialize(whole.unionByName(tries))
+    loose, firm = F.sum((~F.col("tight")).cast("int")), F.sum(F.col("tight").cast("int"))
+    sums = cells.groupBy("cell", "tree", "component").agg(loose.alias("loose"), firm.alias("firm"), F.count(F.lit(1)).alias("n"))
+    sums = sums.where((F.col("loose") > 0) & (F.col("n") > 1)).withColumn("lb", F.ceil(F.col("loose") / block).cast("int")).withColumn("fb", F.ceil(F.col("firm") / block).cast("int"))
+    cost = F.col("loose") * (F.col("lb") + F.col("fb")) + F.col("firm") * F.col("lb")
+    sums = materialize(sums.withColumn("cost", cost))
+    costs = sums.groupBy("component").agg(F.sum(F.when(F.col("tree") < 0, F.col("cost")).otherwise(0)).alias("blocks"), F.sum(F.when(F.col("tree") >= 0, F.col("cost")).otherwise(0)).alias("tries"))
+    costs = materialize(costs.select("component", (F.col("tries") < F.col("blocks")).alias("in_tries")))
+    chosen = sums.join(costs, "component").where((F.col("tree") >= 0) == F.col("in_tries")).select("cell", "n", "lb", "fb")
+    member = join_sums(cells.select("cell", "tree", "node", "tight"), chosen, ["cell"], cells.count())
+    # loose blocks meet each other (l) and the tight ones (t)
+    hashed = F.xxhash64("node", "cell")
+    member = member.withColumn("b", F.pmod(hashed, F.when(F.col("tight"), F.col("fb")).otherwise(F.col("lb"))).cast("int"))
+
+    def pairs(kind: str, side, low, high):
+        return F.struct(F.lit(kind).alias("kind"), side.cast("int").alias("side"), low.alias("low"), high.alias("high"))
+
+    b = F.col("b")
+    with_loose = F.transform(F.sequence(F.lit(0), F.col("lb") - 1), lambda o: pairs("l", F.when(o == b, -1).when(b < o, 0).otherwise(1), F.least(o, b), F.greatest(o, b)))
+    with_tight = F.when(F.col("fb") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("fb") - 1, F.lit(0))), lambda o: pairs("t", F.lit(0), b, o)))
+    as_tight = F.transform(F.sequence(F.lit(0), F.col("lb") - 1), lambda o: pairs("t", F.lit(1), o, b))
+    no_pairs = F.array().cast("array<struct<kind:string,side:int,low:int,high:int>>")
+    meets = F.when(F.col("tight"), as_tight).otherwise(F.concat(with_loose, F.coalesce(with_tight, no_pairs)))
+    member = member.select("cell", "tree", "node", F.explode(meets).alias("p")).select("cell", "tree", "node", "p.*")
+    dealt = member.join(held.select("node", "level"), "node").join(many.select("node", "copies", "minima", "text"), "node")
+    dealt = dealt.select(F.concat_ws("-", F.lit("c"), F.hex("cell"), "kind", "low", "high").alias("group"), "cell", "tree", "side", "node", "copies", "level", "minima", "text")
+    return dealt, certain, costs.where("in_tries").select("component")
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -36,12 +36,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fillwise.llm.common import Words, discard, grams, materialize, neutral, restored, slices
+from fillwise.llm.common import HOT_KEYS, HOT_ROWS, Words, discard, grams, materialize, neutral, restored, slices
 
 #: Bits of a place within a batch, in the keys from which the smallest is taken.
 PLACE_BITS = 30
-#: Keys of a broadcast table, at most (40 bytes each); a key with fewer rows than HOT_ROWS is never in it.
-HOT_KEYS, HOT_ROWS = 20_000, 1_000
 SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 

@@ -310,6 +310,53 @@ def test_jaccard_join(spark, block):
     assert J.similarity_join(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("threshold", "trees"), [(0.3, 20), (0.5, 20), (0.95, 20)])
+def test_recall_at_other_thresholds(spark, threshold, trees):
+    rng = random.Random(9)
+    rows = []
+    for g in range(15):
+        base = prose(rng, 60, 5000).split()
+        for k in range(8):
+            cut = rng.randrange(60)
+            rows.append((len(rows), " ".join(base[:cut] + prose(rng, 60 - cut, 5000).split()) if rng.random() < 0.7 else " ".join(base)))
+    want = brute_links(rows, 5, threshold)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (4, 384):
+        got = J.similarity_join(docs, threshold=threshold, trees=trees, block=block).collect()
+        assert sum(r.n_links for r in got) >= 0.99 * sum(k[2] * n for k, n in want.items()) > 0
+        assert len(set(Counter((r.doc_id, r.class_id, r.n_links) for r in got)) - set(want)) <= 3
+
+
+def test_join_refuses_a_recall_that_it_cannot_reach(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="take 31"):
+        J.similarity_join(docs, threshold=0.2)
+
+
+def test_a_tight_group_is_counted_without_comparing(spark, monkeypatch):
+    """A group of near copies of one text: nearly all its pairs are certain, so that the compared blocks stay few."""
+    rng = random.Random(10)
+    base = prose(rng, 300, 5000).split()
+    rows = [(k, " ".join(base[: 10 + k % 280] + [f"new{k}"] + base[11 + k % 280 :])) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, whole = [], J._large
+    monkeypatch.setattr(J, "_large", lambda *a: seen.append(whole(*a)) or seen[-1])
+    got = J.similarity_join(docs, block=50).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 899)}
+    dealt, certain, _ = seen[0]
+    assert dealt.count() == 0 and certain.agg(F.sum("links")).first()[0] == 900 * 899
+
+
+def test_a_chain_is_compared_by_trie_node(spark):
+    """A long chain of texts that overlap with the next ones only is one component; its blocks would be all pairs."""
+    rng = random.Random(12)
+    words = prose(rng, 4000, 10**6).split()
+    rows = [(k, " ".join(words[4 * k : 4 * k + 150])) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = J.similarity_join(docs, block=20)
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_links(rows, 5, 0.8)
+
+
 def test_shorter_prefixes_find_what_deep_ones_miss(spark):
     rows = near_rows()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
