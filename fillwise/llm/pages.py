@@ -1,16 +1,18 @@
-"""Main text of web pages: markup first, then a suffix array over the pages of a host.
-
-Each page is parsed once into blocks.  Blocks in elements that are never article text (scripts, menus, footers, forms,
-adverts, notices, comments, ...) go; the others are marked as inside an article or outside any.
-
-The pages of a host are then put one after the other as streams of tokens, and their suffix array, sorted to the depth
-of the shortest passage that counts, shows which passages stand on several distinct pages.  Outside an article, what
-such passages cover is boilerplate, and the unique runs are kept (if the page has no article at all).  Inside an
-article, markup outranks repetition: copies and quotations are text; only a passage that most of the host's distinct
-articles hold is boilerplate.  A host with many pages is cut into chunks of bounded size.  Equal pages are in one chunk,
-so that the chunks' counts of a passage (a 64-bit hash of its tokens) add up to the host's; the sums decide in each chunk.
-If all pages of a host have an article, only a passage over the share in some chunk can be over it in the host, and only
-such passages are summed.
+"""Main text of web pages: a suffix array over the pages of a host, with markup as the prior.
+
+Each page is parsed once into blocks.  Blocks in elements that are plainly no article text (scripts, menus, footers, forms,
+elements whose class or id says advert, notice, comments, ...) go; the others are marked as inside an article, outside
+any, or doubtful: inside an article, but in an element whose class or id holds such a word beside others
+(``share-price``, ``related-work``).
+
+The pages of a host are then put one after the other as streams of tokens.  Their suffix array and its longest common
+prefixes show which passages stand on several distinct pages: the intervals of suffixes that share PASSAGE tokens or more
+(a block shorter than that is a passage as a whole).  In doubtful blocks, and outside on pages without any article, what
+such passages cover is boilerplate, and the unique runs are kept.  Inside an article, copies and quotations are text;
+only a passage that most of the host's distinct articles hold is boilerplate.  A host with many pages is cut into chunks of
+bounded size.  Equal pages are in one chunk, so that the chunks' counts of a passage (a 64-bit hash of its tokens) add up
+to the host's; the sums decide in each chunk, so that the cut changes no text.  If all pages of a host have an article and
+no doubtful block, only a passage over the share in some chunk can be over it in the host, and only such are summed.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own; equal pages count once as
 evidence and each get their text; a null page_id is kept; an empty table gives an empty result; further columns are
@@ -41,9 +43,11 @@ CHUNK, BUNDLE = 256, 512
 #: Hosts up to which their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_HOSTS = 50_000
 
-INSIDE, OUTSIDE = 0, 1
+INSIDE, OUTSIDE, DOUBTFUL = 0, 1, 2
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe object svg math textarea title".split())
+_RAW = frozenset("script style noscript template iframe object textarea title".split())
+#: Elements within which a tag may close itself.
+_FOREIGN = frozenset("svg math".split())
 _DROP = frozenset("nav footer aside form button select dialog menu head audio video canvas map".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _SPACE = frozenset("br td th img".split())
@@ -56,6 +60,12 @@ _MARKS = frozenset(
     overlay pager pagination popular popup promo promoted promotion recommend recommended recommendations related replies reply respond search
     share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription teaser toolbar topbar trending widget widgets""".split()
 )
+#: Words that leave the sense of a marking word beside them as it is.
+_BESIDE = frozenset(
+    """area article bar block body bottom box button buttons container content count form global google group header icon icons inline inner
+    item items js left link links list main module outer page panel placeholder post primary reader readers right secondary section site slot
+    text thread title top tree unit user wrap wrapper""".split()
+)
 _NOT_BEFORE = frozenset("with has no without is".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar status".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
@@ -63,37 +73,48 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def dropped(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is marked as something other than article text."""
+#: What an element's mark says.
+CLEAR, DOUBT, DROP = 0, 1, 2
+
+
+def marked(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is marked as something other than article text: CLEAR (it isn't), DOUBT or DROP."""
     if tag in _DROP:
-        return True
+        return DROP
     if tag == "header":
-        return not in_article
+        return CLEAR if in_article else DROP
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return CLEAR
+    out = CLEAR
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" and m[2] is None and m[3] is None and m[4] is None or name == "aria-hidden" and value == "true":
-            return True
+            return DROP
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return DROP
         if name == "role" and value in _ROLES:
-            return True
+            return DROP
         if name in ("class", "id"):
             for one in value.split():
                 parts = [p for p in _NAME_PARTS.split(one) if p]
-                if parts and parts[0] not in _NOT_BEFORE and (parts[0] in _MARKS or parts[-1] in _MARKS or (parts[-1] == "header" and not in_article)):
-                    return True
-    return False
+                if not parts or parts[0] in _NOT_BEFORE:
+                    continue
+                if parts[-1] == "header" and not in_article:
+                    return DROP
+                if parts[0] in _MARKS or parts[-1] in _MARKS:
+                    if all(p in _MARKS or p in _BESIDE or any(c.isdigit() for c in p) for p in parts):
+                        return DROP
+                    out = DOUBT
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, int, int]]:
-    """(text, INSIDE or OUTSIDE, number of its article or -1) of each block in page order."""
+    """(text, INSIDE, DOUBTFUL or OUTSIDE, number of its article or -1) of each block in page order."""
     out: list[tuple[str, int, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, dropped, article
-    drop, article, articles = False, -1, 0
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, dropped, article, doubtful
+    drop, article, doubt, articles, foreign = False, -1, False, 0, 0
     at, end = 0, len(page)
 
     def close() -> None:
@@ -102,12 +123,12 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             text = " ".join(text.split())
             held.clear()
             if text:
-                out.append((text, INSIDE if article >= 0 else OUTSIDE, article))
+                out.append((text, OUTSIDE if article < 0 else DOUBTFUL if doubt else INSIDE, article))
 
     def pop(to: int) -> None:
-        nonlocal drop, article
+        nonlocal drop, article, doubt
         del stack[to:]
-        drop, article = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
+        drop, article, doubt = stack[-1][1:] if stack else (False, -1, False)
 
     while at < end:
         m = _TAG.search(page, at)
@@ -122,14 +143,16 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if not tag:
             continue
         closing = (m[1] or m[4]) == "/"
+        if tag in _FOREIGN:
+            foreign = max(0, foreign - 1) if closing else foreign + (not (m[3] or m[6] or "").endswith("/"))
         if tag in _RAW:
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
+            if not closing and not (foreign and (m[3] or m[6] or "").endswith("/")):
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else end
             continue
         if tag in _BLOCK:
             close()
-            if not closing and stack and stack[-1][0] in ("p", "li", "dd", "dt") and stack[-1][1]:
+            if not closing and stack and stack[-1][0] in ("p", "li", "dd", "dt") and (stack[-1][1] or stack[-1][3]):
                 pop(len(stack) - 1)  # an open paragraph ends where the next block starts
         elif tag in _SPACE and not drop:
             held.append(" ")
@@ -144,19 +167,19 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         attributes = m[3] or m[6] or ""
         if tag == "body":
             pop(0)
-        inner = dropped(tag, attributes, article >= 0)
-        own = article
+        mark = marked(tag, attributes, article >= 0)
+        inner, own = mark == DROP, article
         if tag in ("article", "main") and not inner:
-            by_form = drop and all(t == "form" or not d or any(s[1] for s in stack[:k]) for k, (t, d, _) in enumerate(stack))
+            by_form = drop and all(t == "form" or not d or any(s[1] for s in stack[:k]) for k, (t, d, _) in enumerate(s[:3] for s in stack))
             if by_form:
                 drop = False
             if not drop and article < 0:
                 own, articles = articles, articles + 1
-        if tag in _STRUCTURE or inner and not attributes.endswith("/"):
-            if inner:
+        if tag in _STRUCTURE or mark != CLEAR and not attributes.endswith("/"):
+            if mark != CLEAR:
                 close()
-            stack.append((tag, drop or inner, own))
-            drop, article = stack[-1][1], own
+            stack.append((tag, drop or inner, own, doubt or mark == DOUBT))
+            drop, article, doubt = stack[-1][1:]
     close()
     return out
 
@@ -168,20 +191,53 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """The rank of each suffix by its first ``depth`` tokens (prefix doubling); equal ranks are equal passages."""
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    span = 1
-    while span < depth:
-        after = np.full(len(rank), -1, np.int64)
-        after[:-span] = rank[span:]
-        key = rank * (len(rank) + 1) + after + 1
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate(([0], key[order][1:] != key[order][:-1]))
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = np.cumsum(step)
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the suffixes' starts in order, the common prefix of each with the one before it, 0 for the first).
+
+    Prefix doubling; from round to round only suffixes that are not yet told apart are sorted again.  The ranks of each
+    round tell whether two passages of its length are equal, so prefixes are measured by halving steps."""
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(tokens, kind="stable")
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1  # the end
+    first = np.concatenate(([True], tokens[order][1:] != tokens[order][:-1]))
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    rounds, span = [rank], 1
+    while True:
+        # a class of equal suffixes holds the places from its rank on
+        alone = np.concatenate((first[1:], [True])) & first
+        if alone.all():
+            break
+        at = np.flatnonzero(~alone)
+        members = order[at]
+        after = rank[np.minimum(members + span, n)]
+        again = np.lexsort((after, rank[members]))
+        members, after = members[again], after[again]
+        order[at] = members
+        group = rank[members]
+        fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])))
+        first = first.copy()
+        first[at] = fresh
+        rank = rank.copy()
+        rank[members] = np.maximum.accumulate(np.where(fresh, at, 0))
+        rounds.append(rank)
         span *= 2
-    return rank
+    common = np.zeros(n, np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    for k in range(len(rounds) - 1, -1, -1):
+        same = (rounds[k][np.minimum(a, n)] == rounds[k][np.minimum(b, n)]) & (a < n) & (b < n)
+        step = same.astype(np.int64) << k
+        common[1:] += step
+        a += step
+        b += step
+    return order, common
+
+
+def padded(stream: list[str], depth: int = PASSAGE) -> list[str]:
+    """A block shorter than a passage is one, with its end."""
+    return stream + ["\n"] * (depth - len(stream)) if len(stream) < depth else stream
 
 
 def counted(streams: list[list[str]], pages: list[int], depth: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,11 +255,11 @@ def counted(streams: list[list[str]], pages: list[int], depth: int = PASSAGE) ->
     n = len(ids)
     count = np.zeros(n, np.int64)
     if n >= depth:
-        rank = suffix_ranks(ids, depth)
-        # passages that run over a mark belong to one stream and stand once
-        pair = np.unique(rank * (int(own.max()) + 1) + own) // (int(own.max()) + 1)
-        per_rank = np.bincount(pair, minlength=int(rank.max()) + 1)
-        count = per_rank[rank]
+        order, common = suffix_array(ids)
+        # an interval of suffixes that share a passage; those that run over a mark belong to one stream and stand once
+        interval = np.cumsum(common < depth) - 1
+        pair = np.unique(interval * (int(own.max()) + 1) + own[order]) // (int(own.max()) + 1)
+        count[order] = np.bincount(pair)[interval]
         mark = ids < 0
         reach = np.convolve(mark, np.ones(depth, np.int64))[depth - 1 : n]
         count[: n - depth + 1][reach > 0] = 0
@@ -220,25 +276,26 @@ def spread_over(count: np.ndarray, depth: int = PASSAGE) -> np.ndarray:
 
 
 def passages(stream: list[str]) -> np.ndarray:
-    """The hash of the passage from each token on, as far as passages go."""
-    if len(stream) < PASSAGE:
-        return np.zeros(0, np.int64)
+    """The hash of the passage from each token on, as far as passages go; of a short block, its own."""
+    stream = padded(stream)
     return grams(np.fromiter((xxhash.xxh3_64_intdigest(t) for t in stream), np.uint64, len(stream)), PASSAGE).view(np.int64)
 
 
-def body_of(page: list[tuple[str, int, int]]) -> tuple[int, bool]:
-    """(hash of what makes a page distinct: its articles, or all of it if it has none; whether it has an article)."""
-    inside = [t for t, zone, _ in page if zone == INSIDE]
-    return xxhash.xxh3_64_intdigest(repr((bool(inside), inside or [t for t, _, _ in page]))) - (1 << 63), bool(inside)
+def body_of(page: list[tuple[str, int, int]]) -> tuple[int, bool, bool]:
+    """(hash of what makes a page distinct: its articles, or all of it if it has none; whether it has an article;
+    whether repetition alone decides some of its blocks)."""
+    inside = [t for t, zone, _ in page if zone != OUTSIDE]
+    return xxhash.xxh3_64_intdigest(repr((bool(inside), inside or [t for t, _, _ in page]))) - (1 << 63), bool(inside), not inside or any(zone == DOUBTFUL for _, zone, _ in page)
 
 
 def repeated(streams: list[list[str]], pages: list[int], depth: int = PASSAGE) -> list[np.ndarray]:
     """For each token of each stream: on how many distinct pages the most common passage over it stands.
 
     ``pages`` numbers the streams' pages; streams of one page count once."""
-    _, starts, count = counted(streams, pages, depth)
+    full = [padded(t, depth) for t in streams]
+    _, starts, count = counted(full, pages, depth)
     spread = spread_over(count, depth)
-    return [spread[a : b - 1] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+    return [spread[a : a + len(t)] for a, t in zip(starts[:-1].tolist(), streams)]
 
 
 def main_texts(pages: list[list[tuple[str, int, int]]], sums: tuple[np.ndarray, np.ndarray, int] | None = None) -> list[str]:
@@ -246,7 +303,7 @@ def main_texts(pages: list[list[tuple[str, int, int]]], sums: tuple[np.ndarray,
 
     ``sums`` has the host's counts if these are not all of its pages: sorted hashes of passages, on how many distinct
     pages each stands, and the host's distinct articles."""
-    bodies = [tuple(t for t, zone, _ in p if zone == INSIDE) for p in pages]
+    bodies = [tuple(t for t, zone, _ in p if zone != OUTSIDE) for p in pages]
     number: dict[tuple, int] = {}
     distinct = [number.setdefault((b, tuple(t for t, zone, _ in p if zone == OUTSIDE)) if not b else b, len(number)) for b, p in zip(bodies, pages)]
     streams = [t.split(" ") for p in pages for t, _, _ in p]
@@ -268,7 +325,7 @@ def main_texts(pages: list[list[tuple[str, int, int]]], sums: tuple[np.ndarray,
             tokens, count = next(words), next(spread)
             if body and zone == OUTSIDE:
                 continue
-            common = count > limit if zone == INSIDE else count >= PAGES_OUTSIDE
+            common = (count > limit) & (len(tokens) >= PASSAGE) if zone == INSIDE else count >= PAGES_OUTSIDE
             if not common.any():
                 kept.append(t)
             elif not common.all():
@@ -279,7 +336,7 @@ def main_texts(pages: list[list[tuple[str, int, int]]], sums: tuple[np.ndarray,
 
 def _looked_up(keys: np.ndarray, totals: np.ndarray, stream: list[str]) -> np.ndarray:
     out = np.zeros(len(stream), np.int64)
-    found = passages(stream) if len(keys) else keys
+    found = passages(stream)[: len(stream)] if len(keys) else keys
     if len(found):
         at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
         out[: len(found)] = np.where(keys[at] == found, totals[at], 0)
@@ -301,7 +358,7 @@ def census(table: pa.Table) -> pa.Table:
     articles = sum(one.column("article").to_pylist())
     streams, owners = [], []
     for k, texts in enumerate(one.column("texts").to_pylist()):
-        streams += [t.split(" ") for t in texts]
+        streams += [padded(t.split(" ")) for t in texts]
         owners += [k] * len(texts)
     hashes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if streams:
@@ -367,7 +424,7 @@ def host_counts(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of the pages of hosts with several chunks: (host, chunk, salts) where copies need several groups, and
     (host, chunk, hash, n, articles) with the host's sums.
 
-    A host with a page without article (``bare``) has all its passages summed, others those that can be over the share."""
+    A host with a page of which repetition alone decides blocks (``bare``) has all its passages summed, others those that can be over the share."""
     told = large.select("host", "chunk", "bare", "body", "article", "texts").mapInArrow(_distinct_pages, "host string, chunk int, bare boolean, body long, article boolean, copies long, texts array<string>")
     found = materialize(told.groupBy("host", "chunk").applyInArrow(census, _CENSUS))
     heads = found.where("hash is null").select("host", "chunk", "pages", "articles")
@@ -395,15 +452,15 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [blocks(h or "") for h in batch.column(2).to_pylist()]
-            body, article = zip(*map(body_of, found))
+            body, article, bare = zip(*map(body_of, found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string()), pa.array(body, pa.int64()), pa.array(article, pa.bool_()), *(pa.array([[b[k] for b in p] for p in found], pa.list_(t)) for k, t in ((0, pa.string()), (1, pa.int32()), (2, pa.int32())))],
-                ["page_id", "url", "host", "body", "article", "texts", "zones", "articles"],
+                [batch.column(0), batch.column(1), pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string()), pa.array(body, pa.int64()), pa.array(article, pa.bool_()), pa.array(bare, pa.bool_()), *(pa.array([[b[k] for b in p] for p in found], pa.list_(t)) for k, t in ((0, pa.string()), (1, pa.int32()), (2, pa.int32())))],
+                ["page_id", "url", "host", "body", "article", "open", "texts", "zones", "articles"],
             )
 
-    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host string, body long, article boolean, texts array<string>, zones array<int>, articles array<int>")
-    # the pages of each host, and whether one has no article; a small table
-    hosts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("count"), F.max(~F.col("article")).alias("bare")).withColumnRenamed("host", "_host")
+    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host string, body long, article boolean, open boolean, texts array<string>, zones array<int>, articles array<int>")
+    # the pages of each host, and whether repetition alone decides blocks of one; a small table
+    hosts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("count"), F.max("open").alias("bare")).withColumnRenamed("host", "_host")
     hosts = materialize(hosts)
     # broadcast while the table is known to be small, so that the blocks are shuffled once
     few = hosts.count() <= BROADCAST_HOSTS

@@ -561,6 +561,86 @@ def test_boilerplate_without_markup():
         assert blocks[0] == body and notice not in text and blocks[1:] in ([f"{i}"], [f"page {i}"], [])
 
 
+def brute_main_texts(pages):
+    """The rules in plain words over the parsed blocks of one host's pages: no suffix array, no hashes."""
+    n = G.PASSAGE
+    passages = lambda w: [tuple(w[k : k + n]) for k in range(len(w) - n + 1)] or [tuple(w)]
+    bodies = [tuple(t for t, zone, _ in p if zone != G.OUTSIDE) for p in pages]
+    kinds = [b or ("", *(t for t, _, _ in p)) for b, p in zip(bodies, pages)]
+    on = {}
+    for kind, p in zip(kinds, pages):
+        for t, _, _ in p:
+            for x in passages(t.split(" ")):
+                on.setdefault(x, set()).add(kind)
+    limit = max(G.PAGES_INSIDE, G.SHARE_INSIDE * len({b for b in bodies if b}))
+    out = []
+    for body, p in zip(bodies, pages):
+        kept = []
+        for t, zone, _ in p:
+            w = t.split(" ")
+            if body and zone == G.OUTSIDE:
+                continue
+            gone = set()
+            for k, x in enumerate(passages(w)):
+                if len(on[x]) > limit if zone == G.INSIDE and len(w) >= n else zone != G.INSIDE and len(on[x]) >= G.PAGES_OUTSIDE:
+                    gone |= set(range(k, k + len(x)))
+            left = [x for k, x in enumerate(w) if k not in gone]
+            if left:
+                kept.append(" ".join(left))
+        out.append("\n\n".join(kept))
+    return out
+
+
+def site(rng, host, pages, article):
+    """Pages of one host: with menus and notices, marked or not, copies, quotations, doubtful blocks."""
+    note, quote, promo, menu = prose(rng, 14, 10**6), prose(rng, 20, 10**6), prose(rng, 9, 10**6), "Home News Contact"
+    out = []
+    for i in range(pages):
+        body = f"<h1>{prose(rng, 5, 10**6)}</h1><p>{prose(rng, 30, 10**6)}{' ' + quote if i % 4 == 0 else ''}</p>"
+        body += f"<p class='share-price'>{promo if i % 2 else prose(rng, 12, 10**6)}</p><p>{note if i % 5 else ''}</p>"
+        body = f"<article>{body}</article>" if article(i) else f"<div>{body}</div>"
+        out.append((f"http://{host}/{i}", f"<nav>{menu}</nav><div>{menu}</div>{body}<div>{promo} {i}</div><div class='ad'>Buy</div><footer>{note}</footer>"))
+    return out + out[:2]
+
+
+@pytest.mark.parametrize("chunk", [7, 256])
+def test_pages_match_brute_force(spark, chunk, monkeypatch):
+    """The whole query against the rules by brute force; neither the chunks' size nor the order of the rows matters."""
+    rng = random.Random(21)
+    found = site(rng, "one.example", 40, lambda i: True) + site(rng, "two.example", 30, lambda i: i % 3 > 0) + site(rng, "three.example", 12, lambda i: False)
+    rows = [(k, *r) for k, r in enumerate(found)] + [(900, None, None), (901, "http://one.example", "")]
+    monkeypatch.setattr(G, "CHUNK", chunk)
+    got = {r.page_id: r.text for r in G.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
+    by_host = {}
+    for i, url, page in rows:
+        by_host.setdefault(G.host_of(url), []).append((i, page or ""))
+    for members in by_host.values():
+        want = brute_main_texts([G.blocks(page) for _, page in members])
+        assert [got[i] for i, _ in members] == want
+    # repetition decides: without it the texts are others
+    monkeypatch.setattr(G, "repeated", lambda streams, pages: [np.zeros(len(t), np.int64) for t in streams])
+    mine = [G.blocks(page) for _, page in by_host["one.example"]]
+    assert sum(a != b for a, b in zip(G.main_texts(mine), brute_main_texts(mine))) > 20
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(2)
+    for n, k in ((0, 1), (1, 1), (9, 1), (60, 2), (300, 3), (200, 50)):
+        t = rng.integers(0, k, n)
+        order, common = G.suffix_array(t)
+        want = sorted(range(n), key=lambda i: t[i:].tolist())
+        assert order.tolist() == want
+        for x, a, b in zip(common[1:].tolist(), want, want[1:]):
+            both = [u == v for u, v in zip(t[a:].tolist(), t[b:].tolist())]
+            assert x == (both.index(False) if False in both else len(both))
+
+
+def test_marks_that_say_something_else_do_not_drop():
+    page = "<article><section id='related-work'><p>Kept one</p></section><p class='share-price'>Kept two</p><div class='comment-free zone'>Kept three</div><p>x<math><mi>y</mi></math></p><script/>var a</script><p>end<svg><path/></svg></p><div class='share-buttons'>Tweet</div></article>"
+    assert [t for t, _, _ in G.blocks(page)] == ["Kept one", "Kept two", "Kept three", "xy", "end"]
+    assert [z for _, z, _ in G.blocks(page)] == [G.DOUBTFUL] * 3 + [G.INSIDE] * 2
+
+
 def test_large_hosts_count_over_all_chunks(spark):
     """As if the host were one chunk: passages on few pages of many, with and without articles, and many copies."""
     rng = random.Random(11)
@@ -593,6 +673,8 @@ def test_repeated_is_exact():
             where.setdefault(tuple(s[k : k + 8]), set()).add(p)
     for s, got in zip(streams, G.repeated(streams, pages)):
         want = [max((len(where[tuple(s[k : k + 8])]) for k in range(max(0, i - 7), min(i, len(s) - 8) + 1)), default=0) for i in range(len(s))]
+        if len(s) < 8:  # a short block is a passage as a whole
+            want = [len({p for t, p in zip(streams, pages) if t == s})] * len(s)
         assert got.tolist() == want
 
 
