@@ -1,21 +1,22 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models that match in everything but their counts: the target's from a small set of texts in the wanted
-domain, the background's from every document.  Both share the target's vocabulary; other words are one unknown word.
-A document's score is the mean over its words of (loss under the target - loss under the background), in nats: the
-lower, the closer to the target.
+Two bigram models that match in everything but their counts: the target's from a set of texts in the wanted domain, the
+background's from every document.  They share one vocabulary, every word of either.  A document's score is the mean over
+its words of (loss under the target - loss under the background), in nats: the lower, the closer to the target.
 
 With c the counts of a model, N its words, V the vocabulary's size, u the word before v (a start mark before the first):
 
     p(v)     = (c(v) + 1) / (N + V + 1)
     p(v | u) = (c(u, v) + strength * p(v)) / (c(u) + strength)
 
-The counts are sums over all documents, combined by task before the shuffle.  Loss differences are kept per pair in
-whole millionths, so that a document's sum does not depend on its order.  The table of pairs is broadcast up to a
-checked size; beyond it, documents' pairs are joined with it.
+Both the vocabulary and the counts grow with the corpus, so neither is gathered anywhere.  Documents are written in blocks
+of bounded size; a block gives one row for each of its distinct words, contexts and pairs (62-bit hashes and their kind)
+with its count.  These are summed by key, and a block gets back the sums of the keys that it shares with others; of the
+rest it knows the counts itself.  A key has one row per block at most, so the commonest pair is no hot key.  Loss
+differences are kept per pair in whole millionths, so that a document's sum does not depend on its order.
 
 Defined results: a text without words (or null) has the score 0; equal rows get equal scores; a null id is kept; an
-empty target gives a vocabulary without words; an empty table gives an empty result; further columns are ignored.
+empty target gives a model without counts; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,105 +27,117 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fillwise.llm.common import Words, materialize, slices
+from fillwise.llm.common import Words, discard, give_back, materialize, mix64, slices
 
-#: Pairs up to which the table of losses is broadcast (16 bytes each).
-BROADCAST_PAIRS = 2_000_000
-UNKNOWN = 0
+#: Documents of a block, and bytes of text at most (one document at least).
+BLOCK_ROWS, BLOCK_BYTES = 4_096, 6_000_000
+#: Kinds of keys, in their two lowest bits.
+WORD, CONTEXT, PAIR = 0, 1, 2
+_START = np.uint64(0x5D1F3C2B9A876E41)
 
 
-def vocabulary(target: DataFrame, text: str, least: int) -> list[str]:
-    """All words of the target by frequency, which are broadcast; word i of the list has the number i + 1."""
-    words = target.select(F.explode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\x20\x09-\x0D]+")).alias("w")).where(F.col("w") != "")
-    rows = words.groupBy("w").count().where(F.col("count") >= least).orderBy(F.col("count").desc(), "w").collect()
-    return [r[0] for r in rows]
+class Keys:
+    """The keys of a block's texts: of each word (place) its own, its context's and its pair's, and the texts' bounds."""
 
+    def __init__(self, texts: pa.Array):
+        w = Words(texts)
+        h = w.hashes()
+        before = np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h
+        before[w.starts[:-1][w.lengths > 0]] = _START
+        with np.errstate(over="ignore"):
+            pair = mix64(mix64(before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + h)
+        self.starts = w.starts
+        self.word, self.context, self.pair = (((mix64(x) & ~np.uint64(3)) | np.uint64(kind)).view(np.int64) for x, kind in ((h, WORD), (before, CONTEXT), (pair, PAIR)))
 
-def pair_codes(texts: pa.Array, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(code of each word and the one before it, bounds of each text's words)."""
-    w = Words(texts)
-    table = np.fromiter((numbers.get(v, UNKNOWN) for v in w.vocabulary.to_pylist()), np.int64, len(w.vocabulary))
-    ids = table[w.codes] if len(w.codes) else np.zeros(0, np.int64)
-    before = np.concatenate((np.zeros(1, np.int64), ids[:-1])) if len(ids) else ids
-    first = w.starts[:-1][w.lengths > 0]
-    before[first] = len(numbers) + 1  # the start mark
-    return before * (len(numbers) + 2) + ids, w.starts
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct keys in order, how often each occurs)."""
+        return np.unique(np.concatenate((self.word, self.context, self.pair)), return_counts=True)
 
 
-def pair_counts(texts: DataFrame, text: str, words) -> DataFrame:
-    """(pair, n) over all texts; ``words`` is a broadcast vocabulary."""
+def blocks(docs: DataFrame, kind: str) -> DataFrame:
+    """(block, ids, texts): documents (doc_id, text) in blocks, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = {w: i + 1 for i, w in enumerate(words.value)}
-        for batch in slices(batches, rows=16_384, size=24_000_000):
-            codes, _ = pair_codes(batch.column(0), numbers)
-            code, n = np.unique(codes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["pair", "n"])
+        from pyspark import TaskContext
 
-    return texts.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        part, seq = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
 
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            ends = pa.array([0, t.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(t.column(k).chunks)) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), *lists], ["block", "ids", "texts"])
 
-def with_loss(pairs: DataFrame, target_pairs: DataFrame, size: int, strength: float) -> DataFrame:
-    """(pair, loss): (target loss - background loss) in millionths for every pair of the background."""
-    base = size + 2
-    both = pairs.withColumnRenamed("n", "b").join(target_pairs.withColumnRenamed("n", "t"), "pair", "full")
-    both = both.select("pair", F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("t", F.lit(0)).alias("t"), F.floor(F.col("pair") / base).alias("u"), (F.col("pair") % base).alias("v"))
-    both = materialize(both)
-    word = both.groupBy("v").agg(F.sum("b").alias("bv"), F.sum("t").alias("tv"))
-    context = both.groupBy("u").agg(F.sum("b").alias("bu"), F.sum("t").alias("tu"))
-    total = both.agg(F.sum("b"), F.sum("t")).first()
+        for batch in slices(batches, rows=256, size=BLOCK_BYTES // 4):
+            if held and (rows + batch.num_rows > BLOCK_ROWS or size + batch.nbytes > BLOCK_BYTES):
+                yield flush()
+                seq, held, rows, size = seq + 1, [], 0, 0
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+        if held:
+            yield flush()
 
-    def p(pair: str, ctx: str, one: str, n: int):
-        single = (F.col(one) + 1.0) / float(n + size + 1)
-        return (F.col(pair) + strength * single) / (F.col(ctx) + strength)
+    return materialize(docs.mapInArrow(run, f"block long, ids array<{kind}>, texts array<string>"))
 
-    loss = F.log(p("b", "bu", "bv", total[0] or 0)) - F.log(p("t", "tu", "tv", total[1] or 0))
-    return both.where("b > 0").join(word, "v").join(context, "u").select("pair", F.round(loss * 1e6).cast("long").alias("loss"))
 
+def counted(texts: DataFrame) -> DataFrame:
+    """(block, key, n) of each block's keys; ``texts`` has (block, texts)."""
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", least: int = 1, strength: float = 8.0, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                key, n = Keys(held.values).counts()
+                for at in range(0, len(key), 65_536):
+                    part = slice(at, at + 65_536)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), block)), pa.array(key[part]), pa.array(n[part])], ["block", "key", "n"])
+        give_back()
+
+    return texts.mapInArrow(run, "block long, key long, n long")
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", strength: float = 8.0) -> DataFrame:
     """(doc_id, n_words, score) of every document."""
-    spark = docs.sparkSession
-    words = vocabulary(target, target_text, least)
-    sent = spark.sparkContext.broadcast(words)
-    size = len(words)
-    losses = materialize(with_loss(pair_counts(docs, text, sent), pair_counts(target, target_text, sent), size, strength))
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    score = F.when(F.col("n_words") > 0, F.col("loss") / (1e6 * F.col("n_words"))).otherwise(0.0)
-    if losses.count() <= broadcast_pairs:
-        table = losses.orderBy("pair").toArrow()
-        held = spark.sparkContext.broadcast((table.column("pair").to_numpy(), table.column("loss").to_numpy()))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers = {w: i + 1 for i, w in enumerate(sent.value)}
-            pairs, loss = held.value
-            for batch in slices(batches):
-                codes, starts = pair_codes(batch.column(1), numbers)
-                total = np.concatenate((np.zeros(1, np.int64), np.cumsum(loss[np.searchsorted(pairs, codes)]))) if len(codes) else np.zeros(1, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(np.diff(total[starts]))], ["doc_id", "n_words", "loss"])
-
-        return rows.mapInArrow(run, f"doc_id {kind}, n_words long, loss long").select("doc_id", "n_words", score.alias("score"))
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = {w: i + 1 for i, w in enumerate(sent.value)}
-        for batch in slices(batches, rows=256, size=1_000_000):
-            codes, starts = pair_codes(batch.column(1), numbers)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-            key = np.stack((row, codes), 1)
-            one, n = np.unique(key, axis=0, return_counts=True) if len(key) else (key, np.zeros(0, np.int64))
-            # a text without words has one row without a pair
-            empty = np.flatnonzero(np.diff(starts) == 0)
-            at = pa.array(np.concatenate((one[:, 0], empty)))
-            pair = pa.array(np.concatenate((one[:, 1], np.full(len(empty), -1))), mask=np.concatenate((np.zeros(len(one), bool), np.ones(len(empty), bool))))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pair, pa.array(np.concatenate((n, np.zeros(len(empty), np.int64))))], ["doc_id", "tie", "pair", "n"])
-
-    # equal rows are scored once and counted
-    found = rows.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(explode, f"doc_id {kind}, tie long, pair long, n long")
-    joined = found.join(losses, "pair", "left").groupBy("doc_id", "tie").agg(F.sum("n").alias("n_words"), F.coalesce(F.sum(F.col("n") * F.col("loss")), F.lit(0)).alias("loss"))
-    joined = joined.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "n_words", "loss")
-    copies = rows.select("doc_id", F.xxhash64("text").alias("tie")).groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("copies"))
-    every = copies.join(joined, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
-    every = every.select("doc_id", "copies", (F.col("n_words") / F.col("copies")).cast("long").alias("n_words"), (F.col("loss") / F.col("copies")).cast("long").alias("loss"))
-    return every.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))), "n_words", "loss").select("doc_id", "n_words", score.alias("score"))
+    held = blocks(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), kind)
+    wanted = blocks(target.select(F.lit(0).alias("doc_id"), F.col(f"`{target_text}`").alias("text")), "int")
+    none = F.lit(None).cast("long")
+    rows = counted(held.select("block", "texts")).select("key", "block", F.col("n").alias("b"), F.lit(0).cast("long").alias("t"))
+    rows = rows.unionByName(counted(wanted.select("block", "texts")).select("key", none.alias("block"), F.lit(0).cast("long").alias("b"), F.col("n").alias("t")))
+    same = Window.partitionBy("key")
+    summed = rows.select("key", "block", "b", F.sum("b").over(same).alias("all_b"), F.sum("t").over(same).alias("all_t"), F.row_number().over(same.orderBy("block")).alias("k"))
+    # a block needs the sums of what it shares; words are needed once each for the totals
+    shared = F.col("block").isNotNull() & ((F.col("all_b") > F.col("b")) | (F.col("all_t") > 0))
+    word = (F.col("key").bitwiseAND(3) == WORD) & (F.col("k") == 1)
+    known = materialize(summed.where(shared | word).select("key", F.when(shared, F.col("block")).alias("block"), "all_b", "all_t", word.alias("word")))
+    row = known.where("word").agg(F.count(F.lit(1)), F.sum("all_b"), F.sum("all_t")).first()
+    size, all_b, all_t = (x or 0 for x in row)
+
+    def score(key, block: pa.Table, found: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return pa.table({"doc_id": pa.array([], block.schema.field("ids").type.value_type), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids, texts = (block.column(c)[0].values for c in ("ids", "texts"))
+        keys = Keys(texts)
+        own, count = keys.counts()
+        b, t = count.astype(np.float64), np.zeros(len(own))
+        at = np.searchsorted(own, found.column("key").to_numpy())
+        b[at], t[at] = found.column("all_b").to_numpy(), found.column("all_t").to_numpy()
+        pair, first = np.unique(keys.pair, return_index=True)
+        v, u, uv = (np.searchsorted(own, x) for x in (keys.word[first], keys.context[first], pair))
+
+        def p(c: np.ndarray, n: int) -> np.ndarray:
+            return (c[uv] + strength * ((c[v] + 1.0) / (n + size + 1))) / (c[u] + strength)
+
+        loss = np.rint((np.log(p(b, all_b)) - np.log(p(t, all_t))) * 1e6).astype(np.int64)
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(loss[np.searchsorted(pair, keys.pair)]))) if len(pair) else np.zeros(1, np.int64)
+        n = np.diff(keys.starts)
+        sums = np.diff(total[keys.starts])
+        give_back()
+        return pa.table({"doc_id": ids, "n_words": pa.array(n, pa.int64()), "score": np.where(n > 0, sums / (1e6 * np.maximum(n, 1)), 0.0)})
+
+    sums = known.where("block is not null").select("block", "key", "all_b", "all_t")
+    discard(wanted)
+    return held.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_words long, score double")

@@ -64,14 +64,11 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)"""
 
 OP9 = rf"""
-WITH v AS (SELECT DISTINCT unnest({_WORDS}) AS w FROM benchmark),
-size AS (SELECT count(*)::BIGINT AS s FROM v),
-dt AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+WITH dt AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
 tt AS (SELECT row_number() OVER () AS rid, {_WORDS} AS w FROM benchmark),
-du AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM dt),
-tu AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM tt),
-dw AS (SELECT rid, i, coalesce(v.w, '') AS x FROM du LEFT JOIN v ON v.w = du.x),
-tw AS (SELECT rid, i, coalesce(v.w, '') AS x FROM tu LEFT JOIN v ON v.w = tu.x),
+dw AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM dt),
+tw AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM tt),
+size AS (SELECT count(*)::BIGINT AS s FROM (SELECT x FROM dw UNION SELECT x FROM tw)),
 dp AS (SELECT rid, coalesce(lag(x) OVER (PARTITION BY rid ORDER BY i), ' ') AS u, x AS v FROM dw),
 tp AS (SELECT rid, coalesce(lag(x) OVER (PARTITION BY rid ORDER BY i), ' ') AS u, x AS v FROM tw),
 b AS (SELECT u, v, count(*)::BIGINT AS n FROM dp GROUP BY u, v), t AS (SELECT u, v, count(*)::BIGINT AS n FROM tp GROUP BY u, v),

@@ -21,7 +21,8 @@ from fillwise.llm import substrings as S
 from fillwise.llm import toxicity as X
 from fillwise.llm.common import Words, grams
 from fillwise.llm.components import components
-from fillwise.llm.lm import cross_entropy_difference
+from fillwise.llm import lm
+from fillwise.llm.lm import BLOCK_BYTES, BLOCK_ROWS, cross_entropy_difference
 from fillwise.llm.substrings import dedup_substrings
 from fillwise.llm.tokens import Encoder, tokenizer_path
 from fillwise.llm.topk import score_type, top_k
@@ -415,17 +416,17 @@ def test_every_word_of_a_large_target_counts(spark):
     assert score[1] == score[2] != score[3]
 
 
-def test_cross_entropy_difference(spark):
+def test_cross_entropy_difference(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randrange(1, 80), 60)) for i in range(40)] + [(3, "v1 v2"), (3, "v1 v2"), (50, None), (51, ""), (None, "v1 v9"), (None, None)]
     target = [(prose(rng, 60, 30),) for _ in range(5)] + [(None,)]
     docs, wanted = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, loss int"), spark.createDataFrame(target, "text string")
-    v = {w for (t,) in target for w in WORD.findall(t or "")}
+    v = {w for t in [t for t, in target] + [t for _, t in rows] for w in WORD.findall(t or "")}
 
     def counts(texts):
         c = Counter()
         for t in texts:
-            w = ["<s>", *(x if x in v else "" for x in WORD.findall(t or ""))]
+            w = ["<s>", *WORD.findall(t or "")]
             c.update(zip(w, w[1:]))
         return c
 
@@ -441,14 +442,16 @@ def test_cross_entropy_difference(spark):
         c, one, ctx, n = m
         return (c[(a, b)] + 8.0 * ((one[b] + 1.0) / (n + len(v) + 1))) / (ctx[a] + 8.0)
 
-    for limit in (10**6, 0):
-        got = cross_entropy_difference(docs, wanted, broadcast_pairs=limit).collect()
-        assert len(got) == len(rows)
-        scores = {(r.doc_id, r.n_words, round(r.score, 4)) for r in got}
+    for size in (BLOCK_ROWS, 3):
+        monkeypatch.setattr(lm, "BLOCK_ROWS", size)
+        monkeypatch.setattr(lm, "BLOCK_BYTES", BLOCK_BYTES if size > 3 else 500)
+        got = cross_entropy_difference(docs.repartition(3), wanted.repartition(2)).collect()
+        want = Counter()
         for i, t in rows:
-            w = ["<s>", *(x if x in v else "" for x in WORD.findall(t or ""))]
+            w = ["<s>", *WORD.findall(t or "")]
             s = sum(np.log(p(models[1], a, b)) - np.log(p(models[0], a, b)) for a, b in zip(w, w[1:]))
-            assert any(k[0] == i and k[1] == len(w) - 1 and abs(k[2] - (s / (len(w) - 1) if len(w) > 1 else 0.0)) < 2e-4 for k in scores), (i, t)
+            want[i, len(w) - 1, round(s / (len(w) - 1) if len(w) > 1 else 0.0, 4)] += 1
+        assert Counter((r.doc_id, r.n_words, round(r.score, 4)) for r in got) == want
     assert cross_entropy_difference(docs.limit(0), wanted).count() == 0
     assert cross_entropy_difference(docs, wanted.limit(0)).count() == len(rows)
 
