@@ -10,10 +10,11 @@ With c the counts of a model, N its words, V the vocabulary's size, u the word b
     p(v | u) = (c(u, v) + strength * p(v)) / (c(u) + strength)
 
 Both the vocabulary and the counts grow with the corpus, so neither is gathered anywhere.  Documents are written in blocks
-of bounded size; a block gives one row for each of its distinct words, contexts and pairs (62-bit hashes and their kind)
-with its count.  These are summed by key, and a block gets back the sums of the keys that it shares with others; of the
-rest it knows the counts itself.  A key has one row per block at most, so the commonest pair is no hot key.  Loss
-differences are kept per pair in whole millionths, so that a document's sum does not depend on its order.
+of bounded size.  A block sorts its distinct keys (a 62-bit hash and a kind: words, last words of texts, pairs) and deals
+them out by range as packed arrays, one row for each range.  A range of keys, about RANGE_KEYS over all blocks, is summed in
+one task, and each block gets back the sums of the keys that it shares with others; of the rest it knows the counts itself.
+A key stands in a block once, so the commonest pair is no hot key.  c(u) as a context is the count of u less the texts that
+end with it.  Loss differences are kept per pair in whole millionths, so that a document's sum does not depend on its order.
 
 Defined results: a text without words (or null) has the score 0; equal rows get equal scores; a null id is kept; an
 empty target gives a model without counts; an empty table gives an empty result; further columns are ignored.
@@ -25,39 +26,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fillwise.llm.common import Words, discard, give_back, materialize, mix64, slices
 
 #: Documents of a block, and bytes of text at most (one document at least).
-BLOCK_ROWS, BLOCK_BYTES = 4_096, 6_000_000
+BLOCK_ROWS, BLOCK_BYTES = 16_384, 12_000_000
+#: Keys of a range, about, over all blocks; ranges at least.
+RANGE_KEYS, LEAST_RANGES = 2_000_000, 64
 #: Kinds of keys, in their two lowest bits.
-WORD, CONTEXT, PAIR = 0, 1, 2
+WORD, END, PAIR = 0, 1, 2
 _START = np.uint64(0x5D1F3C2B9A876E41)
 
 
 class Keys:
-    """The keys of a block's texts: of each word (place) its own, its context's and its pair's, and the texts' bounds."""
+    """The keys of a block's texts: of each word (place) its own, the one before it (0: none) and the pair's; the ends."""
 
     def __init__(self, texts: pa.Array):
         w = Words(texts)
         h = w.hashes()
+        some = w.lengths > 0
+        first = w.starts[:-1][some]
         before = np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h
-        before[w.starts[:-1][w.lengths > 0]] = _START
+        before[first] = _START
         with np.errstate(over="ignore"):
             pair = mix64(mix64(before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + h)
         self.starts = w.starts
-        self.word, self.context, self.pair = (((mix64(x) & ~np.uint64(3)) | np.uint64(kind)).view(np.int64) for x, kind in ((h, WORD), (before, CONTEXT), (pair, PAIR)))
+        self.word, self.pair = (mix64(h) & ~np.uint64(3)) | np.uint64(WORD), (pair & ~np.uint64(3)) | np.uint64(PAIR)
+        self.context = np.concatenate((np.zeros(1, np.uint64), self.word[:-1])) if len(h) else h
+        self.context[first] = 0
+        self.end = self.word[w.starts[1:][some] - 1] | np.uint64(END)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct keys in order, how often each occurs)."""
-        return np.unique(np.concatenate((self.word, self.context, self.pair)), return_counts=True)
+        return np.unique(np.concatenate((self.word, self.end, self.pair)), return_counts=True)
 
 
 def blocks(docs: DataFrame, kind: str) -> DataFrame:
-    """(block, ids, texts): documents (doc_id, text) in blocks, written."""
+    """(block, n_words, ids, texts): documents (doc_id, text) in blocks, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -70,7 +78,8 @@ def blocks(docs: DataFrame, kind: str) -> DataFrame:
             t = pa.Table.from_batches(held).combine_chunks()
             ends = pa.array([0, t.num_rows], pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(t.column(k).chunks)) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), *lists], ["block", "ids", "texts"])
+            words = int(pc.sum(pc.count_substring(lists[1].values, " ")).as_py() or 0) + t.num_rows
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([words], pa.int64()), *lists], ["block", "n_words", "ids", "texts"])
 
         for batch in slices(batches, rows=256, size=BLOCK_BYTES // 4):
             if held and (rows + batch.num_rows > BLOCK_ROWS or size + batch.nbytes > BLOCK_BYTES):
@@ -81,22 +90,62 @@ def blocks(docs: DataFrame, kind: str) -> DataFrame:
         if held:
             yield flush()
 
-    return materialize(docs.mapInArrow(run, f"block long, ids array<{kind}>, texts array<string>"))
+    return materialize(docs.mapInArrow(run, f"block long, n_words long, ids array<{kind}>, texts array<string>"))
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(block, key, n) of each block's keys; ``texts`` has (block, texts)."""
+def dealt(texts: DataFrame, ranges: int) -> DataFrame:
+    """(range, block, keys, n) of each block: the keys of a range in order and their counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the first key of each range; a word and its end are in one
+        first = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64) & ~np.uint64(3)
         for batch in batches:
             for block, held in zip(batch.column(0).to_pylist(), batch.column(1)):
                 key, n = Keys(held.values).counts()
-                for at in range(0, len(key), 65_536):
-                    part = slice(at, at + 65_536)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), block)), pa.array(key[part]), pa.array(n[part])], ["block", "key", "n"])
+                ends = np.concatenate(([0], np.searchsorted(key, first), [len(key)]))
+                at = np.flatnonzero(np.diff(ends))
+                n = n.astype("<u4")
+                for part in (at[k : k + 256] for k in range(0, len(at), 256)):
+                    packed = [[x[ends[i] : ends[i + 1]].tobytes() for i in part.tolist()] for x in (key, n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(part), block)), *(pa.array(x, pa.binary()) for x in packed)], ["range", "block", "keys", "n"])
+                give_back()
+
+    return texts.select("block", "texts").mapInArrow(run, "range int, block long, keys binary, n binary")
+
+
+_KNOWN = "block long, keys binary, b binary, t binary, words long, all_b long, all_t long, texts long"
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """Of each range, what every block is to know: the keys that it shares with other blocks or the target, and their sums.
+
+    ``rows`` is what ``dealt`` gives with ``target``.  A row without block has the sums over the words and the texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, n = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("keys", np.uint64), ("n", "<u4")))
+        sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+        target = table.column("target").to_numpy()
+        one, which = np.unique(np.concatenate(keys), return_inverse=True)
+        n, wanted = np.concatenate(n).astype(np.int64), np.repeat(target, sizes)
+        b, t = (np.bincount(which, np.where(side, n, 0), len(one)).astype(np.int64) for side in (~wanted, wanted))
+        is_word, is_end = (one & np.uint64(3)) == WORD, (one & np.uint64(3)) == END
+        out: list[tuple] = [(None, b"", b"", b"", int(is_word.sum()), int(b[is_word].sum()), int(t[is_word].sum()), int(b[is_end].sum()) << 32 | int(t[is_end].sum()))]
+        shared = (b[which] > n) | (t[which] > 0)
+        # a word's end follows it; a block is to know it even if none of its own texts ends so
+        end_of = np.full(len(one), -1)
+        end_of[:-1] = np.where(is_word[:-1] & (one[1:] == one[:-1] | np.uint64(END)), np.arange(1, len(one)), -1)
+        for block, to, size, other in zip(table.column("block").to_pylist(), np.cumsum(sizes).tolist(), sizes.tolist(), target.tolist()):
+            mine = which[to - size : to][shared[to - size : to]]
+            if not other and len(mine):
+                ends = end_of[mine]
+                mine = np.union1d(mine, ends[ends >= 0])
+                out.append((block, one[mine].tobytes(), b[mine].tobytes(), t[mine].tobytes(), 0, 0, 0, 0))
         give_back()
+        names = [c.split()[0] for c in _KNOWN.split(", ")]
+        kinds = [pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 4]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return texts.mapInArrow(run, "block long, key long, n long")
+    return rows.groupBy("range").applyInArrow(run, _KNOWN)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", strength: float = 8.0) -> DataFrame:
@@ -104,40 +153,44 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
     kind = docs.schema[doc_id].dataType.simpleString()
     held = blocks(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), kind)
     wanted = blocks(target.select(F.lit(0).alias("doc_id"), F.col(f"`{target_text}`").alias("text")), "int")
-    none = F.lit(None).cast("long")
-    rows = counted(held.select("block", "texts")).select("key", "block", F.col("n").alias("b"), F.lit(0).cast("long").alias("t"))
-    rows = rows.unionByName(counted(wanted.select("block", "texts")).select("key", none.alias("block"), F.lit(0).cast("long").alias("b"), F.col("n").alias("t")))
-    same = Window.partitionBy("key")
-    summed = rows.select("key", "block", "b", F.sum("b").over(same).alias("all_b"), F.sum("t").over(same).alias("all_t"), F.row_number().over(same.orderBy("block")).alias("k"))
-    # a block needs the sums of what it shares; words are needed once each for the totals
-    shared = F.col("block").isNotNull() & ((F.col("all_b") > F.col("b")) | (F.col("all_t") > 0))
-    word = (F.col("key").bitwiseAND(3) == WORD) & (F.col("k") == 1)
-    known = materialize(summed.where(shared | word).select("key", F.when(shared, F.col("block")).alias("block"), "all_b", "all_t", word.alias("word")))
-    row = known.where("word").agg(F.count(F.lit(1)), F.sum("all_b"), F.sum("all_t")).first()
-    size, all_b, all_t = (x or 0 for x in row)
+    words = sum(x.agg(F.sum("n_words")).first()[0] or 0 for x in (held, wanted))
+    ranges = max(LEAST_RANGES, -(-words // RANGE_KEYS))
+    rows = dealt(held, ranges).withColumn("target", F.lit(False)).unionByName(dealt(wanted, ranges).withColumn("target", F.lit(True)))
+    known = materialize(summed(rows))
+    discard(wanted)
+    high, low = F.shiftright("texts", 32), F.col("texts").bitwiseAND(0xFFFFFFFF)
+    row = known.where("block is null").agg(*map(F.sum, ("words", "all_b", "all_t")), F.sum(high), F.sum(low)).first()
+    size, all_b, all_t, texts_b, texts_t = (x or 0 for x in row)
 
     def score(key, block: pa.Table, found: pa.Table) -> pa.Table:
         if not block.num_rows:
             return pa.table({"doc_id": pa.array([], block.schema.field("ids").type.value_type), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, texts = (block.column(c)[0].values for c in ("ids", "texts"))
         keys = Keys(texts)
-        own, count = keys.counts()
-        b, t = count.astype(np.float64), np.zeros(len(own))
-        at = np.searchsorted(own, found.column("key").to_numpy())
-        b[at], t[at] = found.column("all_b").to_numpy(), found.column("all_t").to_numpy()
+        mine, count = keys.counts()
+        told, told_b, told_t = (np.concatenate([np.zeros(0, x), *(np.frombuffer(v, x) for v in found.column(c).to_pylist())]) for c, x in (("keys", np.uint64), ("b", np.int64), ("t", np.int64)))
+        own = np.union1d(mine, told)
+        b, t = np.zeros(len(own)), np.zeros(len(own))
+        b[np.searchsorted(own, mine)] = count
+        at = np.searchsorted(own, told)
+        b[at], t[at] = told_b, told_t
         pair, first = np.unique(keys.pair, return_index=True)
-        v, u, uv = (np.searchsorted(own, x) for x in (keys.word[first], keys.context[first], pair))
+        v, u, uv = (np.searchsorted(own, x) for x in (keys.word[first], np.maximum(keys.context[first], own[:1]), pair))
+        # how often a word is a context: as often as it occurs, but for the texts that end with it
+        end = np.minimum(np.searchsorted(own, own[u] | np.uint64(END)), max(len(own) - 1, 0))
+        ends = own[end] == (own[u] | np.uint64(END)) if len(own) else np.zeros(0, bool)
+        start = keys.context[first] == 0
 
-        def p(c: np.ndarray, n: int) -> np.ndarray:
-            return (c[uv] + strength * ((c[v] + 1.0) / (n + size + 1))) / (c[u] + strength)
+        def p(c: np.ndarray, n: int, texts_: int) -> np.ndarray:
+            context = np.where(start, texts_, c[u] - np.where(ends, c[end], 0.0))
+            return (c[uv] + strength * ((c[v] + 1.0) / (n + size + 1))) / (context + strength)
 
-        loss = np.rint((np.log(p(b, all_b)) - np.log(p(t, all_t))) * 1e6).astype(np.int64)
+        loss = np.rint((np.log(p(b, all_b, texts_b)) - np.log(p(t, all_t, texts_t))) * 1e6).astype(np.int64)
         total = np.concatenate((np.zeros(1, np.int64), np.cumsum(loss[np.searchsorted(pair, keys.pair)]))) if len(pair) else np.zeros(1, np.int64)
         n = np.diff(keys.starts)
         sums = np.diff(total[keys.starts])
         give_back()
         return pa.table({"doc_id": ids, "n_words": pa.array(n, pa.int64()), "score": np.where(n > 0, sums / (1e6 * np.maximum(n, 1)), 0.0)})
 
-    sums = known.where("block is not null").select("block", "key", "all_b", "all_t")
-    discard(wanted)
-    return held.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_words long, score double")
+    sums = known.where("block is not null").select("block", "keys", "b", "t")
+    return held.select("block", "ids", "texts").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_words long, score double")
