@@ -34,9 +34,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from fillwise.llm.common import Words, discard, give_back, materialize, mix64, slices
 
 #: Documents of a block, and bytes of text at most (one document at least).
-BLOCK_ROWS, BLOCK_BYTES = 16_384, 12_000_000
+BLOCK_ROWS, BLOCK_BYTES = 16_384, 6_000_000
 #: Keys of a range, about, over all blocks; ranges at least.
-RANGE_KEYS, LEAST_RANGES = 2_000_000, 64
+RANGE_KEYS, LEAST_RANGES = 1_000_000, 64
 #: Kinds of keys, in their two lowest bits.
 WORD, END, PAIR = 0, 1, 2
 KEY_BITS = 58
