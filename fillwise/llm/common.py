@@ -73,7 +73,7 @@ def discard(*frames: DataFrame) -> None:
 
 
 #: A table of frequent keys has so many rows at most; a key with fewer rows than HOT_ROWS is never in it.
-HOT_KEYS, HOT_ROWS = 20_000, 1_000
+HOT_KEYS, HOT_ROWS = 20_000, 256
 
 
 def join_sums(rows: DataFrame, sums: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:

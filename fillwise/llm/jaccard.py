@@ -286,6 +286,7 @@ def _verified(docs: DataFrame, parts: DataFrame, n: int, threshold: Fraction, de
     """(what ``verify`` finds in the components ``parts``, written; the components of which only trie nodes were verified)."""
     names = parts.select("node", "component", "size", "copies", "minima", F.col("name.doc_id").alias("mid"), F.col("name.tie").alias("mtie"))
     texts = docs.join(names, F.col("doc_id").eqNullSafe(F.col("mid")) & (F.col("tie") == F.col("mtie"))).dropDuplicates(["node"]).drop("doc_id", "tie", "mid", "mtie")
+    texts = materialize(texts)  # the documents are shuffled once; only the candidates' texts go on
     bundles = max(1, parts.count() // BUNDLE)
     none = F.lit(None)
     few = texts.where(F.col("size") <= block).select(
@@ -293,10 +294,11 @@ def _verified(docs: DataFrame, parts: DataFrame, n: int, threshold: Fraction, de
         "node", "copies", none.cast("int").alias("level"), none.cast("binary").alias("minima"), "text",
     )
     if parts.where(F.col("size") > block).isEmpty():
-        return materialize(verify(few, n, threshold, depth, trees, most)), None
-    many = materialize(texts.where(F.col("size") > block))
-    dealt, certain, in_tries = _large(many, n, threshold, depth, trees, most, block)
-    checked = materialize(verify(few.unionByName(dealt), n, threshold, depth, trees, most).unionByName(certain))
+        checked, in_tries = materialize(verify(few, n, threshold, depth, trees, most)), None
+    else:
+        dealt, certain, in_tries = _large(texts.where(F.col("size") > block), n, threshold, depth, trees, most, block)
+        checked = materialize(verify(few.unionByName(dealt), n, threshold, depth, trees, most).unionByName(certain))
+    discard(texts)
     return checked, in_tries
 
 

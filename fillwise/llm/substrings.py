@@ -15,8 +15,8 @@ document.  The smallest document of a window never finds it inside a factor, so
 the index gave.
 
 Shuffled are anchors, boundary windows and the texts.  No key is hot: those with more than 1 / HOT_KEYS of all rows (there
-can't be more than HOT_KEYS of them) are found by sums that are combined before the shuffle, and matched by a broadcast
-table; only the rows of the others are dealt out by key.
+can't be more than HOT_KEYS of them) are found by sums that are combined before the shuffle; these sums are broadcast, and
+such a key's rows are dealt out in shares.
 
 Defined results: a null text has no words; a null id is never a reference and loses nothing; rows with one id do not
 count against each other; equal rows give equal results; an empty table gives an empty result; columns of the input
@@ -40,6 +40,8 @@ from fillwise.llm.common import HOT_KEYS, HOT_ROWS, Words, discard, grams, mater
 
 #: Bits of a place within a batch, in the keys from which the smallest is taken.
 PLACE_BITS = 30
+#: Shares of a frequent key's rows.
+SALTS = 4096
 SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -160,11 +162,13 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = True,
     total = found.agg(F.sum(F.size("anchors"))).first()[0] or 0
     sums = rows.groupBy("anchor").agg(F.min(one).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     hot = materialize(sums.where((F.col("n") >= max(HOT_ROWS, total // HOT_KEYS)) & (F.col("last") > F.col("first.doc_id"))).select("anchor", "first"))
-    earlier = Window.partitionBy("anchor").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("anchor")
-    cold = rows.join(F.broadcast(hot), "anchor", "left_anti")
-    cold = cold.select("doc_id", "at", F.first(one).over(earlier).alias("first"), F.last(one).over(earlier).alias("before"), (F.min("doc_id").over(same) < F.max("doc_id").over(same)).alias("again")).where("again")
-    matched = cold.drop("again").unionByName(rows.join(F.broadcast(hot), "anchor").select("doc_id", "at", "first", F.lit(None).cast("struct<doc_id:bigint,at:bigint>").alias("before")))
+    # the rows of a frequent anchor are dealt out by place; each share gives references of its own beside the first of all
+    known = rows.join(F.broadcast(hot.withColumnRenamed("first", "first_of_all")), "anchor", "left")
+    known = known.withColumn("salt", F.when(F.col("first_of_all").isNotNull(), F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS))).otherwise(0))
+    share = Window.partitionBy("anchor", "salt")
+    earlier = share.orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
+    again = F.col("first_of_all").isNotNull() | (F.min("doc_id").over(share) < F.max("doc_id").over(share))
+    matched = known.select("doc_id", "at", F.coalesce("first_of_all", F.first(one).over(earlier)).alias("first"), F.last(one).over(earlier).alias("before"), again.alias("again")).where("again")
     fields = [F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place")]
     for k in ("first", "before"):
         fields += [F.coalesce(F.col(f"{k}.doc_id"), "doc_id").alias(f"{k}_doc"), F.coalesce(F.col(f"{k}.at"), F.lit(0)).alias(f"{k}_at")]
@@ -238,8 +242,9 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = True,
     total = parsed.agg(F.sum(F.when(F.col("_start").isNotNull(), F.size("_start")))).first()[0] or 0
     sums = checks.groupBy("h1", "h2").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.count(F.lit(1)).alias("n"))
     often = materialize(sums.where((F.col("n") >= max(HOT_ROWS, total // HOT_KEYS)) & (F.col("most") > F.col("least"))).select("h1", "h2", "least"))
-    seldom = checks.join(F.broadcast(often), ["h1", "h2"], "left_anti").withColumn("least", F.min("_id").over(Window.partitionBy("h1", "h2")))
-    repeats = seldom.unionByName(checks.join(F.broadcast(often), ["h1", "h2"])).where(F.col("least") < F.col("_id"))
+    known = checks.join(F.broadcast(often.withColumnRenamed("least", "least_of_all")), ["h1", "h2"], "left")
+    known = known.withColumn("salt", F.when(F.col("least_of_all").isNotNull(), F.pmod(F.xxhash64("_id", "start"), F.lit(SALTS))).otherwise(0))
+    repeats = known.withColumn("least", F.coalesce("least_of_all", F.min("_id").over(Window.partitionBy("h1", "h2", "salt")))).where(F.col("least") < F.col("_id"))
     again = repeats.groupBy(F.col("_id").alias("_aid"), F.col("_tie").alias("_atie")).agg(F.collect_set("start").alias("_again"))
     finished = parsed.where(F.col("_start").isNull()).select(*(F.col(f"`{c}`") for c in own), "n_words", "n_removed", "kept_sha256")
     rest = open_.drop("n_words", "n_removed", "kept_sha256", "_start", "_h1", "_h2").join(again, (F.col("_id") == F.col("_aid")) & (F.col("_tie") == F.col("_atie")), "left").drop("_id", "_tie", "_aid", "_atie")
