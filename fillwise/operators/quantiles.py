@@ -6,6 +6,7 @@ variables before it.  A cell of n rows is cut at ranks rint(f * n) for the edges
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,13 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fillwise.operators.histogram import Histogram, index_name
-from fillwise.operators.lookup import small
+from fillwise.functions.arrays import is_container, map_over
+from fillwise.operators.lookup import BROADCAST_ROWS
 from fillwise.plans.axes import Axis, Integer, Regular, named
 
 #: The largest value of a continuous quantile.
 BELOW_ONE = 0.9999999999999999
-#: Ranks within a cell: by a window over the cell, or by range partitions where cells are few and large.
+#: Ranks within a cell: by a window over the cell, which holds WINDOW_ROWS at most, or by range partitions.
 WINDOW, RANGES = "window", "ranges"
+WINDOW_ROWS = 2_000_000
+#: Cells up to which the finest edges are held by the driver, so that the events are ranked once, whatever is asked of them.
+HELD_CELLS = 100_000
 
 
 @dataclass
@@ -79,14 +84,14 @@ def ranked(df: DataFrame, cell: Sequence[str], order: Sequence[Column], how: str
     ``ranges``: rows are dealt by range over (cell, order); ranks are counted within a partition's share of a cell and
     offset by the shares before it, so that no cell is gathered in one task."""
     if how == WINDOW:
-        return df.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*cell)))
+        return df.withColumn("_r", (F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1).cast("long")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*cell)))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *cell, *order).withColumn("_p", F.spark_partition_id())
     dealt = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_p", *cell).orderBy(*order)) - 1)
     shares = dealt.groupBy("_p", *cell).agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*cell).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     shares = shares.select("_p", *cell, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"), F.sum("_c").over(Window.partitionBy(*cell)).alias("_n"))
-    return dealt.join(shares, ["_p", *cell]).withColumn("_r", (F.col("_k") + F.col("_b")).cast("int")).drop("_p", "_k", "_b", "_c")
+    return dealt.join(shares, ["_p", *cell]).withColumn("_r", (F.col("_k") + F.col("_b")).cast("long")).drop("_p", "_k", "_b", "_c")
 
 
 def _grid(spark, axes: Sequence[tuple[str, int, int]]) -> DataFrame:
@@ -122,7 +127,6 @@ def build_quantiles(df: DataFrame, cols: Sequence[str], condition_axes: Sequence
     for a in quantile_axes:
         if abs(a.edges()[0]) > 1e-12 or abs(a.edges()[-1] - 1) > 1e-12:
             raise ValueError("quantile axes run from 0 to 1")
-    how = how or (WINDOW if m else RANGES)
     keys = [index_name(a) for a in condition_axes]
     names = [f"x{j}" for j in range(len(quantile_axes))]
     rows = df.select(*(a.index(F.col(f"`{c}`")).alias(k) for a, c, k in zip(condition_axes, cols, keys)), *(F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(cols[m:], names)), *(F.col(f"`{t}`").alias(f"_t{i}") for i, t in enumerate(ties)))
@@ -132,6 +136,8 @@ def build_quantiles(df: DataFrame, cols: Sequence[str], condition_axes: Sequence
     for n in names:
         keep = keep & F.col(n).isNotNull()
     rows = rows.where(keep)
+    # no cell has more rows than there are
+    how = how or (WINDOW if rows.count() <= WINDOW_ROWS else RANGES)
     for j, axis in enumerate(quantile_axes):
         cell = [*keys, *(f"q{i}" for i in range(j))]
         rows = ranked(rows, cell, [F.col(names[j]), *(F.col(f"_t{i}") for i in range(len(ties)))], how)
@@ -143,6 +149,8 @@ def build_quantiles(df: DataFrame, cols: Sequence[str], condition_axes: Sequence
     finest = [*keys, *(f"q{j}" for j in range(len(names)))]
     found = rows.groupBy(*finest).agg(*(f(n).alias(f"{w}{j}") for j, n in enumerate(names) for f, w in ((F.min, "min"), (F.max, "max"))))
     sizes = [(k, a.first, a.extent) for k, a in zip(keys, condition_axes)]
+    if math.prod([size for _, _, size in sizes] + [a.n for a in quantile_axes]) <= HELD_CELLS:
+        found = spark.createDataFrame(found.toArrow(), found.schema)
     tables = []
     cells = None
     for j, axis in enumerate(quantile_axes):
@@ -221,27 +229,76 @@ def define_quantiles(df: DataFrame, cols: Sequence[str], quantiles: Quantiles, l
     for a, c, t in zip(quantiles.condition_axes, cols, temporary):
         i = a.index(F.col(f"`{c}`"))
         df = df.withColumn(t, F.when(i.isNull() | a.inside(i), i).otherwise(F.raise_error(F.lit(f"{c} is outside its axis"))))
-    on, names, axes, bins = list(zip(temporary, keys)), [], [], []
+    values, ns = list(cols[m:]), [a.n for a in quantiles.quantile_axes]
     suffix = "quant" if quantiles.continuous else "iquant"
-    for j, (table, axis) in enumerate(zip(quantiles.tables, quantiles.quantile_axes)):
-        name = f"{cols[m + j]}{'_' + label if label else ''}_{suffix}"
+    names = [f"{c}{'_' + label if label else ''}_{suffix}" for c in values]
+    axes: list[Axis] = [Regular(name, False, False, n + 1, 0.0, 1.0) if quantiles.continuous else Integer(name, False, False, 0, n + 1) for name, n in zip(names, ns)]
+    sizes = [a.extent for a in quantiles.condition_axes]
+    if math.prod([*sizes, *ns]) <= HELD_CELLS:
+        df = _defined(df, quantiles, temporary, keys, values, names)
+        return df.drop(*temporary), axes, names
+    if any(is_container(df, c) for c in values):
+        raise NotImplementedError("quantiles of arrays need a table of edges that can be held")
+    on, bins = list(zip(temporary, keys)), []
+    for j, table in enumerate(quantiles.tables):
+        side = table.select(*(F.col(k).alias(f"_j{i}") for i, (_, k) in enumerate(on)), F.col("edges").alias("_edges"))
+        few = math.prod([*sizes, *ns[:j]]) <= BROADCAST_ROWS
         if on:
-            side = table.select(*(F.col(k).alias(f"_j{i}") for i, (_, k) in enumerate(on)), F.col("edges").alias("_edges"))
-            df = df.join(small(side), [F.col(t) == F.col(f"_j{i}") for i, (t, _) in enumerate(on)], "left").drop(*(f"_j{i}" for i in range(len(on))))
+            df = df.join(F.broadcast(side) if few else side, [F.col(t) == F.col(f"_j{i}") for i, (t, _) in enumerate(on)], "left").drop(*(f"_j{i}" for i in range(len(on))))
         else:
             row = table.first()  # one row: the edges are literals
             df = df.withColumn("_edges", F.array(*(F.lit(float(e)) for e in row["edges"])))
-        value = F.col(f"`{cols[m + j]}`").cast("double")
+        value = F.col(f"`{values[j]}`").cast("double")
         place = lookup_column(F.col("_edges"), value, False)
-        df = df.withColumn(f"_q{j}", place).withColumn(name, lookup_column(F.col("_edges"), value, True) if quantiles.continuous else F.col(f"_q{j}")).drop("_edges")
+        df = df.withColumn(f"_q{j}", place).withColumn(names[j], lookup_column(F.col("_edges"), value, True) if quantiles.continuous else F.col(f"_q{j}")).drop("_edges")
         bins.append(f"_q{j}")
         on.append((f"_q{j}", f"q{j}"))
-        names.append(name)
-        n = axis.n
-        axes.append(Regular(name, False, False, n + 1, 0.0, 1.0) if quantiles.continuous else Integer(name, False, False, 0, n + 1))
     return df.drop(*temporary, *bins), axes, names
 
 
+def _defined(df: DataFrame, quantiles: Quantiles, temporary: list[str], keys: list[str], values: list[str], names: list[str]) -> DataFrame:
+    """One join for all variables: a row for each condition cell, with the edges of all cells of the variables before.
+
+    Values may be arrays, which are looked up element by element (conditions are scalars)."""
+    ns = [a.n for a in quantiles.quantile_axes]
+    side = None
+    for j, table in enumerate(quantiles.tables):
+        # the cells of the variables before, in order
+        cells = F.transform(F.array_sort(F.collect_list(F.struct(*(f"q{i}" for i in range(j)), "edges"))), lambda s: s["edges"])
+        part = (table.groupBy(*keys) if keys else table.groupBy()).agg(cells.alias(f"_e{j}"))
+        if side is None:
+            side = part
+        elif keys:
+            side = side.join(part, keys)
+        else:
+            side = side.withColumn(f"_e{j}", _literal(part.first()[0]))  # one row
+    if keys:
+        held = side.toArrow()  # at most HELD_CELLS edges' arrays
+        side = df.sparkSession.createDataFrame(held, side.schema).toDF(*(f"_j{i}" for i in range(len(keys))), *(f"_e{j}" for j in range(len(ns))))
+        df = df.join(F.broadcast(side), [F.col(t) == F.col(f"_j{i}") for i, t in enumerate(temporary)], "left").drop(*(f"_j{i}" for i in range(len(keys))))
+    else:
+        row = side.first()
+        df = df.select("*", *(_literal(row[f"_e{j}"]).alias(f"_e{j}") for j in range(len(ns))))
+    held_as = [is_container(df, c) for c in values]
+    for j, (c, name) in enumerate(zip(values, names)):
+
+        def look(x: Column, *before: Column, j: int = j, continuous: bool = False) -> Column:
+            at: Column = F.lit(0)
+            for q, n in zip(before, ns):
+                at = at * n + q
+            return lookup_column(F.get(F.col(f"_e{j}"), at), x.cast("double"), continuous)
+
+        inputs = [F.col(f"`{c}`"), *(F.col(f"_q{i}") for i in range(j))]
+        held = [held_as[j], *(any(held_as[: i + 1]) for i in range(j))]
+        df = df.withColumn(f"_q{j}", map_over(look, *inputs, containers=held))
+        df = df.withColumn(name, map_over(lambda *a, f=look: f(*a, continuous=True), *inputs, containers=held) if quantiles.continuous else F.col(f"_q{j}"))
+    return df.drop(*(f"_e{j}" for j in range(len(ns))), *(f"_q{j}" for j in range(len(ns))))
+
+
+def _literal(cells: Sequence[Sequence[float]]) -> Column:
+    return F.array(*(F.array(*(F.lit(float(e)) for e in edges)) for edges in cells))
+
+
 def final_axes(quantiles: Quantiles, names: Sequence[str]) -> list[Axis]:
     """Axes of exactly N bins for the transformed columns."""
     return [Regular(n, False, False, a.n, 0.0, 1.0) if quantiles.continuous else Integer(n, False, False, 0, a.n) for n, a in zip(names, quantiles.quantile_axes)]

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fillwise.operators.histogram import Histogram, sum_and_count
@@ -67,7 +67,9 @@ def build_and_run(spark: SparkSession, datasets: Sequence[Dataset], build: Build
         raise ValueError("dataset names are distinct")
     plans = []
     for d in datasets:
-        events = certified(read_events(spark, d.paths), d, run_col, lumi_col)
+        # the events are counted by whatever job reads them first, which is that of the totals
+        seen = Observation()
+        events = certified(read_events(spark, d.paths), d, run_col, lumi_col).observe(seen, F.count(F.lit(1)).alias("n"))
         results, totals = build(events, d)
         named: dict = {}
         for r in results:
@@ -76,14 +78,17 @@ def build_and_run(spark: SparkSession, datasets: Sequence[Dataset], build: Build
                     raise ValueError(f"{d.name}: two results named {name}")
                 named[name] = r
         lumi = luminosity(spark, d, run_col, lumi_col) if d.is_data and d.lumi_csv else None
-        plans.append((d, events, named, totals, lumi))
+        plans.append((d, events, seen, named, totals, lumi))
     tell = report or (lambda _: None)
     tell(f"plans built after {time.monotonic() - began:.1f} s")
 
+    done: list[str] = []
+
     def run(plan) -> tuple[str, dict]:
-        d, events, named, totals, lumi = plan
+        d, events, seen, named, totals, lumi = plan
         total = totals.first()
-        count = events.count()
+        counted = "CollectMetrics" in totals._jdf.queryExecution().optimizedPlan().toString()
+        count = seen.get["n"] if counted else events.count()
         if total["count"] != count:
             raise ValueError(f"{d.name}: the weight sum covers {total['count']} of {count} events; sum before filtering")
         out = {"name": d.name, "is_data": d.is_data, "xsec": d.xsec, "group": d.group, "weight_sum": total["sum"], "event_count": count, "output": {}}
@@ -100,11 +105,20 @@ def build_and_run(spark: SparkSession, datasets: Sequence[Dataset], build: Build
             held = frame.persist()
             held.count()
             out["output"][name] = Histogram(r.name, r.axes, r.storage, held, r.metadata) if isinstance(r, Histogram) else held
-        tell(f"{d.name}: {count} events after {time.monotonic() - began:.1f} s")
+        spent = time.monotonic() - began
+        done.append(d.name)
+        tell(f"{d.name}: {count} events after {spent:.1f} s ({count / max(spent, 1e-9):.0f} a second), {len(done)} of {len(plans)} datasets")
         return d.name, out
 
     with ThreadPoolExecutor(max(1, min(threads, len(plans) or 1))) as pool:
         return dict(pool.map(run, plans))
 
 
-__all__ = ["Dataset", "build_and_run", "certified", "luminosity", "sum_and_count"]
+def release(results: dict) -> None:
+    """Free what the results of ``build_and_run`` hold in memory."""
+    for found in results.values():
+        for r in found["output"].values():
+            (r.data if isinstance(r, Histogram) else r).unpersist()
+
+
+__all__ = ["Dataset", "build_and_run", "certified", "luminosity", "release", "sum_and_count"]

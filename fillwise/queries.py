@@ -47,7 +47,10 @@ def rounded(df: DataFrame, digits: int = 4, *names: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fillwise-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="fillwise-")
     return f"{base.rstrip('/')}/fillwise-{uuid.uuid4().hex}"
 
 
@@ -533,3 +536,46 @@ def multi_file_scan(spark, d):
 def sym_matrix_row(spark, d):
     df = table(spark, d, "lineitem").select("l_linenumber", (F.col("l_quantity").cast("int") % 7).alias("k"), F.col("l_partkey").cast("double").alias("v"))
     return M.symmetric_row(M.symmetric(df, "l_linenumber", "k", "v"), 2, 8)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 10 * l_linenumber")
+def flexible_filter(spark, d):
+    return A.where(table(spark, d, "lineitem"), lambda q, n: q > 10 * n, ["l_quantity", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT count(*)::BIGINT AS n, sum(n_nationkey)::BIGINT AS keys FROM nation")
+def file_discovery(spark, d):
+    """A table of the files that a pattern finds."""
+    files = readers.list_files(spark, f"{d}/nation*.parquet")
+    return readers.read_events(spark, files).agg(F.count(F.lit(1)).alias("n"), F.sum("n_nationkey").cast("bigint").alias("keys"))
+
+
+@query("""WITH r AS (SELECT value, row_number() OVER (ORDER BY value, event_id) - 1 AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL),
+c AS (SELECT value, ((round_even(0.2::DOUBLE * n, 0) <= r)::INT + (round_even(0.4::DOUBLE * n, 0) <= r)::INT + (round_even(0.6000000000000001::DOUBLE * n, 0) <= r)::INT + (round_even(0.8::DOUBLE * n, 0) <= r)::INT)::INT AS q0 FROM r)
+SELECT q0, min(value) AS min0, max(value) AS max0 FROM c GROUP BY q0""")
+def quantile_no_condition(spark, d):
+    """No condition axes; ranked by range partitions."""
+    events = table(spark, d, "events").select("event_id", "value")
+    return Q.build_quantiles(events, ["value"], [], _QUANT[:1], ties=["event_id"], how=Q.RANGES).cells.select("q0", "min0", "max0")
+
+
+_LOOK = "greatest(0, least(4, len(list_filter(t0.e, lambda y: y <= x)) - 1))::INT"
+
+
+@query(_APPLY_SQL.split(",\na0 AS")[0] + f""" SELECT event_id, array_to_string([{_LOOK.replace('x)', 'v)')}, {_LOOK.replace('x)', 'v / 2)')}, {_LOOK.replace('x)', '2 * v)')}], ',') AS bins
+FROM e JOIN t0 USING (kind_idx)""")
+def quantile_array(spark, d):
+    """An array column, looked up element by element in the edges of its row's condition."""
+    events, q = _quantiles(spark, d)
+    first = Q.Quantiles(q.tables[:1], q.cells, q.condition_axes, q.quantile_axes[:1], q.columns[:2], False)
+    rows = events.where(F.col("value").isNotNull() & F.col("event_type").isNotNull() & F.col("user").isNotNull()).withColumn("values", F.array(F.col("value"), F.col("value") / 2, 2 * F.col("value")))
+    out = Q.define_quantiles(rows, ["event_type", "values"], first)[0]
+    return out.select("event_id", F.array_join(F.transform("values_iquant", lambda x: x.cast("string")), ",").alias("bins"))
+
+
+@query(f"""WITH {_CUTS_SQL}{_EDGE_SQL}, g AS (SELECT k.k::INT AS kind_idx, q.q::INT AS q0 FROM range({len(_KINDS) + 1}) k(k), range(5) q(q))
+SELECT g.kind_idx, g.q0, coalesce(m0.hi, '-infinity'::DOUBLE) AS max0 FROM g LEFT JOIN m0 USING (kind_idx, q0)""")
+def quantile_empty_cells(spark, d):
+    """Every cell, also of conditions that no event has (minus infinity)."""
+    q = _quantiles(spark, d)[1]
+    return q.cells.select("kind_idx", "q0", "max0").distinct()

@@ -26,11 +26,12 @@ def list_files(spark: SparkSession, pattern: str, test: bool = False) -> list[st
 
 
 def read_block_csv(spark: SparkSession, path: str, value: str, convert: Column | None = None) -> DataFrame:
-    """(run, lumi, value, line) from a per-block table.
+    """(run, lumi, value, line) from a per-block table; ``line`` orders the lines of all its files.
 
     The first line is a tag; the header is the line that starts ``#run``; other lines that start ``#`` are comments.  Run
     and block are what stands before the colon in ``run:fill`` and ``ls``.  ``convert`` is an expression over ``raw``."""
-    lines = spark.read.text(path)
+    # the order of lines: by file, by block of the file, by line within
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).alias("line"))
     header = lines.where(F.col("value").startswith("#run")).first()
     if header is None:
         raise ValueError("no header line")
@@ -38,7 +39,7 @@ def read_block_csv(spark: SparkSession, path: str, value: str, convert: Column |
     if value not in names or "run:fill" not in names or "ls" not in names:
         raise ValueError(f"columns {names} lack {value}, run:fill or ls")
     parts = F.split("value", ",")
-    rows = lines.where(~F.col("value").startswith("#") & F.col("value").contains(":")).withColumn("line", F.monotonically_increasing_id())
+    rows = lines.where(~F.col("value").startswith("#") & F.col("value").contains(":"))
     rows = rows.select(*(F.get(parts, F.lit(names.index(c))).alias(n) for c, n in (("run:fill", "r"), ("ls", "l"), (value, "raw"))), "line")
     convert = F.col("raw").cast("double") if convert is None else convert
     return rows.select(F.split("r", ":")[0].cast("long").alias("run"), F.split("l", ":")[0].cast("long").alias("lumi"), convert.alias("value"), "line")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import json
 
 import numpy as np
@@ -50,16 +52,22 @@ def to_arrays(hist: Histogram) -> dict:
     return {"name": hist.name, "axis_names": [a.name for a in hist.axes], "edges": edges, "storage": hist.storage.name, **{k: np.pad(v, pad) for k, v in filled.items()}}
 
 
-def from_arrays(spark: SparkSession, arrays: dict, axis_names: list[str] | None = None) -> Histogram:
-    """A histogram from ``to_arrays``' form; evenly spaced edges make a regular axis."""
+def from_arrays(spark: SparkSession, arrays: dict, axis_names: list[str] | None = None, axes: Sequence[Axis] | None = None) -> Histogram:
+    """A histogram from ``to_arrays``' form; evenly spaced edges make a regular axis.
+
+    With ``axes``, of as many bins each, contents in flow bins that an axis lacks are left out."""
     names = axis_names or arrays["axis_names"]
     if len(names) != len(arrays["edges"]):
         raise ValueError("one name per axis")
-    axes: list[Axis] = named([collapse(e, n) for e, n in zip(arrays["edges"], names)])
+    axes = list(axes) if axes is not None else named([collapse(e, n) for e, n in zip(arrays["edges"], names)])
     value = np.asarray(arrays["value"])
-    if value.shape != tuple(a.extent for a in axes):
+    if value.shape != tuple(a.n + 2 for a in axes):
         raise ValueError("contents and edges disagree")
     at = np.nonzero((value != 0) | (np.asarray(arrays.get("variance", value)) != 0))
+    kept = np.ones(len(at[0]), bool)
+    for a, i in zip(axes, at):
+        kept &= (i - 1 >= a.first) & (i - 1 < a.first + a.extent)
+    at = tuple(i[kept] for i in at)
     frame = pd.DataFrame({index_name(a): (i - 1).astype("int32") for a, i in zip(axes, at)})
     storage = storage_of(arrays.get("storage", "weight"))
     for c in storage.columns:

@@ -179,3 +179,10 @@ def test_sink_and_conversion(spark, tmp_path):
     with pytest.raises(TypeError):
         to_arrays(histogram(df, "c", [IntCategory("n", categories=(0, 1))], ["n"]))
     assert math.isclose(arrays["value"].sum(), 49 * 50 / 2)
+
+
+def test_bins_without_counterpart_are_left_out(spark):
+    df = spark.createDataFrame([(v,) for v in (-1.0, 0.5, 1.5, 1.7, 9.0)], "x double")
+    full = histogram(df, "h", [Regular("x", bins=3, lo=0.0, hi=3.0)], ["x"])
+    bare = from_arrays(spark, to_arrays(full), axes=[Regular("x", False, False, 3, 0.0, 3.0)])
+    assert full.to_numpy(flow=True)["value"].tolist() == [1, 1, 2, 0, 1] and bare.to_numpy(flow=True)["value"].tolist() == [1, 2, 0]

@@ -28,3 +28,10 @@ def test_scalars(spark):
 def test_tflite_is_refused():
     with pytest.raises(NotImplementedError):
         tflite_columns()
+
+
+def test_null_inputs_give_null_outputs(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [3.0, 4.5])], "id int, x array<float>").coalesce(1)
+    for rows in (df, df.where("x is null"), df.where("x is not null")):
+        got = {r.id: r.t for r in onnx_columns(rows, sum_model(2), ["x", "x"], {"t": "total"}).collect()}
+        assert got == {i: {1: [2.0, 4.0], 2: None, 3: [6.0, 9.0]}[i] for i in got} and len(got) == rows.count()
