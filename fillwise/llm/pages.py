@@ -343,12 +343,14 @@ def _looked_up(keys: np.ndarray, totals: np.ndarray, stream: list[str]) -> np.nd
     return out
 
 
-_CENSUS = "host string, chunk int, hash long, n long, articles long, pages long"
+_CENSUS = "host string, chunk int, hash long, n long, articles long, pages long, open boolean"
 
 
-def census(table: pa.Table) -> pa.Table:
-    """Of one chunk: a row with its pages and distinct articles, and the counts of its passages (see ``host_counts``)."""
-    host, chunk, bare = (table.column(c)[0].as_py() for c in ("host", "chunk", "bare"))
+def census(table: pa.Table, full: bool) -> pa.Table:
+    """Of one chunk: a row with its pages and distinct articles and whether one is open, and counts of its passages.
+
+    These are all of them, or (unless ``full``) those that can be over the share in their host."""
+    host, chunk = (table.column(c)[0].as_py() for c in ("host", "chunk"))
     first: dict[int, int] = {}
     for i, (body, texts) in enumerate(zip(table.column("body").to_pylist(), table.column("texts"))):
         if texts.is_valid:
@@ -363,7 +365,7 @@ def census(table: pa.Table) -> pa.Table:
     hashes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if streams:
         _, starts, count = counted(streams, owners)
-        use = count >= 1 if bare else count > SHARE_INSIDE * articles
+        use = count >= 1 if full else count > SHARE_INSIDE * articles
         code, n = [], []
         for t, a, b in zip(streams, starts[:-1].tolist(), starts[1:].tolist()):
             where = np.flatnonzero(use[a:b])
@@ -374,8 +376,8 @@ def census(table: pa.Table) -> pa.Table:
             hashes, which = np.unique(np.concatenate(code), return_index=True)
             counts = np.concatenate(n)[which]
     m = len(hashes) + 1
-    columns = ([host] * m, [chunk] * m, [None, *hashes.tolist()], [0, *counts.tolist()], [articles] + [0] * (m - 1), [sum(table.column("copies").to_pylist())] + [0] * (m - 1))
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), *[pa.int64()] * 4))], ["host", "chunk", "hash", "n", "articles", "pages"])
+    columns = ([host] * m, [chunk] * m, [None, *hashes.tolist()], [0, *counts.tolist()], [articles] + [0] * (m - 1), [sum(table.column("copies").to_pylist())] + [0] * (m - 1), [any(table.column("open").to_pylist())] * m)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), *[pa.int64()] * 4, pa.bool_()))], ["host", "chunk", "hash", "n", "articles", "pages", "open"])
 
 
 def _distinct_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +390,7 @@ def _distinct_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         kinds = (pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_())
         return pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in keys], t) for j, t in enumerate(kinds)), pa.array(list(more.values()), pa.int64()), pa.nulls(len(keys), pa.list_(pa.string()))], names)
 
-    names = ["host", "chunk", "bare", "body", "article", "copies", "texts"]
+    names = ["host", "chunk", "open", "body", "article", "copies", "texts"]
     for batch in batches:
         keep = []
         for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in names[:5]))):
@@ -420,22 +422,27 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64()))], ["host", "hash", "body"])
 
 
-def host_counts(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+def host_counts(large: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of the pages of hosts with several chunks: (host, chunk, salts) where copies need several groups, and
-    (host, chunk, hash, n, articles) with the host's sums.
-
-    A host with a page of which repetition alone decides blocks (``bare``) has all its passages summed, others those that can be over the share."""
-    told = large.select("host", "chunk", "bare", "body", "article", "texts").mapInArrow(_distinct_pages, "host string, chunk int, bare boolean, body long, article boolean, copies long, texts array<string>")
-    found = materialize(told.groupBy("host", "chunk").applyInArrow(census, _CENSUS))
-    heads = found.where("hash is null").select("host", "chunk", "pages", "articles")
-    of_host = heads.groupBy("host").agg(F.sum("articles").alias("articles"))
+    (host, chunk, hash, n, articles) with the host's sums.  ``chunks`` has (host, chunks).
+
+    A host with a page of which repetition alone decides blocks has all its passages summed, others those that can be
+    over the share."""
+    told = large.select("host", "chunk", "open", "body", "article", "texts").mapInArrow(_distinct_pages, "host string, chunk int, open boolean, body long, article boolean, copies long, texts array<string>")
+    found = materialize(told.groupBy("host", "chunk").applyInArrow(lambda t: census(t, False), _CENSUS))
+    heads = found.where("hash is null").select("host", "chunk", "pages", "articles", "open")
+    of_host = heads.groupBy("host").agg(F.sum("articles").alias("articles"), F.max("open").alias("bare"))
     salts = heads.where(F.col("pages") > 2 * CHUNK).select("host", "chunk", F.ceil(F.col("pages") / CHUNK).cast("int").alias("salts"))
-    flags = large.select("host", "bare", "chunks").distinct()
-    known = found.where("hash is not null").join(flags, "host")
-    full = known.where("bare")
+    bare = of_host.where("bare").select("host")
+    full = found.where("false")
+    if not bare.isEmpty():
+        full = materialize(told.join(bare, "host", "left_semi").groupBy("host", "chunk").applyInArrow(lambda t: census(t, True), _CENSUS).where("hash is not null"))
+    of_host = of_host.select("host", "articles", "bare")
     sums = full.groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES_OUTSIDE)
-    near = full.select("host", "chunk", "hash").join(sums, ["host", "hash"]).join(of_host, "host").select("host", "chunk", "hash", "n", "articles")
-    wanted = materialize(known.where("not bare").groupBy("host", "chunks").agg(F.collect_set("hash").alias("wanted")))
+    near = full.select("host", "chunk", "hash").join(sums, ["host", "hash"]).join(of_host.drop("bare"), "host").select("host", "chunk", "hash", "n", "articles")
+    known = found.where("hash is not null").select("host", "hash").join(of_host.where("not bare").drop("bare", "articles"), "host").join(chunks, "host")
+    of_host = of_host.drop("bare")
+    wanted = materialize(known.groupBy("host", "chunks").agg(F.collect_set("hash").alias("wanted")))
     if wanted.isEmpty():
         return salts, materialize(near)
     hits = large.select("host", "body", "texts").join(wanted.select("host", "wanted"), "host").select("host", "body", "texts", "wanted").mapInArrow(_hits, "host string, hash long, body long")
@@ -459,21 +466,24 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
             )
 
     parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, host string, body long, article boolean, open boolean, texts array<string>, zones array<int>, articles array<int>")
-    # the pages of each host, and whether repetition alone decides blocks of one; a small table
-    hosts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("count"), F.max("open").alias("bare")).withColumnRenamed("host", "_host")
-    hosts = materialize(hosts)
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([host_of(u) for u in batch.column(0).to_pylist()], pa.string())], ["host"])
+
+    # the pages of each host; a small table
+    hosts = materialize(rows.select("url").mapInArrow(named, "host string").groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("count")))
     # broadcast while the table is known to be small, so that the blocks are shuffled once
     few = hosts.count() <= BROADCAST_HOSTS
     sized = parsed.join(F.broadcast(hosts) if few else hosts, F.col("host") == F.col("_host"))
     chunks = F.ceil(F.col("count") / CHUNK).cast("int")
     chunk = F.pmod(F.col("body"), chunks).cast("int")
     large = F.col("count") > CHUNK
-    sized = sized.select("page_id", "url", "host", "body", "article", "bare", "count", "texts", "zones", "articles", chunks.alias("chunks"), chunk.alias("chunk"))
+    sized = sized.select("page_id", "url", "host", "body", "article", "open", "count", "texts", "zones", "articles", chunk.alias("chunk"))
     total = F.greatest(F.lit(1), F.lit(pages.count() // BUNDLE)).cast("int")
     bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("host"), total))
     sums = None
     if not hosts.where(large).isEmpty():
-        salts, sums = host_counts(sized.where(large))
+        salts, sums = host_counts(sized.where(large), hosts.where(large).select(F.col("_host").alias("host"), chunks.alias("chunks")))
         # copies of one page are dealt out further
         many = salts.select(F.col("host").alias("_host"), F.col("chunk").alias("_chunk"), "salts")
         sized = sized.join(F.broadcast(many) if few else many, (F.col("host") == F.col("_host")) & (F.col("chunk") == F.col("_chunk")) & large, "left")
