@@ -105,6 +105,11 @@ def restored(df: DataFrame, names: list[str], original: list[str], results: list
     return df.select(*(F.col(n).alias(o) for n, o in zip(names, original) if o.lower() not in taken), *results)
 
 
+def any_order(df: DataFrame, names: list[str]) -> Column:
+    """Some order of rows by all of these columns, the same on every run (rows that tie are equal, or nearly never not)."""
+    return F.xxhash64(*(F.col(f.name) for f in df.schema if f.name in names and "map<" not in f.dataType.simpleString()))
+
+
 def trimmed(text: str | Column) -> Column:
     """The text without white space at its ends; a null text is empty."""
     text = F.col(text) if isinstance(text, str) else text

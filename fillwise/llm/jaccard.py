@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fillwise.llm.common import Words, discard, give_back, grams, join_sums, materialize, mix64, neutral, restored, slices
+from fillwise.llm.common import Words, any_order, discard, give_back, grams, join_sums, materialize, mix64, neutral, restored, slices
 from fillwise.llm.components import components
 
 #: Nodes of a block; of a bundle of small components, about.
@@ -386,4 +387,5 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tie") == F.col("class_tie"))).select(F.col("doc_id").alias("_kid"), F.col("tie").alias("_ktie")).distinct()
     mine = docs.select(*own, F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tie"))
     left = mine.join(kept, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_tie") == F.col("_ktie")), "left_semi")
-    return restored(left.dropDuplicates(["_id", "_tie"]), own, original)
+    first = Window.partitionBy("_id", "_tie").orderBy(any_order(left, own))
+    return restored(left.withColumn("_k", F.row_number().over(first)).where(F.col("_k") == 1), own, original)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fillwise.llm.common import SPACE_RUN, SPACES, materialize, n_words_column, neutral, restored
+from fillwise.llm.common import SPACE_RUN, SPACES, any_order, materialize, n_words_column, neutral, restored
 
 #: Sources up to which the table of sources is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -108,7 +108,7 @@ def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_i
     fingerprint = F.md5(F.coalesce("text", F.lit("")))
     joined = docs.join(plan.where(F.col("_taken") > 0), F.col("doc_id").eqNullSafe(F.col("_id")) & (fingerprint == F.col("_md5")))
     # equal rows share what they were given: the first ones take the odd words
-    same = Window.partitionBy("_id", "_md5").orderBy(F.lit(1))
+    same = Window.partitionBy("_id", "_md5").orderBy(any_order(joined, own))
     joined = joined.withColumn("_k", F.row_number().over(same) - 1)
     mine = F.floor(F.col("_taken") / F.col("_rows")) + F.when(F.col("_k") < F.col("_taken") % F.col("_rows"), 1).otherwise(0)
     joined = joined.withColumn("_mine", mine).where(F.col("_mine") > 0)
