@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's result to the shared folder
 and reads it again for the next.  All but the last return the columns of ``documents``.
+
+Defined results: a null, empty or white text fails the quality rules, so it ends there; a null id takes part in all stages,
+is never the reference of a repeated passage, and stays unless a document with an id is its near copy; of rows with equal
+id and text one stays after the near copies, the same on every run; a null source is a source of its own; of n_chars only
+the text's own length counts after a stage that changes texts; further columns are dropped, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
