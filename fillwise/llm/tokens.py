@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 
 #: Distinct pieces remembered by a Python worker (about 150 bytes each); those that come later are encoded each time.
 CACHE = 400_000
+#: Pieces that are encoded as one text.
+RUN = 500
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,29 +58,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces, self.most = pieces, cache
+        # a piece starts at a token that starts with a space or line feed, as the byte-level alphabet writes them
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.starts[[i for t, i in vocabulary.items() if t[:1] in ("\u0120", "\u010a")]] = True
+        self.joins = pieces == "bytes" and not any(" " in t or "\n" in t for t in self.special)
         # a piece's number by its string; the first piece of a text, without its space, is a table of its own
         self.tables = {" ": _Table(), "": _Table()}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _numbers(self, words: list[str], prefix: str) -> tuple[np.ndarray, _Table]:
-        """Each word's number in a table that holds them all (words are distinct); the lasting table, unless that is full."""
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has), each word encoded by itself."""
+        e = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        bounds = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(words) + 1))
+        return np.array(e.ids, np.uint32), np.diff(bounds)
+
+    def _run(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _apart, for words that may follow one another in a text: it is cut before each of them."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        first = np.flatnonzero(self.starts[ids])
+        if len(first) != len(words) or first[0]:
+            return self._apart(words)
+        return ids, np.diff(first, append=len(ids))
+
+    def _numbers(self, words: list[str], prefix: str, firm: np.ndarray | None = None) -> tuple[np.ndarray, _Table]:
+        """Each word's number in a table that holds them all (words are distinct); the lasting table, unless that is full.
+
+        ``firm`` says which words another one can follow."""
         table = self.tables[prefix]
         numbers = np.fromiter(map(table.numbers.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(numbers < 0)
         if not len(missing):
             return numbers, table
+        if firm is not None and self.joins:
+            # firm words first, to be encoded in runs
+            runs = int(firm[missing].sum())
+            missing = np.concatenate((missing[firm[missing]], missing[~firm[missing]]))
+        else:
+            runs = 0
         new = [words[i] for i in missing.tolist()]
         if len(table.numbers) > self.most:
             table = table.copy()
         first = len(table.lengths)
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            e = self.tokenizer.encode([w if w.startswith("\n") else prefix + w for w in part] if prefix else part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, np.uint32)
-            bounds = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))
-            table.parts.append((ids, np.diff(bounds)))
+        full = [w if w.startswith("\n") else prefix + w for w in new] if prefix else new
+        for at in range(0, runs, RUN):
+            table.parts.append(self._run(full[at : min(at + RUN, runs)]))
+        for at in range(runs, len(full), 50_000):
+            table.parts.append(self._apart(full[at : at + 50_000]))
         if table.lasting:
             table.numbers.update(zip(new, range(first, first + len(new))))
         numbers[missing] = np.arange(first, first + len(new))
@@ -115,7 +143,7 @@ class Encoder:
         distinct = lists.flatten().dictionary_encode()
         codes = distinct.indices.to_numpy(zero_copy_only=False)
         pieces = distinct.dictionary
-        vocabulary = pieces.to_pylist()
+        vocabulary = pieces.to_numpy(zero_copy_only=False).tolist()
         del lists, distinct
         if self.pieces == "spaces":
             numbers, table = self._numbers(vocabulary, "")
@@ -123,9 +151,9 @@ class Encoder:
         first = starts[:-1]
         head_codes, which = np.unique(codes[first], return_inverse=True)
         heads, head_table = self._numbers([vocabulary[c] for c in head_codes.tolist()], "")
-        numbers, table = self._numbers(vocabulary, " ")
         # a piece can be followed by a cut if its last character isn't white space
         firm = ~pc.match_substring_regex(pieces, _ENDS_IN_SPACE).to_numpy(zero_copy_only=False).astype(bool)
+        numbers, table = self._numbers(vocabulary, " ", firm)
         if firm.all():
             odd = np.zeros(len(first), bool)
         else:
