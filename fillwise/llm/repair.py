@@ -56,36 +56,44 @@ def _slots(pairs: np.ndarray) -> np.ndarray:
         return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
 
-def _codes(bits: int) -> tuple[type, np.unsignedinteger, np.unsignedinteger, np.unsignedinteger]:
-    """(type of a pair, its shift and mask, the pair over the end of a document) for symbols of ``bits``."""
+def _codes(bits: int) -> tuple[type, np.unsignedinteger, np.unsignedinteger]:
+    """(type of a pair, its shift and mask) for symbols of ``bits``."""
     kind = np.uint32 if bits == 16 else np.uint64
-    return kind, kind(bits), kind((1 << bits) - 1), kind((1 << 2 * bits) - 1)
+    return kind, kind(bits), kind((1 << bits) - 1)
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST, worth: float = WORTH, most_rules: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, bounds of the documents' symbols, rules).  By default it ends when no pair is frequent."""
+    """(symbols, bounds of the documents' symbols, rules).  By default it ends when no pair is frequent.
+
+    A pair of known symbols only gets rarer, and a round's new pairs hold a symbol of that round.  So a pair that was
+    counted below ``least`` is never frequent again, and each round counts the others only."""
     if most_rules is None:
         most_rules = len(ids)
     # a pair in one number; half the width as long as all symbols fit 16 bits
-    kind, shift, mask, none = _codes(16 if base < 65536 else 32)
-    s = ids.astype(kind)
+    kind, shift, mask = _codes(16 if base < 65536 else 32)
+    s = ids.astype(np.uint32)
     full = np.diff(bounds) > 0
     ends = bounds[1:][full] - 1  # the last symbol of each document
     rules: list[np.ndarray] = []
     n_rules = 0
-    while len(s) > 1 and n_rules < most_rules:
-        code = (s[:-1] << shift) | s[1:]
-        code[ends[:-1]] = none
-        ordered = np.sort(code)
-        ordered = ordered[: np.searchsorted(ordered, none)]
-        if not len(ordered):
+    live = np.ones(len(s), bool)  # whether the pair that starts here may be frequent
+    live[ends] = False
+    while n_rules < most_rules:
+        at = np.flatnonzero(live)
+        if not len(at):
             break
+        code = (s[at].astype(kind, copy=False) << shift) | s[at + 1]
+        ordered = np.sort(code)
         edge = np.flatnonzero(ordered[1:] != ordered[:-1])
         edge = np.concatenate(([0], edge + 1))
         count = np.diff(edge, append=len(ordered)).astype(np.int32)
         often = np.flatnonzero(count >= least)
         if not len(often):
             break
+        slots = _slots(code)
+        keeps = np.zeros(1 << SLOT_BITS, bool)
+        keeps[_slots(ordered[edge[often]])] = True
+        live[at] = keeps[slots]  # a rare pair in a frequent one's slot is counted again, at all its places
         room = min(most_rules - n_rules, ROUND)
         if len(often) > room:
             often = often[np.argsort(-count[often], kind="stable")[:room]]
@@ -94,11 +102,11 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST,
         pairs, count = ordered[edge[often]][order], count[often][order]
         table = np.full(1 << SLOT_BITS, -1, np.int32)
         table[_slots(pairs)] = np.arange(len(pairs), dtype=np.int32)
-        rank = table[_slots(code)]
+        rank = table[slots]
         where = np.flatnonzero(rank >= 0)
         rank = rank[where]
         same = pairs[rank] == code[where]
-        where, rank = where[same], rank[same]
+        where, rank = at[where[same]], rank[same]
         # of two pairs that overlap, the more frequent one stays; equal ones alternate along their run
         touch = np.diff(where) == 1
         weight = count[rank]
@@ -124,22 +132,24 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST,
             where, rank = where[use], rank[use]
         rules.append(np.stack((pairs[good] >> shift, pairs[good] & mask), 1).astype(np.uint32))
         if kind is np.uint32 and base + n_rules + len(rules[-1]) > 65535:
-            kind, shift, mask, none = _codes(32)
-            s = s.astype(kind)
-        number = (np.cumsum(good) - 1).astype(kind)
-        s[where] = number[rank] + kind(base + n_rules)
+            kind, shift, mask = _codes(32)
+        number = (np.cumsum(good) - 1).astype(np.uint32)
+        s[where] = number[rank] + np.uint32(base + n_rules)
         n_rules += int(good.sum())
+        live[where] = True
+        live[np.maximum(where, 1) - 1] = True
         where += 1
         left = np.ones(len(s), bool)
         left[where] = False
         saved = len(where) / len(s)
-        s = s[left]
+        s, live = s[left], live[left]
         ends = ends - np.searchsorted(where, ends, "right")
+        live[ends] = False
         if saved < worth:
             break
     counts = np.zeros(len(bounds) - 1, np.int64)
     counts[full] = np.diff(ends, prepend=-1)
-    return s.astype(np.uint32), np.concatenate(([0], np.cumsum(counts))), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    return s, np.concatenate(([0], np.cumsum(counts))), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
