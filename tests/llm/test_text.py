@@ -96,6 +96,50 @@ def test_pieces_give_the_tokenizer_s_ids(name, pieces):
         assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
 
 
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_runs_of_pieces_give_the_tokenizer_s_ids(most, monkeypatch):
+    """Texts of characters that may move a cut, with and without room to remember their pieces."""
+    rng = random.Random(most)
+    letters = [*"aBé字\n\r\t  1!#\xa0\u3000\u0120\u010a😀\x00\x1c", "ß", "'s", "23", "word"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(400)] + [None, "", "x <|endoftext|>y"]
+    e = Encoder(tokenizer_path("byte_bpe_50k.json"), "bytes", most)
+    runs = []
+    run = e._run
+    monkeypatch.setattr(e, "_run", lambda words: runs.append(len(words)) or run(words))
+    want = library_ids("byte_bpe_50k.json", texts)
+    for part in (texts, texts):
+        got = e.encode(pa.array(part))
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    assert sum(runs) > 200
+    # a vocabulary in which the starts of pieces can't be told: every word by itself
+    other = Encoder(tokenizer_path("byte_bpe_50k.json"), "bytes", most)
+    other.starts[:] = False
+    got = other.encode(pa.array(texts))
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+def _last_counts(symbols, ends):
+    pairs = Counter()
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        pairs.update(zip(symbols[a : b - 1].tolist(), symbols[a + 1 : b].tolist()))
+    return max(pairs.values(), default=0)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_no_frequent_pair_is_left_out_of_a_round(seed, monkeypatch):
+    """Small shards with empty documents; rounds of few rules leave frequent pairs to later ones."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(P, "ROUND", int(rng.choice([1, 3, 4096])))
+    n = int(rng.integers(0, 3000))
+    ids = rng.integers(0, int(rng.choice([1, 2, 8, 60])), n).astype(np.uint32)
+    bounds = np.concatenate(([0], np.sort(rng.integers(0, n + 1, int(rng.integers(0, 12)))), [n]))
+    base = int(rng.choice([62, 65_530, 70_000]))
+    symbols, ends, rules = P.compress(ids, bounds, base)
+    assert _last_counts(symbols, ends) < P.LEAST
+    shard = P.Shard(P.pack(list(range(len(bounds) - 1)), ids, bounds, base))
+    assert np.array_equal(shard.ids(), ids) and np.array_equal(np.diff(shard.starts), np.diff(bounds))
+
+
 @pytest.mark.parametrize("base", [50, 70_000])
 def test_repair_round_trip(base):
     rng = random.Random(base)
@@ -119,10 +163,7 @@ def test_repair_ends_when_no_pair_is_frequent():
     bounds = np.arange(0, len(ids) + 1, 400)
     base = 50_257
     symbols, ends, rules = P.compress(ids, bounds, base)
-    pairs = Counter()
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        pairs.update(zip(symbols[a : b - 1].tolist(), symbols[a + 1 : b].tolist()))
-    assert len(rules) > 65536 - base and max(pairs.values()) < P.LEAST
+    assert len(rules) > 65536 - base and _last_counts(symbols, ends) < P.LEAST
     shard = P.Shard(P.pack(list(range(len(bounds) - 1)), ids, bounds, base))
     assert np.array_equal(shard.ids(), ids) and np.array_equal(shard.symbols, symbols) and np.array_equal(shard.rules, rules)
     assert shard.window(5, 17, 230).tolist() == ids[2017:2230].tolist()
