@@ -11,9 +11,10 @@ says how many trees would.
 Candidates that hang together are verified together.  A component small enough goes whole into a bundle.  In a larger
 one the sets' distances to a centre (the shingles that most of a sample hold) decide what they can: by the triangle
 inequality, nodes whose distances add up to no more than 1 - threshold are linked, and are counted by sums.  The other
-pairs are compared in blocks, of the component or of its trie nodes, whichever copies fewer texts; in the latter, a pair
-is compared in the first tree only in which it shares a prefix.  A group of blocks returns one row per node (its number of
-links and the smallest node it is linked with), never pairs.
+pairs are compared in blocks, of the component or of its trie nodes, whichever compares fewer; in the latter, a pair
+is compared in the first tree only in which it shares a prefix.  A group holds one or two sides of many blocks, so that a
+text is copied once for each side and not for each block.  It returns one row per node (its number of links and the
+smallest node it is linked with), never pairs.
 
 Defined results: a text without words (or null) has no shingles, is its own class and has no links; a text of fewer
 words than a shingle is one shingle; copies count as links of each other; a null id takes part and never names a
@@ -36,6 +37,8 @@ from fillwise.llm.components import components
 
 #: Nodes of a block; of a bundle of small components, about.
 BLOCK, BUNDLE = 384, 1024
+#: Blocks of a group's side, and bytes of its texts, about.
+SIDE_BLOCKS, SIDE_BYTES = 16, 8_000_000
 #: Shingles (columns) of a dense comparison at a time.
 COLUMNS = 8192
 #: Steps in which distances to a centre are told apart; nodes from which a centre is made, about; of a slice, about.
@@ -115,19 +118,22 @@ def labels(minima_: list[bytes], trees: int, most: int, depth: int) -> np.ndarra
     return out
 
 
-def prefixes(nodes: DataFrame, trees: int, most: int, depth: int) -> DataFrame:
-    """(prefix, tree, node, open): the trie node at ``depth`` of each tree that each node falls into."""
+def prefixes(nodes: DataFrame, trees: int, most: int, depth: int, keep: tuple[str, ...]) -> DataFrame:
+    """(prefix, tree, node, columns ``keep``): the trie node at ``depth`` of each tree that each node falls into."""
+    names = ["node", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            label = labels(batch.column(1).to_pylist(), trees, most, depth)
+            label = labels(batch.column(len(names)).to_pylist(), trees, most, depth)
             take = pa.array(np.repeat(np.arange(batch.num_rows), trees))
             tree = np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(label.reshape(-1).view(np.int64)), pa.array(tree), batch.column(0).take(take), batch.column(2).take(take)], ["prefix", "tree", "node", "open"])
+            kept = [batch.column(i).take(take) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(label.reshape(-1).view(np.int64)), pa.array(tree), *kept], ["prefix", "tree", *names])
 
-    return nodes.select("node", "minima", "open").mapInArrow(run, "prefix long, tree int, node binary, open boolean")
+    kinds = "".join(f", {c} {nodes.schema[c].dataType.simpleString()}" for c in names)
+    return nodes.select(*names, "minima").mapInArrow(run, f"prefix long, tree int{kinds}")
 
 
 def compare(sets: list[np.ndarray], inner: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +175,34 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verify(groups: DataFrame, n: int, threshold: Fraction, depth: int, trees: int, most: int) -> DataFrame:
+def united(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the indices below ``n`` that each one hangs together with by the edges (u, v)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        least = np.minimum(label[u], label[v])
+        np.minimum.at(new, u, least)
+        np.minimum.at(new, v, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def block_pairs(side: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Blocks of places between which, or (with None) within which, pairs are to be compared."""
+    cut = lambda at: [at[i : i + block] for i in range(0, len(at), block)]
+    if (side >= 0).any():
+        other = cut(np.flatnonzero(side == 1))
+        yield from ((a, b) for a in cut(np.flatnonzero(side == 0)) for b in other)
+        return
+    blocks = cut(np.arange(len(side)))
+    for i, a in enumerate(blocks):
+        yield a, None
+        yield from ((a, b) for b in blocks[i + 1 :])
+
+
+def verify(groups: DataFrame, n: int, threshold: Fraction, depth: int, trees: int, most: int, block: int) -> DataFrame:
     """(node, root, links, low) for each node of each group: its links, their smallest node and least similarity.
 
     ``groups`` has (group, cell, tree, side, node, copies, level, minima, text).  Pairs are within a cell, and between
@@ -191,21 +224,32 @@ def verify(groups: DataFrame, n: int, threshold: Fraction, depth: int, trees: in
             at = np.array(members)
             if len(at) < 2:
                 continue
-            s = side[at]
-            inner = s[:, None] != s[None, :] if (s >= 0).any() else ~np.eye(len(at), dtype=bool)
-            inner &= level[at][:, None] + level[at][None, :] > LEVELS
-            j = int(tree[at[0]])
-            if j > 0:
-                own = labels([minima_[i] for i in members], trees, most, depth)
+            lev, j = level[at], int(tree[at[0]])
+            own = labels([minima_[i] for i in members], trees, most, depth) if j > 0 else None
+            sets = [np.unique(h[bounds[i] : bounds[i + 1]]) for i in members]
+            number, least = np.zeros(len(at), np.int64), np.full(len(at), np.inf)
+            edges: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b in block_pairs(side[at], block):
+                if b is None:
+                    two, inner = a, ~np.eye(len(a), dtype=bool)
+                else:
+                    two = np.sort(np.concatenate((a, b)))
+                    one = np.isin(two, a)
+                    inner = one[:, None] != one[None, :]
+                inner &= lev[two][:, None] + lev[two][None, :] > LEVELS
                 for t in range(j):
-                    inner &= own[:, t][:, None] != own[:, t][None, :]
-            if not inner.any():
-                continue
-            linked, similarity = compare([np.unique(h[bounds[i] : bounds[i + 1]]) for i in members], inner, threshold)
-            links[at] = linked @ copies[at]
-            low[at] = np.where(linked, similarity, np.inf).min(1)
-            for i, r in zip(members, roots(linked)):
-                root[i] = nodes[members[r]]
+                    inner &= own[two, t][:, None] != own[two, t][None, :]
+                if not inner.any():
+                    continue
+                linked, similarity = compare([sets[i] for i in two.tolist()], inner, threshold)
+                number[two] += linked @ copies[at[two]]
+                least[two] = np.minimum(least[two], np.where(linked, similarity, np.inf).min(1))
+                edges.append((two, two[roots(linked)]))
+            links[at], low[at] = number, least
+            if edges:
+                u, v = map(np.concatenate, zip(*edges))
+                for i, r in zip(members, united(u, v, len(at)).tolist()):
+                    root[i] = nodes[members[r]]
         give_back()
         return pa.table({"node": pa.array(nodes, pa.binary()), "root": pa.array(root, pa.binary()), "links": links, "low": pa.array(low, mask=~(low <= 1))})
 
@@ -240,7 +284,7 @@ def similarity_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
         else:
             chance = 1 - F.pow(1 - F.pow("low", F.lit(k + 1)), F.lit(trees))  # at the depth matched so far
             current = nodes.join(state.select("node", "low"), "node", "left").withColumn("open", F.col("low").isNull() | (chance < recall))
-        tries = prefixes(current, trees, depth, k)
+        tries = prefixes(current, trees, depth, k, ("open",))
         shared = tries.groupBy("prefix").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.max("open").alias("any"), F.count(F.lit(1)).alias("n"))
         shared = shared.where((F.col("centre") < F.col("last")) & F.col("any")).select("prefix", "centre", "n")
         candidates = join_sums(tries.select("prefix", "node"), shared, ["prefix"], total * trees).where(F.col("node") != F.col("centre")).select("node", "centre").distinct()
@@ -295,10 +339,10 @@ def _verified(docs: DataFrame, parts: DataFrame, n: int, threshold: Fraction, de
         "node", "copies", none.cast("int").alias("level"), none.cast("binary").alias("minima"), "text",
     )
     if parts.where(F.col("size") > block).isEmpty():
-        checked, in_tries = materialize(verify(few, n, threshold, depth, trees, most)), None
+        checked, in_tries = materialize(verify(few, n, threshold, depth, trees, most, block)), None
     else:
         dealt, certain, in_tries = _large(texts.where(F.col("size") > block), n, threshold, depth, trees, most, block)
-        checked = materialize(verify(few.unionByName(dealt), n, threshold, depth, trees, most).unionByName(certain))
+        checked = materialize(verify(few.unionByName(dealt), n, threshold, depth, trees, most, block).unionByName(certain))
     discard(texts)
     return checked, in_tries
 
@@ -336,7 +380,7 @@ def _levels(many: DataFrame, n: int, threshold: Fraction) -> DataFrame:
 
 def _large(many: DataFrame, n: int, threshold: Fraction, depth: int, trees: int, most: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(groups to verify, links that are certain, the components of which only trie nodes are verified)."""
-    held = materialize(many.drop("text").join(_levels(many, n, threshold), "node"))
+    held = materialize(many.withColumn("bytes", F.octet_length("text")).drop("text").join(_levels(many, n, threshold), "node"))
     rows = held.count()
     # links by the triangle inequality: sums by component and level
     by_level = held.groupBy("component", "level").agg(F.sum("copies").alias("weight"), F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
@@ -347,20 +391,23 @@ def _large(many: DataFrame, n: int, threshold: Fraction, depth: int, trees: int,
     certain = certain.select("node", F.col("nearest.least").alias("root"), (F.col("weight") - own).cast("long").alias("links"), F.lit(None).cast("double").alias("low"))
     # cells: the component, or its trie nodes; loose nodes are compared with all others, tight ones are linked among themselves
     tight = 2 * F.col("level") <= LEVELS
-    whole = held.select(F.col("component").alias("cell"), F.lit(-1).alias("tree"), "component", "node", tight.alias("tight"))
-    tries = prefixes(held.withColumn("open", F.lit(True)), trees, most, depth).drop("open").join(held.select("node", "component", tight.alias("tight")), "node")
-    tries = tries.select(F.concat("component", F.unhex(F.lpad(F.hex("prefix"), 16, "0"))).alias("cell"), "tree", "component", "node", "tight")
+    whole = held.select(F.col("component").alias("cell"), F.lit(-1).alias("tree"), "component", "node", "bytes", tight.alias("tight"))
+    tries = prefixes(held.withColumn("tight", tight), trees, most, depth, ("component", "bytes", "tight"))
+    tries = tries.select(F.concat("component", F.unhex(F.lpad(F.hex("prefix"), 16, "0"))).alias("cell"), "tree", "component", "node", "bytes", "tight")
     cells = materialize(whole.unionByName(tries))
     loose, firm = F.sum((~F.col("tight")).cast("int")), F.sum(F.col("tight").cast("int"))
-    sums = cells.groupBy("cell", "tree", "component").agg(loose.alias("loose"), firm.alias("firm"), F.count(F.lit(1)).alias("n"))
+    loose_bytes, firm_bytes = (F.sum(F.when(x, F.col("bytes")).otherwise(0)) for x in (~F.col("tight"), F.col("tight")))
+    sums = cells.groupBy("cell", "tree", "component").agg(loose.alias("loose"), firm.alias("firm"), loose_bytes.alias("loose_bytes"), firm_bytes.alias("firm_bytes"), F.count(F.lit(1)).alias("n"))
     sums = sums.where((F.col("loose") > 0) & (F.col("n") > 1)).withColumn("lb", F.ceil(F.col("loose") / block).cast("int")).withColumn("fb", F.ceil(F.col("firm") / block).cast("int"))
     cost = F.col("loose") * (F.col("lb") + F.col("fb")) + F.col("firm") * F.col("lb")
     sums = materialize(sums.withColumn("cost", cost))
     costs = sums.groupBy("component").agg(F.sum(F.when(F.col("tree") < 0, F.col("cost")).otherwise(0)).alias("blocks"), F.sum(F.when(F.col("tree") >= 0, F.col("cost")).otherwise(0)).alias("tries"))
     costs = materialize(costs.select("component", (F.col("tries") < F.col("blocks")).alias("in_tries")))
-    chosen = sums.join(costs, "component").where((F.col("tree") >= 0) == F.col("in_tries")).select("cell", "n", "lb", "fb")
+    # a text is copied for each side that its own meets
+    lb, fb = (F.greatest(F.ceil(F.col(c) / (block * SIDE_BLOCKS)), F.ceil(F.col(f"{c}_bytes") / SIDE_BYTES)).cast("int") for c in ("loose", "firm"))
+    chosen = sums.join(costs, "component").where((F.col("tree") >= 0) == F.col("in_tries")).select("cell", "n", lb.alias("lb"), fb.alias("fb"))
     member = join_sums(cells.select("cell", "tree", "node", "tight"), chosen, ["cell"], cells.count())
-    # loose blocks meet each other (l) and the tight ones (t)
+    # loose sides meet each other (l) and the tight ones (t)
     hashed = F.xxhash64("node", "cell")
     member = member.withColumn("b", F.pmod(hashed, F.when(F.col("tight"), F.col("fb")).otherwise(F.col("lb"))).cast("int"))
 

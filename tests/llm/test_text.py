@@ -394,6 +394,35 @@ def test_a_tight_group_is_counted_without_comparing(spark, monkeypatch):
     assert seen[0] == (0, 900 * 899)
 
 
+@pytest.mark.parametrize(("blocks", "size"), [(16, 8_000_000), (2, 8_000_000), (16, 2_000)])
+def test_a_loose_group_is_copied_once_a_side(spark, monkeypatch, blocks, size):
+    """Near copies whose pairs the centre cannot decide: what is joined grows with the group, not with its square."""
+    rng = random.Random(13)
+    base = prose(rng, 100, 5000).split()
+    rows = []
+    for k in range(150):
+        copy = list(base)
+        for i in rng.sample(range(100), rng.choice([1, 2, 3, 4])):
+            copy[i] = f"new{rng.randrange(3)}"
+        rows.append((k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, whole = [], J._large
+
+    def counting(*a):
+        out = whole(*a)
+        seen.append((a[0].count(), out[0].count()))
+        return out
+
+    monkeypatch.setattr(J, "_large", counting)
+    monkeypatch.setattr(J, "SIDE_BLOCKS", blocks)
+    monkeypatch.setattr(J, "SIDE_BYTES", size)
+    got = J.similarity_join(docs, block=4)
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_links(rows, 5, 0.8)
+    assert seen and seen[0][0] > 100
+    if (blocks, size) == (16, 8_000_000):
+        assert all(copied <= 6 * n for n, copied in seen)
+
+
 def test_a_chain_is_compared_by_trie_node(spark):
     """A long chain of texts that overlap with the next ones only is one component; its blocks would be all pairs."""
     rng = random.Random(12)
