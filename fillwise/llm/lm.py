@@ -35,8 +35,9 @@ from fillwise.llm.common import Words, discard, give_back, materialize, mix64, s
 
 #: Documents of a block, and bytes of text at most (one document at least).
 BLOCK_ROWS, BLOCK_BYTES = 16_384, 6_000_000
-#: Keys of a range, about, over all blocks; ranges at least.
-RANGE_KEYS, LEAST_RANGES = 1_000_000, 64
+#: Keys of a range, about, over all blocks (some 50 bytes each in a task); ranges at least.  There is a row for each block
+#: and range, so that wide ranges count for more than the task's memory.
+RANGE_KEYS, LEAST_RANGES = 4_000_000, 64
 #: Kinds of keys, in their two lowest bits.
 WORD, END, PAIR = 0, 1, 2
 KEY_BITS = 58
@@ -122,6 +123,11 @@ def opened(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all().combine_chunks()
 
 
+def n_ranges(words: int) -> int:
+    """Ranges of a corpus of so many words."""
+    return max(LEAST_RANGES, -(-words // RANGE_KEYS))
+
+
 def dealt(held: DataFrame, ranges: int) -> DataFrame:
     """(range, block, size, keys, n) of each block: the keys of a range in order and their counts, packed."""
 
@@ -156,11 +162,13 @@ def summed(rows: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         sizes = table.column("size").to_numpy().astype(np.int64)
         keys = [unpacked_keys(x, k) for x, k in zip(table.column("keys").to_pylist(), sizes.tolist())]
-        n = [unpacked(x, k, np.int64) for x, k in zip(table.column("n").to_pylist(), sizes.tolist())]
-        target = table.column("target").to_numpy()
-        one, which = np.unique(np.concatenate(keys), return_inverse=True)
+        keys = np.concatenate(keys)
+        one, which = np.unique(keys, return_inverse=True)
         del keys
-        n, wanted = np.concatenate(n), np.repeat(target, sizes)
+        # of one block: its texts have fewer words than 2^31
+        n = np.concatenate([unpacked(x, k, np.int64).astype(np.int32) for x, k in zip(table.column("n").to_pylist(), sizes.tolist())])
+        target = table.column("target").to_numpy()
+        wanted = np.repeat(target, sizes)
         b, t = (np.bincount(which, np.where(side, n, 0), len(one)).astype(np.int64) for side in (~wanted, wanted))
         is_word, is_end = (one & np.uint64(3)) == WORD, (one & np.uint64(3)) == END
         out: list[tuple] = [(None, 0, b"", b"", b"", int(is_word.sum()), int(b[is_word].sum()), int(t[is_word].sum()), int(b[is_end].sum()) << 32 | int(t[is_end].sum()))]
@@ -188,7 +196,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
     held = blocks(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), kind)
     wanted = blocks(target.select(F.lit(0).alias("doc_id"), F.col(f"`{target_text}`").alias("text")), "int")
     words = sum(x.agg(F.sum("n_words")).first()[0] or 0 for x in (held, wanted))
-    ranges = max(LEAST_RANGES, -(-words // RANGE_KEYS))
+    ranges = n_ranges(words)
     rows = dealt(held, ranges).withColumn("target", F.lit(False)).unionByName(dealt(wanted, ranges).withColumn("target", F.lit(True)))
     known = materialize(summed(rows))
     discard(wanted)
@@ -207,8 +215,10 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
         ends_b, ends_t = np.zeros(len(own)), np.zeros(len(own))
         here = np.flatnonzero((own & np.uint64(3)) == END)
         ends_b[np.searchsorted(own, own[here] & ~np.uint64(3))] = b[here]
-        for size_, keys_, b_, t_ in zip(*(found.column(c).to_pylist() for c in ("size", "keys", "b", "t"))):
-            keys_, b_, t_ = unpacked_keys(keys_, size_), unpacked(b_, size_, np.int64), unpacked(t_, size_, np.int64)
+        told = [(unpacked_keys(keys_, size_), unpacked(b_, size_, np.int64), unpacked(t_, size_, np.int64)) for size_, keys_, b_, t_ in zip(*(found.column(c).to_pylist() for c in ("size", "keys", "b", "t")))]
+        if told:
+            keys_, b_, t_ = map(np.concatenate, zip(*told))
+            del told
             end = (keys_ & np.uint64(3)) == END
             at = np.searchsorted(own, keys_[~end])
             b[at], t[at] = b_[~end], t_[~end]

@@ -491,6 +491,12 @@ def test_every_word_of_a_large_target_counts(spark):
     assert score[1] == score[2] != score[3]
 
 
+def test_rows_of_a_large_corpus_stay_few():
+    """6 GB of words of 4 bytes: a row for each block and range, each with thousands of keys."""
+    words, blocks = 1_500_000_000, 6_000_000_000 // BLOCK_BYTES
+    assert words // (blocks * lm.n_ranges(words)) >= 3_000
+
+
 def test_cross_entropy_difference(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randrange(1, 80), 60)) for i in range(40)] + [(3, "v1 v2"), (3, "v1 v2"), (50, None), (51, ""), (None, "v1 v9"), (None, None)]
