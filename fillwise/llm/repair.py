@@ -62,6 +62,15 @@ def _codes(bits: int) -> tuple[type, np.unsignedinteger, np.unsignedinteger]:
     return kind, kind(bits), kind((1 << bits) - 1)
 
 
+def most_frequent(count: np.ndarray, room: int) -> np.ndarray:
+    """Places of the ``room`` highest counts (below 2^31), the highest first and equal ones in order."""
+    # one number holds a count and its place, so that all but ``room`` need no sorting
+    key = (-count.astype(np.int64) << np.int64(32)) | np.arange(len(count))
+    if room < len(key):
+        key.partition(room)
+    return np.sort(key[:room]) & np.int64(0xFFFFFFFF)
+
+
 def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST, worth: float = WORTH, most_rules: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, bounds of the documents' symbols, rules).  By default it ends when no pair is frequent.
 
@@ -82,7 +91,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST,
         at = np.flatnonzero(live)
         if not len(at):
             break
-        code = (s[at].astype(kind, copy=False) << shift) | s[at + 1]
+        code = (s.take(at).astype(kind, copy=False) << shift) | s.take(at + 1)
         ordered = np.sort(code)
         edge = np.flatnonzero(ordered[1:] != ordered[:-1])
         edge = np.concatenate(([0], edge + 1))
@@ -91,22 +100,21 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST,
         if not len(often):
             break
         slots = _slots(code)
-        keeps = np.zeros(1 << SLOT_BITS, bool)
-        keeps[_slots(ordered[edge[often]])] = True
-        live[at] = keeps[slots]  # a rare pair in a frequent one's slot is counted again, at all its places
+        table = np.full(1 << SLOT_BITS, -2, np.int32)  # -2: rare, -1: frequent
+        table[_slots(ordered[edge[often]])] = -1
         room = min(most_rules - n_rules, ROUND)
         if len(often) > room:
-            often = often[np.argsort(-count[often], kind="stable")[:room]]
+            often = often[most_frequent(count[often], room)]
         # a pair is found by a hash into a table; of two pairs in one slot the more frequent one is replaced now
         order = np.argsort(count[often], kind="stable")
         pairs, count = ordered[edge[often]][order], count[often][order]
-        table = np.full(1 << SLOT_BITS, -1, np.int32)
         table[_slots(pairs)] = np.arange(len(pairs), dtype=np.int32)
-        rank = table[slots]
+        rank = table.take(slots)
+        live[at] = rank > -2  # a rare pair in a frequent one's slot is counted again, at all its places
         where = np.flatnonzero(rank >= 0)
-        rank = rank[where]
-        same = pairs[rank] == code[where]
-        where, rank = at[where[same]], rank[same]
+        rank = rank.take(where)
+        same = np.flatnonzero(pairs.take(rank) == code.take(where))
+        where, rank = at.take(where.take(same)), rank.take(same)
         # of two pairs that overlap, the more frequent one stays; equal ones alternate along their run
         touch = np.diff(where) == 1
         weight = count[rank]
@@ -114,7 +122,8 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST,
         strong = np.ones(len(where), bool)
         strong[1:] &= ~(touch & lighter)
         strong[:-1] &= ~(touch & heavier)
-        where, rank = where[strong], rank[strong]
+        strong = np.flatnonzero(strong)
+        where, rank = where.take(strong), rank.take(strong)
         touch = where[1:] == where[:-1] + 1
         if touch.any():
             second = np.flatnonzero(touch) + 1

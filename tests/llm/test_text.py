@@ -118,6 +118,12 @@ def test_runs_of_pieces_give_the_tokenizer_s_ids(most, monkeypatch):
     assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
 
 
+@pytest.mark.parametrize("room", [1, 7, 4096])
+def test_most_frequent_is_a_stable_order(room):
+    count = np.random.default_rng(room).integers(1, 9, 5000).astype(np.int32)
+    assert np.array_equal(P.most_frequent(count, room), np.argsort(-count, kind="stable")[:room])
+
+
 def _last_counts(symbols, ends):
     pairs = Counter()
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
