@@ -16,8 +16,9 @@ from pyspark.sql.window import Window
 
 from fillwise.operators.histogram import Histogram, index_name
 from fillwise.functions.arrays import is_container, map_over
-from fillwise.operators.lookup import BROADCAST_ROWS
+from fillwise.operators.lookup import BROADCAST_ROWS, small
 from fillwise.plans.axes import Axis, Integer, Regular, named
+from fillwise.sources import sinks
 
 #: The largest value of a continuous quantile.
 BELOW_ONE = 0.9999999999999999
@@ -78,20 +79,23 @@ def static_lookup(df: DataFrame, name: str, edges: Sequence[float], col: str, co
     return df.withColumn(name, lookup_column(held, F.col(f"`{col}`"), continuous))
 
 
-def ranked(df: DataFrame, cell: Sequence[str], order: Sequence[Column], how: str) -> DataFrame:
+def ranked(df: DataFrame, cell: Sequence[str], order: Sequence[Column], how: str, path: str = "") -> DataFrame:
     """``df`` with ``_r`` (rank from 0 in its cell) and ``_n`` (rows of the cell).
 
-    ``ranges``: rows are dealt by range over (cell, order); ranks are counted within a partition's share of a cell and
-    offset by the shares before it, so that no cell is gathered in one task."""
+    ``ranges``: rows are dealt by range over (cell, order), sorted and numbered, and written to ``path``; numbers are counted
+    from the first of a partition's share of a cell and offset by the shares before it, so that no cell is gathered in one
+    task.  Rows and shares are both read from what was written: the bounds of the ranges come from a sample that another
+    run of the exchange, as for other columns, draws anew."""
     if how == WINDOW:
         return df.withColumn("_r", (F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1).cast("long")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*cell)))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *cell, *order).withColumn("_p", F.spark_partition_id())
-    dealt = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_p", *cell).orderBy(*order)) - 1)
-    shares = dealt.groupBy("_p", *cell).agg(F.count(F.lit(1)).alias("_c"))
+    numbered = df.repartitionByRange(n, *cell, *order).sortWithinPartitions(*cell, *order).withColumn("_k", F.monotonically_increasing_id())
+    # the partition is in the upper bits
+    dealt = sinks.write_rows(numbered, path).withColumn("_p", F.shiftright("_k", 33))
+    shares = dealt.groupBy("_p", *cell).agg(F.count(F.lit(1)).alias("_c"), F.min("_k").alias("_f"))
     before = Window.partitionBy(*cell).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    shares = shares.select("_p", *cell, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"), F.sum("_c").over(Window.partitionBy(*cell)).alias("_n"))
-    return dealt.join(shares, ["_p", *cell]).withColumn("_r", (F.col("_k") + F.col("_b")).cast("long")).drop("_p", "_k", "_b", "_c")
+    shares = shares.select("_p", *cell, "_f", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"), F.sum("_c").over(Window.partitionBy(*cell)).alias("_n"))
+    return dealt.join(small(shares), ["_p", *cell]).withColumn("_r", F.col("_k") - F.col("_f") + F.col("_b")).drop("_p", "_k", "_f", "_b")
 
 
 def _grid(spark, axes: Sequence[tuple[str, int, int]]) -> DataFrame:
@@ -118,7 +122,7 @@ def build_quantiles(df: DataFrame, cols: Sequence[str], condition_axes: Sequence
     """Edges from data.  ``cols``: condition columns, then one column per quantile axis.
 
     Quantile axes run from 0 to 1.  Rows outside a condition axis are left out; rows with a null value too.  Equal
-    values are ordered by ``ties`` (a unique key makes the result independent of the partitioning)."""
+    values are ordered by ``ties``, null last (a unique key makes the result independent of the partitioning)."""
     condition_axes = named(condition_axes, "cond")
     quantile_axes = named(quantile_axes, "quant")
     m = len(condition_axes)
@@ -138,19 +142,25 @@ def build_quantiles(df: DataFrame, cols: Sequence[str], condition_axes: Sequence
     rows = rows.where(keep)
     # no cell has more rows than there are
     how = how or (WINDOW if rows.count() <= WINDOW_ROWS else RANGES)
+    spark = df.sparkSession
+    paths: list[str] = []
     for j, axis in enumerate(quantile_axes):
         cell = [*keys, *(f"q{i}" for i in range(j))]
-        rows = ranked(rows, cell, [F.col(names[j]), *(F.col(f"_t{i}") for i in range(len(ties)))], how)
+        path = sinks.shared_folder(spark) if how == RANGES else ""
+        rows = ranked(rows, cell, [F.col(names[j]), *(F.col(f"_t{i}").asc_nulls_last() for i in range(len(ties)))], how, path)
+        # the rows before are in these
+        sinks.delete(spark, *paths)
+        paths = [path] if path else []
         cut: Column = F.lit(0)
         for f in axis.edges()[1:-1]:
             cut = cut + (F.rint(F.lit(float(f)) * F.col("_n")) <= F.col("_r")).cast("int")
         rows = rows.withColumn(f"q{j}", cut).drop("_r", "_n")
-    spark = df.sparkSession
     finest = [*keys, *(f"q{j}" for j in range(len(names)))]
     found = rows.groupBy(*finest).agg(*(f(n).alias(f"{w}{j}") for j, n in enumerate(names) for f, w in ((F.min, "min"), (F.max, "max"))))
     sizes = [(k, a.first, a.extent) for k, a in zip(keys, condition_axes)]
     if math.prod([size for _, _, size in sizes] + [a.n for a in quantile_axes]) <= HELD_CELLS:
         found = spark.createDataFrame(found.toArrow(), found.schema)
+        sinks.delete(spark, *paths)
     tables = []
     cells = None
     for j, axis in enumerate(quantile_axes):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,14 +44,6 @@ def rounded(df: DataFrame, digits: int = 4, *names: str) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if c in names else c for c in df.columns))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = base or tempfile.mkdtemp(prefix="fillwise-")
-    return f"{base.rstrip('/')}/fillwise-{uuid.uuid4().hex}"
-
-
 def _reg(x: str, n: int, lo: float, hi: float) -> str:
     z = f"(({x})::DOUBLE - {lo}::DOUBLE) / {hi - lo}::DOUBLE"
     return f"(CASE WHEN {z} < 1 THEN CASE WHEN {z} >= 0 THEN least(floor({z} * {n}), {n - 1}) ELSE -1 END ELSE {n} END)::INT"
@@ -274,7 +264,7 @@ def key_lookup_sum(spark, d):
 
 @query("SELECT (event_id % 7)::BIGINT AS run, (event_id % 5)::BIGINT AS lumi, round(sum((event_id % 7) * 10 + event_id % 5), 4)::DOUBLE AS recorded, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def csv_lookup(spark, d):
-    path = shared_folder(spark)
+    path = sinks.shared_folder(spark)
     lines = ["#tag, synthetic", "#run:fill,ls,time,delivered(/fb),recorded(/fb)"]
     lines += [f"{r}:77,{b}:{b},01/02/16 03:04:{b:02d},1.0,{r * 10 + b}.0" for r in range(7) for b in range(5)] + ["1:77,1:1,01/02/16 03:04:05,1.0,999.0", "#summary"]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
@@ -471,7 +461,7 @@ def fused_histograms(spark, d):
 @query("SELECT round(sum((event_id % 7) * 10 + event_id % 5), 4)::DOUBLE AS lumi FROM events WHERE event_id % 7 = 1 OR (event_id % 7 = 3 AND event_id % 5 BETWEEN 1 AND 2)")
 def luminosity_sum(spark, d):
     # one row per block is simulated by the events themselves
-    path = shared_folder(spark)
+    path = sinks.shared_folder(spark)
     lines = ["#tag", "#run:fill,ls,recorded(/fb)"] + [f"{r}:1,{b}:{b},{r * 10 + b}.0" for r in range(7) for b in range(5)]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
     blocks = table(spark, d, "events").select((F.col("event_id") % 7).alias("run"), (F.col("event_id") % 5).alias("lumi"))
@@ -483,7 +473,7 @@ def luminosity_sum(spark, d):
 
 @query("SELECT * FROM (VALUES (5::BIGINT, 1::BIGINT, 1454234400.0::DOUBLE), (5::BIGINT, 2::BIGINT, 1454234423.0::DOUBLE)) t(run, lumi, value)")
 def csv_times(spark, d):
-    path = shared_folder(spark)
+    path = sinks.shared_folder(spark)
     lines = ["#tag", "#run:fill,ls,time", "5:77,1:1,01/31/16 10:00:00", "5:77,2:2,01/31/16 10:00:23", "#end"]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
     return readers.read_times(spark, path).select("run", "lumi", "value")
@@ -492,7 +482,7 @@ def csv_times(spark, d):
 @query(_SPARSE3)
 def histogram_sink(spark, d):
     """Written with its manifest and read back."""
-    path = shared_folder(spark)
+    path = sinks.shared_folder(spark)
     sinks.write_histograms(spark, path, [H.histogram(table(spark, d, "lineitem"), "h", _AXES3, ["l_quantity", "l_discount", "l_returnflag", "l_tax"], "sparse")])
     return rounded(sinks.read_histograms(spark, path)[0]["h"].data)
 

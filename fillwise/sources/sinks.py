@@ -1,20 +1,54 @@
-"""Sinks: histograms as folders of Parquet with a manifest, and conversion to arrays and back."""
+"""Sinks: histograms as folders of Parquet with a manifest, conversion to arrays and back; intermediate tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import json
+import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from fillwise.operators.histogram import Histogram, index_name
 from fillwise.plans.axes import Axis, collapse, from_description, named
 from fillwise.plans.storage import storage_of
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; only a local session may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="fillwise-")
+    return f"{base.rstrip('/')}/fillwise-{uuid.uuid4().hex}"
+
+
+#: Whether Spark deletes a query's shuffle files when it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_rows(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` and read it again; the shuffle files behind it are deleted with the write."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete what ``write_rows`` wrote; nothing may read it any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

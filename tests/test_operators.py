@@ -88,6 +88,32 @@ def test_build_matches_sort_and_slice(spark, how):
     assert edges[0] == frame.x0.min() and edges[-1] == frame.x0.max()
 
 
+@pytest.mark.parametrize("held", [0, Q.HELD_CELLS])
+def test_ranges_are_those_of_one_run(spark, monkeypatch, tmp_path, held):
+    """Both variables of many rows; what was written is deleted unless the edges still need it."""
+    monkeypatch.setattr(Q, "HELD_CELLS", held)
+    paths = (str(tmp_path / str(i)) for i in range(2))
+    monkeypatch.setattr(Q.sinks, "shared_folder", lambda _: next(paths))
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"id": range(20000), "x0": rng.normal(size=20000).round(1), "x1": rng.normal(size=20000)})
+    fractions = [[0.0, 0.25, 0.5, 0.75, 1.0], [0.0, 0.1, 0.6, 1.0]]
+    axes = [Variable(f"q{i}", False, False, tuple(f)) for i, f in enumerate(fractions)]
+    q = Q.build_quantiles(spark.createDataFrame(frame), ["x0", "x1"], [], axes, ties=["id"], how=Q.RANGES)
+    got = {(r.q0, r.q1): (r.min0, r.max0, r.min1, r.max1) for r in q.cells.collect()}
+    cells = brute_quantiles(frame, fractions)
+    spread = {k: pd.concat([p for c, p in cells.items() if c[0] == k]).x0 for k in range(4)}
+    assert got == {c: (spread[c[0]].min(), spread[c[0]].max(), p.x1.min(), p.x1.max()) for c, p in cells.items()}
+    assert [p.name for p in tmp_path.iterdir()] == ([] if held else ["1"])
+
+
+@pytest.mark.parametrize("how", [Q.WINDOW, Q.RANGES])
+def test_null_ties_come_last_as_in_sql(spark, how):
+    df = spark.createDataFrame([(None, 1.0, 5.0), (7, 1.0, 3.0)], "id int, x double, y double")
+    halves = [Regular(f"q{i}", False, False, 2, 0.0, 1.0) for i in range(2)]
+    q = Q.build_quantiles(df, ["x", "y"], [], halves, ties=["id"], how=how)
+    assert {r.q0: r.max1 for r in q.cells.where("q1 = 1").collect()} == {0: 3.0, 1: 5.0}
+
+
 def test_empty_cells(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(2)], "c string, x double")
     q = Q.build_quantiles(df, ["c", "x"], [StrCategory("c", overflow=False, categories=("a", "b"))], [Regular("q", False, False, 4, 0.0, 1.0)])

@@ -6,6 +6,7 @@ import pytest
 from oracle import DATA, connect, same
 
 from fillwise import queries as Q
+from fillwise.operators import quantiles as Quantiles
 
 FOLDER = f"{DATA}/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -21,6 +22,17 @@ def test_query_matches_sql(spark, con, name):
     same(Q.QUERIES[name](spark, FOLDER), con, Q.SQL[name])
 
 
+#: Queries that rank by ranges beyond WINDOW_ROWS rows, as at 1 GB.
+RANKED = ["quantile_apply_cont"]
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_ranks_by_ranges_match_sql(spark, monkeypatch, name):
+    # of 10,000 events the bounds of the ranges are a sample's
+    monkeypatch.setattr(Quantiles, "WINDOW_ROWS", 0)
+    same(Q.QUERIES[name](spark, f"{DATA}/sf0.01"), connect(f"{DATA}/sf0.01"), Q.SQL[name])
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
