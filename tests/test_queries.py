@@ -23,7 +23,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 #: Queries that rank by ranges beyond WINDOW_ROWS rows, as at 1 GB.
-RANKED = ["quantile_apply_cont", "quantile_apply_int"]
+RANKED = ["quantile_apply_cont", "quantile_apply_int", "quantile_array"]
 
 
 @pytest.mark.parametrize("name", RANKED)
