@@ -23,7 +23,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 #: Queries that rank by ranges beyond WINDOW_ROWS rows, as at 1 GB.
-RANKED = ["quantile_apply_cont", "quantile_apply_int", "quantile_array", "quantile_build", "quantile_centers", "quantile_empty_cells", "quantile_hist"]
+RANKED = ["quantile_apply_cont", "quantile_apply_int", "quantile_array", "quantile_build", "quantile_centers", "quantile_empty_cells", "quantile_hist", "quantile_volumes"]
 
 
 @pytest.mark.parametrize("name", RANKED)
